@@ -81,5 +81,11 @@ def price_delta(asking: Column, market: Column) -> Column:
     return F.when(market > 0, (asking.cast("double") - market) / market * 100)
 
 
-def price_position(delta: Column) -> Column:
-    return F.when(delta <= -8, "Piyasa altı").when(delta >= 8, "Piyasa üstü").when(delta.isNotNull(), "Piyasa içinde")
+# Labels for below, above and inside the market, in display and in plain spelling.
+POSITIONS = ("Piyasa altı", "Piyasa üstü", "Piyasa içinde")
+PLAIN_POSITIONS = ("Piyasa alti", "Piyasa ustu", "Piyasa icinde")
+
+
+def price_position(delta: Column, labels: tuple[str, str, str] = POSITIONS) -> Column:
+    below, above, inside = labels
+    return F.when(delta <= -8, below).when(delta >= 8, above).when(delta.isNotNull(), inside)

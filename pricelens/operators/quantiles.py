@@ -74,7 +74,8 @@ def statistics_from_counts(
     exact = (lambda c: c.cast("decimal(38,0)")) if whole else (lambda c: c)
     val = F.col(value)
 
-    bucketed = counts.withColumn(_B, _octave_bucket(val))
+    # the not-null filter is spelled out so that both readers of the counts share one shuffle
+    bucketed = counts.withColumn(_B, _octave_bucket(val)).where(F.col(_B).isNotNull())
     parts = [
         F.sum(_N).alias(_N), F.sum(exact(val * F.col(_N).cast(val_type(whole)))).alias("__sum"),
         F.min(value).alias("__min"), F.max(value).alias("__max"),

@@ -63,7 +63,7 @@ def expression(column: str) -> Column:
 
 
 # The same view for the DuckDB oracle, always fully joined.
-LISTINGS_SQL = """listings AS (
+LISTINGS_SQL = """listings AS MATERIALIZED (
   SELECT concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_linenumber) AS id, 'market' AS source,
          concat_ws('-', l_orderkey, l_linenumber) AS source_listing_id,
          concat_ws(' ', p_brand, p_type, p_name) AS title, p_brand AS brand, p_type AS series, p_name AS model,
