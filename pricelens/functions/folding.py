@@ -6,6 +6,7 @@ being written out: one entry per code point whose folded form differs from itsel
 
 from __future__ import annotations
 
+import string
 import unicodedata
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -69,26 +70,32 @@ def compatibility_table() -> CharTable:
     return _build(lambda char: unicodedata.normalize("NFKC", char), keep_identity=True)
 
 
-def _map_chars(text: Column, table: CharTable) -> Column:
-    """Translate one-to-one entries; only rows that hold an expanding character take the split path."""
+def _map_chars(text: Column, table: CharTable, lower_ascii: bool) -> Column:
+    """Translate one-to-one entries; only rows that hold an expanding character take the split path.
+
+    ASCII letters are lowered with the translation, before expansion: a capital that only
+    appears through decomposition stays a capital.
+    """
+    source, target = table.source, table.target
+    if lower_ascii:
+        source, target = source + string.ascii_uppercase, target + string.ascii_lowercase
+    plain = F.translate(text, source, target)
     lookup = F.create_map(*[F.lit(part) for pair in table.expansions for part in pair])
     expanded = F.array_join(
-        F.transform(F.split(text, ""), lambda ch: F.coalesce(F.try_element_at(lookup, ch), ch)), ""
+        F.transform(F.split(plain, ""), lambda ch: F.coalesce(F.try_element_at(lookup, ch), ch)), ""
     )
-    prepared = F.when(text.rlike(table.expansion_class), expanded).otherwise(text)
-    return F.translate(prepared, table.source, table.target)
+    return F.when(text.rlike(table.expansion_class), expanded).otherwise(plain)
 
 
 def ascii_fold(text: Column) -> Column:
-    """Lower-case ASCII rendering of ``text``; plain ASCII rows skip the table."""
-    mapped = F.regexp_replace(_map_chars(text, ascii_table()), NON_ASCII, "")
-    return F.lower(F.when(text.rlike(NON_ASCII), mapped).otherwise(text))
+    """Case-folded ASCII rendering of ``text``; plain ASCII rows skip the table."""
+    mapped = F.regexp_replace(_map_chars(text, ascii_table(), True), NON_ASCII, "")
+    return F.when(text.rlike(NON_ASCII), mapped).otherwise(F.lower(text))
 
 
 def casefold(text: Column) -> Column:
-    ascii_lower = F.translate(_map_chars(text, casefold_table()), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.when(text.rlike(NON_ASCII), ascii_lower).otherwise(F.lower(text))
+    return F.when(text.rlike(NON_ASCII), _map_chars(text, casefold_table(), True)).otherwise(F.lower(text))
 
 
 def compatibility_compose(text: Column) -> Column:
-    return F.when(text.rlike(NON_ASCII), _map_chars(text, compatibility_table())).otherwise(text)
+    return F.when(text.rlike(NON_ASCII), _map_chars(text, compatibility_table(), False)).otherwise(text)

@@ -1,4 +1,9 @@
-"""Text rules for listing fields, all as built-in column expressions."""
+"""Text rules for listing fields, all as built-in column expressions.
+
+The ``*_of`` functions expect text that ``clean_text`` has already produced as a column of its
+own; a job cleans every field once in one projection and builds on the result, so the cleaning
+expression is not repeated inside each rule.
+"""
 
 from __future__ import annotations
 
@@ -56,32 +61,41 @@ def normalize_number(column: Column, dtype: str) -> Column:
     return column.cast("bigint")
 
 
-def normalize_currency(text: Column) -> Column:
-    cleaned = clean_text(text)
+def currency_of(cleaned: Column) -> Column:
     key = normalize_key(cleaned)
     return F.when(cleaned.isNull() | key.isin(*vocab.LIRA_KEYS), "TRY").otherwise(F.upper(cleaned))
 
 
-def normalize_choice(text: Column, mapping: dict[str, str]) -> Column:
-    cleaned = clean_text(text)
+def normalize_currency(text: Column) -> Column:
+    return currency_of(clean_text(text))
+
+
+def choice_of(cleaned: Column, mapping: dict[str, str]) -> Column:
     return F.coalesce(F.when(cleaned.isNotNull(), lookup(normalize_key(cleaned), mapping)), cleaned)
 
 
+def normalize_choice(text: Column, mapping: dict[str, str]) -> Column:
+    return choice_of(clean_text(text), mapping)
+
+
 def normalize_flag(value: Column, dtype: str = "string") -> Column:
     if dtype in ("int", "bigint", "smallint", "tinyint", "double", "float", "boolean"):
         return F.when(value.cast("int") == 1, 1).otherwise(0)
     return F.when(normalize_key(value).isin(*vocab.TRUE_KEYS), 1).otherwise(0)
 
 
-def normalize_color(text: Column) -> Column:
-    cleaned = clean_text(text)
+def color_of(cleaned: Column) -> Column:
     cased = F.concat(F.upper(F.substring(cleaned, 1, 1)), F.lower(F.substr(cleaned, F.lit(2))))
     return F.coalesce(lookup(cleaned, vocab.TEXT_FIXES), cased)
 
 
-def normalize_package(text: Column) -> Column:
+def normalize_color(text: Column) -> Column:
+    return color_of(clean_text(text))
+
+
+def package_of(cleaned: Column) -> Column:
     """Uniform ' / ' spacing and house spelling for trim acronyms and product names."""
-    out = F.regexp_replace(clean_text(text), f"{SPACE_CLASS}*/{SPACE_CLASS}*", " / ")
+    out = F.regexp_replace(cleaned, f"{SPACE_CLASS}*/{SPACE_CLASS}*", " / ")
     out = squeeze(out)
     for acronym in vocab.ACRONYMS:
         out = F.regexp_replace(out, rf"(?iuU)\b{acronym}\b", acronym)
@@ -90,9 +104,16 @@ def normalize_package(text: Column) -> Column:
     return out
 
 
+def normalize_package(text: Column) -> Column:
+    return package_of(clean_text(text))
+
+
 def claim_from_title(title: Column) -> dict[str, Column]:
     """Paint / changed / damage claims a seller makes in the title."""
-    key = normalize_key(title)
+    return claim_from_key(normalize_key(title))
+
+
+def claim_from_key(key: Column) -> dict[str, Column]:
     unpainted, unchanged, undamaged = (key.contains(w) for w in vocab.CLAIM_WORDS)
     claimed = unpainted | (unchanged & undamaged)
     return {
@@ -102,12 +123,15 @@ def claim_from_title(title: Column) -> dict[str, Column]:
     }
 
 
-def normalize_series(text: Column, brand: Column) -> Column:
-    packaged = normalize_package(text)
+def series_of(packaged: Column, brand: Column) -> Column:
     single = (normalize_key(brand) == "mercedesbenz") & packaged.rlike(r"^\p{L}$")
     return F.when(single, F.concat(F.upper(packaged), F.lit(" Serisi"))).otherwise(packaged)
 
 
+def normalize_series(text: Column, brand: Column) -> Column:
+    return series_of(normalize_package(text), brand)
+
+
 def catalog_series(text: Column, brand: Column) -> Column:
     trimmed = strip(F.coalesce(text, F.lit("")))
     single = (normalize_key(brand) == "mercedesbenz") & trimmed.rlike(r"^\p{L}$")
@@ -115,10 +139,10 @@ def catalog_series(text: Column, brand: Column) -> Column:
 
 
 def tofas_series(series: Column, *signals: Column) -> Column:
-    """Series of one brand, from its own key or from the first known word in the other fields."""
-    haystack = normalize_key(F.concat_ws(" ", *[F.coalesce(clean_text(s), F.lit("")) for s in signals]))
+    """Series of one brand from cleaned text: its own key, or the first known word in the other fields."""
+    haystack = normalize_key(F.concat_ws(" ", *[F.coalesce(s, F.lit("")) for s in signals]))
     inferred = F.coalesce(*[F.when(haystack.contains(key), name) for key, name in vocab.TOFAS_SERIES.items()])
-    return F.coalesce(lookup(normalize_key(series), vocab.TOFAS_SERIES), inferred, clean_text(series))
+    return F.coalesce(lookup(normalize_key(series), vocab.TOFAS_SERIES), inferred, series)
 
 
 def cosmetic_key(text: Column) -> Column:
@@ -132,9 +156,8 @@ def _province(key: Column) -> Column:
     return F.coalesce(from_list, lookup(key, vocab.PROVINCE_ALIASES))
 
 
-def split_province(text: Column) -> tuple[Column, Column]:
+def split_province(cleaned: Column) -> tuple[Column, Column]:
     """(province, rest) when the first word is a province, else (null, whole text)."""
-    cleaned = clean_text(text)
     parts = F.filter(F.split(cleaned, f"(?:{SPACE_CLASS}|[,/])+"), lambda p: p != "")
     first = F.try_element_at(parts, F.lit(1))
     province = F.when(first.isNotNull(), _province(normalize_key(first)))
@@ -143,21 +166,22 @@ def split_province(text: Column) -> tuple[Column, Column]:
     return province, remainder
 
 
-def normalize_location(city: Column, district: Column) -> tuple[Column, Column]:
+def location_of(city: Column, district: Column) -> tuple[Column, Column]:
     """Canonical province name; a district written after the city moves to its own column."""
-    city_name, city_rest = split_province(city)
+    province, city_rest = split_province(city)
     district_city, district_rest = split_province(district)
-    province = city_name
-    final_city = F.coalesce(province, clean_text(city))
-    city_suffix = F.when(clean_text(city).isNotNull(), city_rest)
+    final_city = F.coalesce(province, city)
+    # without a province the rest is the whole city text, which then takes the district's place
     moved = district_rest.isNotNull() & (province.isNull() | district_city.eqNullSafe(province))
-    final_district = (
-        F.when(city_suffix.isNotNull(), city_suffix).when(moved, district_rest).otherwise(clean_text(district))
-    )
+    final_district = F.when(city_rest.isNotNull(), city_rest).when(moved, district_rest).otherwise(district)
     same = final_city.isNotNull() & final_district.isNotNull() & (normalize_key(final_city) == normalize_key(final_district))
     return final_city, F.when(same, F.lit(None)).otherwise(final_district)
 
 
+def normalize_location(city: Column, district: Column) -> tuple[Column, Column]:
+    return location_of(clean_text(city), clean_text(district))
+
+
 def split_page_location(text: Column) -> tuple[Column, Column]:
     """City and district as printed on a result page: 'A / B', 'A  B', or 'Province rest'."""
     trimmed = strip(text)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 from types import ModuleType
 
-MODULES = ("market", "valuation")
+MODULES = ("market", "valuation", "cleaning")
 
 
 def load() -> ModuleType:
