@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, functions as F
 
 from pricelens.functions import vocabulary as vocab
-from pricelens.functions.folding import casefold
+from pricelens.functions.folding import casefold, literal_map
 from pricelens.functions.text import SPACE_CLASS, squeeze, strip
 
 # Day-first and ISO layouts accepted when no month name is present.
@@ -22,7 +22,7 @@ def as_date(run_date: dt.date | str | Column) -> Column:
 
 
 def _month_number(name: Column) -> Column:
-    return F.try_element_at(F.create_map(*[F.lit(p) for pair in vocab.MONTHS.items() for p in pair]), name)
+    return F.try_element_at(literal_map({k: str(v) for k, v in vocab.MONTHS.items()}), name).cast("int")
 
 
 def _compose(day: Column, month: Column, year: Column) -> Column:

@@ -17,36 +17,54 @@ from pyspark.sql import Column, functions as F
 NON_ASCII = r"[^\x00-\x7F]"
 
 
+# Characters below this point that fold to nothing are deleted by the translation itself, so that
+# ordinary European text never reaches the slower checks.
+COMMON_TEXT = 0x2100
+
+
 @dataclass(frozen=True)
 class CharTable:
-    """Code points mapping to one character, and those mapping to several."""
+    """Code points mapping to one character, those that vanish, and those that expand to several."""
 
     source: str
     target: str
+    dropped: str
     expansions: tuple[tuple[str, str], ...]
 
     @property
     def expansion_class(self) -> str:
-        return "[" + "".join(f"\\x{{{ord(c):x}}}" for c, _ in self.expansions) + "]"
+        """Regex class of the expanding characters, as few ranges as possible."""
+        points = sorted(ord(c) for c, _ in self.expansions)
+        ranges: list[list[int]] = []
+        for point in points:
+            if ranges and point == ranges[-1][1] + 1:
+                ranges[-1][1] = point
+            else:
+                ranges.append([point, point])
+        return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in ranges) + "]"
 
 
 def _build(rule: Callable[[str], str], keep_identity: bool) -> CharTable:
     source: list[str] = []
     target: list[str] = []
+    dropped: list[str] = []
     expansions: list[tuple[str, str]] = []
     for point in range(0x80, 0x110000):
         if 0xD800 <= point <= 0xDFFF:
             continue
         char = chr(point)
         folded = rule(char)
-        if not folded or (keep_identity and folded == char):
+        if keep_identity and folded == char:
             continue
-        if len(folded) == 1:
+        if not folded:
+            if point < COMMON_TEXT:
+                dropped.append(char)
+        elif len(folded) == 1:
             source.append(char)
             target.append(folded)
         else:
             expansions.append((char, folded))
-    return CharTable("".join(source), "".join(target), tuple(expansions))
+    return CharTable("".join(source), "".join(target), "".join(dropped), tuple(expansions))
 
 
 @lru_cache(maxsize=1)
@@ -70,6 +88,12 @@ def compatibility_table() -> CharTable:
     return _build(lambda char: unicodedata.normalize("NFKC", char), keep_identity=True)
 
 
+def literal_map(mapping: dict[str, str]) -> Column:
+    """A string map as one foldable expression, so large tables cost one literal in the plan."""
+    text = "\x1e".join(f"{key}\x1f{value}" for key, value in mapping.items())
+    return F.str_to_map(F.lit(text), F.lit("\x1e"), F.lit("\x1f"))
+
+
 def _map_chars(text: Column, table: CharTable, lower_ascii: bool) -> Column:
     """Translate one-to-one entries; only rows that hold an expanding character take the split path.
 
@@ -79,12 +103,13 @@ def _map_chars(text: Column, table: CharTable, lower_ascii: bool) -> Column:
     source, target = table.source, table.target
     if lower_ascii:
         source, target = source + string.ascii_uppercase, target + string.ascii_lowercase
-    plain = F.translate(text, source, target)
-    lookup = F.create_map(*[F.lit(part) for pair in table.expansions for part in pair])
+    plain = F.translate(text, source + table.dropped, target)
+    expansions = literal_map(dict(table.expansions))
     expanded = F.array_join(
-        F.transform(F.split(plain, ""), lambda ch: F.coalesce(F.try_element_at(lookup, ch), ch)), ""
+        F.transform(F.split(plain, ""), lambda ch: F.coalesce(F.try_element_at(expansions, ch), ch)), ""
     )
-    return F.when(text.rlike(table.expansion_class), expanded).otherwise(plain)
+    # the cheap test first: most text is ASCII once translated
+    return F.when(plain.rlike(NON_ASCII) & plain.rlike(table.expansion_class), expanded).otherwise(plain)
 
 
 def ascii_fold(text: Column) -> Column:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from pricelens.functions import vocabulary as vocab
-from pricelens.functions.folding import ascii_fold, casefold, compatibility_compose
+from pricelens.functions.folding import ascii_fold, casefold, compatibility_compose, literal_map
 
 SPACE_CLASS = r"[\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
@@ -26,7 +26,7 @@ def strip(text: Column) -> Column:
 
 def lookup(key: Column, mapping: dict[str, str]) -> Column:
     """Small fixed dictionary as a literal map; null when the key is absent."""
-    return F.try_element_at(F.create_map(*[F.lit(p) for pair in mapping.items() for p in pair]), key)
+    return F.try_element_at(literal_map(mapping), key)
 
 
 def normalize_key(text: Column) -> Column:
@@ -95,13 +95,15 @@ def normalize_color(text: Column) -> Column:
 
 def package_of(cleaned: Column) -> Column:
     """Uniform ' / ' spacing and house spelling for trim acronyms and product names."""
-    out = F.regexp_replace(cleaned, f"{SPACE_CLASS}*/{SPACE_CLASS}*", " / ")
-    out = squeeze(out)
-    for acronym in vocab.ACRONYMS:
-        out = F.regexp_replace(out, rf"(?iuU)\b{acronym}\b", acronym)
-    for pattern, spelling in vocab.PRODUCT_SPELLINGS:
-        out = F.regexp_replace(out, rf"(?iuU)\b{pattern}\b", spelling)
-    return out
+    spaced = squeeze(F.regexp_replace(cleaned, f"{SPACE_CLASS}*/{SPACE_CLASS}*", " / "))
+    out = F.when(cleaned.contains("/"), spaced).otherwise(cleaned)
+    patterns = [(name, name) for name in vocab.ACRONYMS] + list(vocab.PRODUCT_SPELLINGS)
+    respelled = out
+    for pattern, spelling in patterns:
+        respelled = F.regexp_replace(respelled, rf"(?iuU)\b{pattern}\b", spelling)
+    # one test decides whether the chain has anything to do
+    any_name = r"(?iuU)\b(?:" + "|".join(pattern for pattern, _ in patterns) + r")\b"
+    return F.when(cleaned.rlike(any_name), respelled).otherwise(out)
 
 
 def normalize_package(text: Column) -> Column:
@@ -138,9 +140,12 @@ def catalog_series(text: Column, brand: Column) -> Column:
     return F.when(single, F.concat(F.upper(trimmed), F.lit(" Serisi"))).otherwise(trimmed)
 
 
-def tofas_series(series: Column, *signals: Column) -> Column:
+def tofas_haystack(*signals: Column) -> Column:
+    return normalize_key(F.concat_ws(" ", *[F.coalesce(s, F.lit("")) for s in signals]))
+
+
+def tofas_series(series: Column, haystack: Column) -> Column:
     """Series of one brand from cleaned text: its own key, or the first known word in the other fields."""
-    haystack = normalize_key(F.concat_ws(" ", *[F.coalesce(s, F.lit("")) for s in signals]))
     inferred = F.coalesce(*[F.when(haystack.contains(key), name) for key, name in vocab.TOFAS_SERIES.items()])
     return F.coalesce(lookup(normalize_key(series), vocab.TOFAS_SERIES), inferred, series)
 
@@ -156,30 +161,50 @@ def _province(key: Column) -> Column:
     return F.coalesce(from_list, lookup(key, vocab.PROVINCE_ALIASES))
 
 
-def split_province(cleaned: Column) -> tuple[Column, Column]:
-    """(province, rest) when the first word is a province, else (null, whole text)."""
-    parts = F.filter(F.split(cleaned, f"(?:{SPACE_CLASS}|[,/])+"), lambda p: p != "")
-    first = F.try_element_at(parts, F.lit(1))
-    province = F.when(first.isNotNull(), _province(normalize_key(first)))
-    rest = F.nullif(F.array_join(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), " "), F.lit(""))
-    remainder = F.when(first.isNull(), F.lit(None)).when(province.isNull(), cleaned).otherwise(rest)
-    return province, remainder
+_SEPARATOR = SPACE_CLASS[:-1] + ",/]"
+_WORD = "[^" + _SEPARATOR[1:]
+
+
+def first_word(cleaned: Column) -> Column:
+    return F.nullif(F.regexp_extract(cleaned, f"({_WORD}+)", 1), F.lit(""))
+
+
+def split_province(cleaned: Column, word_key: Column) -> tuple[Column, Column]:
+    """(province, rest) when the first word, given by its folded key, is a province, else (null, whole text)."""
+    province = _province(word_key)
+    tail = F.regexp_replace(cleaned, f"^{_SEPARATOR}*{_WORD}+{_SEPARATOR}*", "")
+    rest = F.nullif(F.btrim(F.regexp_replace(tail, f"{_SEPARATOR}+", " ")), F.lit(""))
+    return province, F.when(word_key.isNull(), F.lit(None)).when(province.isNull(), cleaned).otherwise(rest)
 
 
-def location_of(city: Column, district: Column) -> tuple[Column, Column]:
-    """Canonical province name; a district written after the city moves to its own column."""
-    province, city_rest = split_province(city)
-    district_city, district_rest = split_province(district)
-    final_city = F.coalesce(province, city)
+def word_key(word: Column) -> Column:
+    return F.when(word.isNotNull(), normalize_key(word))
+
+
+def place_parts(city: Column, district: Column, city_key: Column, district_key: Column) -> dict[str, Column]:
+    """Province and rest of both cleaned fields; the input of ``place_of``."""
+    province, city_rest = split_province(city, city_key)
+    district_city, district_rest = split_province(district, district_key)
+    return {"province": province, "city_rest": city_rest, "district_city": district_city, "district_rest": district_rest}
+
+
+def place_of(parts: dict[str, Column], city: Column, district: Column) -> tuple[Column, Column]:
+    """City and district before the equal-name rule; a district written after the city moves over."""
+    province, rest = parts["province"], parts["city_rest"]
     # without a province the rest is the whole city text, which then takes the district's place
-    moved = district_rest.isNotNull() & (province.isNull() | district_city.eqNullSafe(province))
-    final_district = F.when(city_rest.isNotNull(), city_rest).when(moved, district_rest).otherwise(district)
-    same = final_city.isNotNull() & final_district.isNotNull() & (normalize_key(final_city) == normalize_key(final_district))
-    return final_city, F.when(same, F.lit(None)).otherwise(final_district)
+    moved = parts["district_rest"].isNotNull() & (province.isNull() | parts["district_city"].eqNullSafe(province))
+    return F.coalesce(province, city), F.when(rest.isNotNull(), rest).when(moved, parts["district_rest"]).otherwise(district)
+
+
+def drop_repeated_city(city: Column, district: Column) -> Column:
+    return F.when(city.isNotNull() & (normalize_key(city) == normalize_key(district)), F.lit(None)).otherwise(district)
 
 
 def normalize_location(city: Column, district: Column) -> tuple[Column, Column]:
-    return location_of(clean_text(city), clean_text(district))
+    city, district = clean_text(city), clean_text(district)
+    parts = place_parts(city, district, word_key(first_word(city)), word_key(first_word(district)))
+    final_city, final_district = place_of(parts, city, district)
+    return final_city, drop_repeated_city(final_city, final_district)
 
 
 def split_page_location(text: Column) -> tuple[Column, Column]:
