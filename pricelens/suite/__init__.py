@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 from types import ModuleType
 
-MODULES = ("market", "valuation", "cleaning", "history", "ingest")
+MODULES = ("market", "valuation", "cleaning", "history", "ingest", "training")
 
 
 def load() -> ModuleType:
