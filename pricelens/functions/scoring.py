@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from pricelens.functions.folding import ascii_fold, casefold
-from pricelens.functions.text import strip
+from pricelens.functions.folding import casefold
+from pricelens.functions.vocabulary import python_key
 
 # Fixed weights and neutral values of the similarity score.
 YEAR_WEIGHT, MILEAGE_WEIGHT, MODEL_WEIGHT, FRESHNESS_WEIGHT = 0.42, 0.34, 0.14, 0.10
@@ -37,11 +37,13 @@ def freshness_score(age_days: Column, any_dates: Column) -> Column:
     return F.when(~any_dates, NO_TARGET).when(age_days.isNull(), NO_VALUE).otherwise(aged)
 
 
-def model_score(selected: Column, model: Column, title: Column) -> Column:
-    wanted = casefold(strip(F.coalesce(selected, F.lit(""))))
-    unspecific = (wanted == "") | ascii_fold(wanted).isin("tum", "tumu")
+def model_score(selected: str | None, model: Column, title: Column) -> Column:
+    """Whether the wanted model name occurs in a listing; no name, or 'all', is neutral."""
+    wanted = (selected or "").strip().casefold()
+    if not wanted or python_key(wanted) in ("tum", "tumu"):
+        return F.lit(0.75)
     haystack = casefold(F.concat_ws(" ", F.coalesce(model, F.lit("")), F.coalesce(title, F.lit(""))))
-    return F.when(unspecific, 0.75).when(haystack.contains(wanted), 1.0).otherwise(0.65)
+    return F.when(haystack.contains(wanted), 1.0).otherwise(0.65)
 
 
 def similarity(year: Column, mileage: Column, model: Column, freshness: Column | float = NO_TARGET) -> Column:

@@ -62,7 +62,7 @@ def statistics_from_counts(
     *,
     weighted: Mapping[str, float] | None = None,
 ) -> DataFrame:
-    """One row per key: ``count, total, minimum, maximum, mean`` plus the named quantiles.
+    """One row per key (exactly one row without keys): ``count, total, minimum, maximum, mean`` plus the named quantiles.
 
     ``quantiles`` interpolate linearly between ranks; ``weighted`` names are the first value
     whose running weight reaches the share, and add ``weight_total`` and ``weighted_mean``.
@@ -135,10 +135,11 @@ def statistics_from_counts(
     if weighted:
         picks += [F.max(c).alias(c) for c in ("__wtotal", "__gwsum")]
         picks += [F.min(F.when(holds_cut(F.col("__wstart"), F.col(_W), c), val)).alias(f"__{n}") for n, c in cuts.items()]
-    picked = located.groupBy(*keys).agg(*picks) if keys else located.groupBy(F.lit(0).alias("__one")).agg(*picks)
+    # without keys the result is one row even when nothing matched
+    picked = located.groupBy(*keys).agg(*picks)
 
     out = [
-        *keys, total.alias("count"), F.col("__gmin").cast("double").alias("minimum"),
+        *keys, F.coalesce(total, F.lit(0)).alias("count"), F.col("__gmin").cast("double").alias("minimum"),
         F.col("__gmax").cast("double").alias("maximum"), (F.col("__gsum").cast("double") / total).alias("mean"),
     ]
     for name, pos in position.items():

@@ -22,7 +22,7 @@ def _segments() -> dict[str, Column]:
 
 
 def overview(listings: DataFrame, filters: ListingFilters | None = None) -> DataFrame:
-    """Median, mean and count of the filtered listings (one row, none when nothing matches)."""
+    """Median, mean and count of the filtered listings (one row; nulls and a zero count when nothing matches)."""
     stats = price_statistics(apply_filters(listings, filters), [])
     return stats.select(
         F.col("median").alias("median_price"), F.col("mean").alias("average_price"), F.col("count").alias("listing_count")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # column -> (tables it needs beyond lineitem, expression)
 _SPEC: dict[str, tuple[tuple[str, ...], str]] = {
-    "id": ((), "concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_linenumber)"),
+    "id": ((), "concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_linenumber, cast(l_quantity as int))"),
     "source": ((), "'market'"),
     "source_listing_id": ((), "concat_ws('-', l_orderkey, l_linenumber)"),
     "title": (("part",), "concat_ws(' ', p_brand, p_type, p_name)"),
@@ -64,7 +64,7 @@ def expression(column: str) -> Column:
 
 # The same view for the DuckDB oracle, always fully joined.
 LISTINGS_SQL = """listings AS MATERIALIZED (
-  SELECT concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_linenumber) AS id, 'market' AS source,
+  SELECT concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_linenumber, cast(l_quantity as int)) AS id, 'market' AS source,
          concat_ws('-', l_orderkey, l_linenumber) AS source_listing_id,
          concat_ws(' ', p_brand, p_type, p_name) AS title, p_brand AS brand, p_type AS series, p_name AS model,
          year(o_orderdate) AS year, CAST(l_quantity * 10000 AS INTEGER) AS mileage_km, l_returnflag AS transmission,
