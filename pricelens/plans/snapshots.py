@@ -100,8 +100,8 @@ def overview_with_changes(overview: DataFrame, facts: DataFrame, snapshots: Data
     kind, value = scope
     matching = snapshots.where((F.col("dimension_type") == kind) & (F.col("dimension_value") == value))
     # a scalar of an aggregate is null, not missing, when there is no history
-    changes = snapshot_changes(matching)
-    return out.withColumns({name: changes.agg(F.max(name)).scalar() for name in LOOKBACKS})
+    changes = snapshot_changes(matching).agg(F.max(F.struct(*LOOKBACKS)).alias("changes")).scalar()
+    return out.withColumn("changes", changes).select("*", *[F.col(f"changes.{name}").alias(name) for name in LOOKBACKS]).drop("changes")
 
 
 def movers(snapshots: DataFrame, direction: str = "down", limit: int = TOP_MOVERS) -> DataFrame:
