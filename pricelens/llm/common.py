@@ -10,7 +10,7 @@ from pyspark.sql.types import StructType
 
 from pricelens.session import materialize, work_dir
 
-__all__ = ["BATCH_ROWS", "crc_of_id", "map_batches", "materialize", "partitions", "table", "text_list", "work_dir"]
+__all__ = ["BATCH_ROWS", "crc_of_id", "keep_only", "map_batches", "materialize", "partitions", "table", "text_list", "work_dir"]
 
 #: Rows in one Arrow batch handed to Python: whole texts may be long, so batches stay small.
 BATCH_ROWS = 256
@@ -40,3 +40,20 @@ def crc_of_id(column: str | Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo: the fold of a row. A null id falls into fold 0."""
     ident = F.col(column) if isinstance(column, str) else column
     return F.coalesce(F.crc32(ident.cast("string").cast("binary")) % modulus, F.lit(0))
+
+
+def keep_only(docs: DataFrame, key: Column, verdicts: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``verdicts`` (doc_id, key, kept: one row per row of docs) keeps, all columns.
+
+    Only rejected keys travel to the documents, as an anti join. Of rows equal in doc_id and key one stays.
+    """
+    per = materialize(verdicts.groupBy("doc_id", "key").agg(F.max("kept").alias("any"), F.count("*").alias("rows")), "verdicts")
+    lost = per.filter(~F.col("any")).select(F.col("doc_id").alias("lost_id"), F.col("key").alias("lost_key"))
+    doubled = per.filter(F.col("any") & (F.col("rows") > 1)).select(F.col("doc_id").alias("lost_id"), F.col("key").alias("lost_key"))
+    keyed = docs.withColumn("verdict_key", key)
+    same = keyed["doc_id"].cast("long").eqNullSafe(F.col("lost_id")) & (F.col("verdict_key") == F.col("lost_key"))
+    left = keyed.join(lost, same, "left_anti")
+    if doubled.isEmpty():
+        return left.select(docs.columns)
+    once = left.join(doubled, same, "left_semi").dropDuplicates(["doc_id", "verdict_key"])
+    return left.join(doubled, same, "left_anti").unionByName(once).select(docs.columns)

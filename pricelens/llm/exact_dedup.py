@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pricelens.llm.common import map_batches, materialize, partitions
+from pricelens.llm.common import keep_only, map_batches, materialize, partitions
 
 #: Bits beyond log2(rows): a unique row becomes a suspect by chance once in 2^12.
 SPARE_BITS = 12
@@ -165,3 +165,9 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     groups = groups.select("text_sha256", "group_size", F.col("doc_id").alias("keep_id"), F.col("row").alias("keep_row"))
     shared = suspects.join(groups, "text_sha256").select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "text_sha256")
     return unique.unionByName(shared)
+
+
+def drop_copies(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay, all columns."""
+    verdicts = exact_duplicates(docs).select("doc_id", F.col("text_sha256").alias("key"), "kept")
+    return keep_only(docs, F.sha2(normalized(), 256), verdicts)

@@ -7,6 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from pricelens.llm import quality, toxicity
+from pricelens.llm.ann import nearest
 from pricelens.llm.byte_bpe import encode_documents
 from pricelens.llm.common import table
 from pricelens.llm.exact_dedup import exact_duplicates
@@ -14,6 +16,7 @@ from pricelens.llm.packing import pack
 from pricelens.llm.simhash import near_duplicates
 from pricelens.llm.token_counts import count_tokens
 from pricelens.llm.token_store import read_store, write_store
+from pricelens.llm.url_filter import RULES, judge
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +27,11 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2, window=4096)
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score_documents(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -32,6 +40,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, limit=1024)
 
 
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(table(spark, sf_dir, "pages"), RULES)
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=3)
 
@@ -40,8 +52,18 @@ def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_store(*write_store(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), every=100, k=10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_byte_bpe, op2_packing, op4_exact_dedup, op5_token_counts, op7_simhash, op8_token_store)
+    f.__name__: f for f in (
+        op1_byte_bpe, op2_packing, op3_quality, op4_exact_dedup, op5_token_counts, op6_url_filter, op7_simhash, op8_token_store, op9_toxicity, op10_ann,
+    )
 }
 
 ORACLES: dict[str, str] = {
@@ -50,4 +72,35 @@ WITH plain AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\
 SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
        doc_id = min(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
 FROM plain""",
+    "op6_url_filter": r"""
+WITH RECURSIVE parts AS (
+  SELECT page_id, html, url, regexp_extract(coalesce(url, ''), '(?s)^(.*?)://([^/?#]*)([^?#]*)([^#]*)', ['scheme', 'host', 'path', 'query']) AS p FROM pages),
+urls AS (
+  SELECT page_id, html, p.scheme AS scheme, translate(p.host, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, p.path AS path, p.query AS query,
+         CASE WHEN contains(url, '://') THEN concat(p.scheme, '://', translate(p.host, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), p.path, p.query) END AS node
+  FROM parts),
+rules(verdict, host, path) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
+tags AS (
+  SELECT scheme, host, path, node, unnest(list_concat(
+    list_transform(list_filter(regexp_extract_all(html, '(?is)<link\b[^>]*>'), lambda t: regexp_matches(t, '(?is)\brel\s*=\s*["'']?[^"''>]*\bcanonical\b')), lambda t: regexp_extract(t, '(?is)\bhref\s*=\s*["'']?\s*([^"''>\s]+)', 1)),
+    list_transform(list_filter(regexp_extract_all(html, '(?is)<meta\b[^>]*>'), lambda t: regexp_matches(t, '(?is)\bhttp-equiv\s*=\s*["'']?\s*refresh\b')), lambda t: regexp_extract(t, '(?is)\burl\s*=\s*["'']?\s*([^"''>\s]+)', 1)))) AS raw
+  FROM urls WHERE node IS NOT NULL),
+targets AS (
+  SELECT node, CASE WHEN raw = '' THEN NULL WHEN contains(raw, '://') THEN replace(raw, '&amp;', '&') WHEN starts_with(raw, '//') THEN scheme || ':' || replace(raw, '&amp;', '&')
+                    WHEN starts_with(raw, '/') THEN scheme || '://' || host || replace(raw, '&amp;', '&')
+                    ELSE scheme || '://' || host || CASE WHEN contains(path, '/') THEN regexp_extract(path, '(?s)^(.*/)', 1) ELSE '/' END || replace(raw, '&amp;', '&') END AS target FROM tags),
+split AS (SELECT node, target, regexp_extract(target, '(?s)^(.*?)://([^/?#]*)([^?#]*)([^#]*)', ['scheme', 'host', 'path', 'query']) AS p FROM targets WHERE target IS NOT NULL),
+edges AS (SELECT DISTINCT node AS a, concat(p.scheme, '://', translate(p.host, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), p.path, p.query) AS b FROM split),
+both_ways AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
+ends AS (SELECT DISTINCT a AS node, regexp_extract(a, '(?s)^(.*?)://([^/?#]*)([^?#]*)([^#]*)', ['scheme', 'host', 'path', 'query']) AS p FROM both_ways),
+blocked AS (
+  SELECT node FROM (SELECT node, first(r.verdict ORDER BY length(r.host || r.path) DESC) AS verdict FROM ends JOIN rules r
+    ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path) GROUP BY node) WHERE verdict = 'block'),
+reach AS (SELECT node FROM blocked UNION SELECT b FROM reach JOIN both_ways ON a = node),
+found AS (
+  SELECT u.page_id, u.host, u.path, u.node, r.host || r.path AS rule, r.verdict,
+         row_number() OVER (PARTITION BY u.page_id ORDER BY length(r.host || r.path) DESC NULLS LAST) AS n
+  FROM urls u LEFT JOIN rules r ON (u.host = r.host OR ends_with(u.host, '.' || r.host)) AND starts_with(u.path, r.path))
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN node IN (SELECT node FROM reach) THEN 'block' ELSE 'allow' END) AS verdict
+FROM found WHERE n = 1""",
 }

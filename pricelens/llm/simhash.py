@@ -19,9 +19,9 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from pricelens.llm.common import map_batches, materialize, partitions, text_list
+from pricelens.llm.common import keep_only, map_batches, materialize, partitions, text_list
 from pricelens.llm.components import connected_components
 
 RADIUS = 2
@@ -125,14 +125,18 @@ def forest(values: np.ndarray, ends: np.ndarray, radius: int = RADIUS) -> tuple[
 
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """doc_id and fp (the fingerprint's 64 bits as a long) of every row."""
+    """doc_id, fp (the fingerprint's 64 bits as a long) and text_hash of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(t, words) for t in text_list(batch)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "fp": pa.array(found)})
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "fp": pa.array(found), "text_hash": batch.column("text_hash")})
 
-    return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, fp long")
+    return map_batches(docs.select(F.col("doc_id").cast("long"), "text", text_hash()), run, "doc_id long, fp long, text_hash long")
+
+
+def text_hash() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("text_hash")
 
 
 def links(nodes: DataFrame) -> DataFrame:
@@ -179,13 +183,29 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], group: list[str], enough: i
         yield values, ends
 
 
-def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
-    """doc_id, fingerprint, component_id of every row; component_id is the smallest doc_id reachable over links."""
+def components(docs: DataFrame, words: int = 3) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, fp, text_hash), and for each fingerprint its component (a fingerprint) and component_id."""
     prints = materialize(fingerprints(docs, words), "simhash")
     nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
     component = connected_components(links(nodes))
     named = nodes.join(component.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    final = materialize(named.join(smallest, "component").select("fp", "component_id"), "simhash-components")
+    return prints, materialize(named.join(smallest, "component").select("fp", "component", "component_id"), "simhash-components")
+
+
+def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
+    """doc_id, fingerprint, component_id of every row; component_id is the smallest doc_id reachable over links."""
+    prints, found = components(docs, words)
     # one row per fingerprint on the right; a hot fingerprint on the left is split by the adaptive skew join
-    return prints.join(final, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return prints.join(found, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def drop_near_copies(docs: DataFrame, words: int = 3) -> DataFrame:
+    """The rows of ``docs``, all columns, with the smallest doc_id of their component; rows without an id come after those with one."""
+    prints, found = components(docs, words)
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    per_print = materialize(prints.groupBy("fp").agg(F.min(order).alias("first")), "simhash-firsts")
+    firsts = per_print.join(found, "fp").groupBy("component").agg(F.min("first").alias("first"))
+    chosen = materialize(found.join(firsts, "component").select("fp", F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("first_hash")), "simhash-chosen")
+    verdicts = prints.join(chosen, "fp").select("doc_id", F.col("text_hash").alias("key"), (F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_hash") == F.col("first_hash"))).alias("kept"))
+    return keep_only(docs, text_hash(), verdicts)

@@ -82,8 +82,9 @@ class TermReader:
             self.known.clear()
         chunks = Counter(text.lower().split())
         known = self.known
-        for c in chunks.keys() - known.keys():
-            known[c] = self._look_up(c)
+        for c in chunks:
+            if c not in known:
+                known[c] = self._look_up(c)
         found: Counter[str] = Counter()
         words: dict[str, list[str]] = {}
         for c, n in chunks.items():
