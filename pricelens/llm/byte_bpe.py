@@ -91,7 +91,7 @@ class ByteBpe:
         self.cache = ChunkCache(self._encode_units)
 
     def _encode_units(self, units: list[str]) -> list[bytes]:
-        tokens = [[u] if u[1:].isalpha() and u[0] == " " else self.split(u) for u in units]
+        tokens = [[u] if u[:1] == " " and u[1:].isalpha() else self.split(u) for u in units]
         distinct = {t for found in tokens for t in found}
         known: dict[str, bytes] = {}
         rest = []
@@ -107,12 +107,12 @@ class ByteBpe:
         known.update((t, flat[a:b]) for t, a, b in zip(rest, [0, *ends], ends))
         return [known[t[0]] if len(t) == 1 else b"".join(map(known.__getitem__, t)) for t in tokens]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        return [b"".join(v) for v in self.cache.values(texts)]
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text as unsigned 32-bit integers."""
+        return self.cache.ids(texts)
 
-    def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.bytes_of_rank.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+    def decode(self, ids: np.ndarray) -> bytes:
+        return b"".join(map(self.bytes_of_rank.__getitem__, ids.tolist()))
 
 
 @lru_cache(maxsize=2)
@@ -131,12 +131,12 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, *, with_ids: bool
             decoded = [codec.decode(i) for i in ids]
             columns = {
                 "doc_id": batch.column("doc_id"),
-                "n_tokens": pa.array([len(i) // 4 for i in ids], pa.int64()),
-                "ids_sha256": pa.array([hashlib.sha256(i).hexdigest() for i in ids], pa.string()),
+                "n_tokens": pa.array([len(i) for i in ids], pa.int64()),
+                "ids_sha256": pa.array([hashlib.sha256(i.tobytes()).hexdigest() for i in ids], pa.string()),
                 "decoded_sha256": pa.array([hashlib.sha256(d).hexdigest() for d in decoded], pa.string()),
             }
             if with_ids:
-                columns["ids"] = pa.array([np.frombuffer(i, "<u4").astype("i4") for i in ids], pa.list_(pa.int32()))
+                columns["ids"] = pa.array([i.astype("i4") for i in ids], pa.list_(pa.int32()))
                 columns["decoded"] = pa.array(decoded, pa.binary())
             yield pa.RecordBatch.from_pydict(columns)
 

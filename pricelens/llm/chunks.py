@@ -3,28 +3,37 @@
 The pre-tokenizer patterns used here never let a match run from a non-space into white space, nor from
 a letter into ASCII punctuation other than the apostrophe. So a text may be cut in front of every run of
 white space, and a chunk may be cut once more between its word and such punctuation; each unit is
-tokenized alone. A chunk seen before costs one dictionary lookup.
+tokenized alone. A batch of texts is split and its distinct chunks are found by Arrow; a chunk seen before
+costs one dictionary lookup per batch.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 _CHUNK = regex.compile(r"\s*\S+|\s+")
-_OTHER_SPACE = regex.compile(r"[\s--[ \n]]", regex.V1)
+#: White space other than single spaces and newlines between words.
+_IRREGULAR = r"[\t\x0b\x0c\r\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|  | \n|\n |\n\n"
 #: ASCII punctuation but the apostrophe, which may begin a contraction.
 _TAIL = "".join(c for c in map(chr, range(0x21, 0x7F)) if not c.isalnum() and c != "'")
+#: Characters of texts that are split together.
+_GROUP = 1 << 23
 
 
-def keys(text: str) -> list[str]:
+def are_regular(texts: list[str]) -> list[bool]:
+    """Whether white space is single spaces and newlines only, so that splitting at these gives the chunks."""
+    return pc.invert(pc.match_substring_regex(pa.array(texts, pa.string()), _IRREGULAR)).to_numpy(zero_copy_only=False).tolist()
+
+
+def split_keys(texts: list[str]) -> pa.ListArray:
     """One key per chunk: the word alone after a single space, else the chunk itself behind a carriage return or newline."""
-    if "  " in text or " \n" in text or "\n " in text or "\n\n" in text or _OTHER_SPACE.search(text):
-        return ["\r" + c for c in _CHUNK.findall(text)]
-    found = text.replace("\n", " \n").split(" ")
-    found[0] = "\r" + found[0] if found[0][:1] != "\n" else found[0]
-    return found
+    plain = pa.array(["\r" + t for t in texts], pa.string())
+    return pc.split_pattern(pc.replace_substring(plain, "\n", " \n"), " ")
 
 
 def chunk_of(key: str) -> str:
@@ -32,51 +41,92 @@ def chunk_of(key: str) -> str:
 
 
 class ChunkCache:
-    """Values of chunks (bytes or numbers, joined by +), computed once per distinct unit and worker.
+    """Values of chunks (bytes or numbers, joined by +), computed once per distinct unit and worker while they are in use.
 
-    ``compute`` maps a list of distinct units, the empty one included, to their values.
-    Each store is emptied when it holds ``limit`` entries, so memory is bounded; results do not depend on it.
+    ``compute`` maps a list of distinct units, the empty one included, to their values. The store has two
+    generations of ``limit`` entries: when the young one is full the old one is dropped, so memory is bounded
+    and frequent chunks stay. Results do not depend on it.
     """
 
-    def __init__(self, compute: Callable[[list[str]], list], limit: int = 600_000):
+    def __init__(self, compute: Callable[[list[str]], list], limit: int = 400_000):
         self.compute, self.limit = compute, limit
-        self.known: dict = {}
-        self.units: dict = {}
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def _known(self, keys: list[str]) -> list:
+        """Values of keys, None where unknown; what the old generation knows moves to the young one."""
+        values = list(map(self.young.get, keys))
+        for i, value in enumerate(values):
+            if value is None and (older := self.old.get(keys[i])) is not None:
+                values[i] = self.young[keys[i]] = older
+        return values
 
     def _learn(self, missing: list[str]) -> None:
+        young = self.young
         words = [k.rstrip(_TAIL) for k in missing]
-        # (word, tail) where the chunk is letters and punctuation, else the chunk alone
-        parts = [(w, "\r" + k[len(w):]) if w.isalpha() and len(w) < len(k) else (k,) for k, w in zip(missing, words, strict=True)]
-        new = list({u for p in parts for u in p}.difference(self.units))
-        self.units.update(zip(new, self.compute(list(map(chunk_of, new))), strict=True))
-        units = self.units
-        self.known.update((k, units[p[0]] + units[p[1]] if len(p) == 2 else units[p[0]]) for k, p in zip(missing, parts, strict=True))
-
-    def values(self, texts: list[str]) -> Iterator[list]:
-        """For each text the values of its chunks, in order."""
-        for group in _by_size(texts, 1 << 20):
-            if len(self.known) > self.limit:
-                self.known.clear()
-            if len(self.units) > self.limit:
-                self.units.clear()
-            cut = [keys(t) for t in group]
-            found = [list(map(self.known.get, c)) for c in cut]
-            open_ = [i for i, values in enumerate(found) if None in values]
-            if open_:
-                self._learn(list(set().union(*(cut[i] for i in open_)).difference(self.known)))
-                for i in open_:
-                    found[i] = list(map(self.known.__getitem__, cut[i]))
-            yield from found
-
-
-def _by_size(texts: list[str], size: int) -> Iterator[list[str]]:
-    """Consecutive texts of about ``size`` characters together."""
-    group, held = [], 0
-    for t in texts:
-        group.append(t)
-        held += len(t)
-        if held >= size:
-            yield group
-            group, held = [], 0
-    if group:
-        yield group
+        # (key, word, tail) where the chunk is letters and punctuation; other chunks are units
+        pairs = [(k, w, "\r" + k[len(w):]) for k, w in zip(missing, words, strict=True) if len(w) < len(k) and w.isalpha()]
+        parts = list({u for _, w, t in pairs for u in (w, t)})
+        new = {u for u, v in zip(parts, self._known(parts), strict=True) if v is None}
+        new.update(k for k, w in zip(missing, words, strict=True) if len(w) == len(k) or not w.isalpha())
+        new = list(new)
+        young.update(zip(new, self.compute(list(map(chunk_of, new))), strict=True))
+        for key, word, tail in pairs:
+            young[key] = young[word] + young[tail]
+
+    def _values(self, keys: pa.StringArray) -> tuple[list, np.ndarray]:
+        """Values of the distinct keys, and for every key the number of its value."""
+        coded = keys.dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        if len(self.young) > self.limit:
+            self.young, self.old = {}, self.young
+        values = self._known(distinct)
+        missing = [k for k, v in zip(distinct, values, strict=True) if v is None]
+        if missing:
+            self._learn(missing)
+            values = list(map(self.young.__getitem__, distinct))
+        return values, coded.indices.to_numpy()
+
+    def _groups(self, texts: list[str]) -> Iterator[tuple[list[int], list, np.ndarray, np.ndarray]]:
+        """Numbers of some texts, values of their distinct chunks, number of each chunk's value, chunks per text."""
+        kinds = are_regular(texts)
+        for regular in (True, False):
+            numbers, held = [], 0
+            chosen = [i for i, kind in enumerate(kinds) if kind == regular]
+            for i in [*chosen, -1]:
+                if numbers and (i < 0 or held > _GROUP):
+                    if regular:
+                        lists = split_keys([texts[n] for n in numbers])
+                        keys, counts = lists.flatten(), np.diff(lists.offsets.to_numpy())
+                    else:
+                        cut = [["\r" + c for c in _CHUNK.findall(texts[n])] for n in numbers]
+                        keys, counts = pa.array([k for c in cut for k in c], pa.string()), np.array([len(c) for c in cut])
+                    yield numbers, *self._values(keys), counts
+                    numbers, held = [], 0
+                numbers.append(i)
+                held += len(texts[i]) if i >= 0 else 0
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text, where values are little-endian unsigned 32-bit ids."""
+        out: list = [None] * len(texts)
+        for numbers, values, which, chunks in self._groups(texts):
+            flat = np.frombuffer(b"".join(values), "<u4")
+            sizes = np.fromiter(map(len, values), np.int64, len(values)) // 4
+            starts = np.cumsum(sizes) - sizes
+            size = sizes[which]
+            ends = np.cumsum(size)
+            ids = flat[np.repeat(starts[which] - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
+            bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(chunks)])]
+            for n, a, b in zip(numbers, bounds[:-1].tolist(), bounds[1:].tolist()):
+                out[n] = ids[a:b]
+        return out
+
+    def sums(self, texts: list[str]) -> list[int]:
+        """Sum over each text's chunks, where values are numbers."""
+        out = [0] * len(texts)
+        for numbers, values, which, chunks in self._groups(texts):
+            total = np.concatenate([[0], np.cumsum(np.array(values, np.int64)[which])])
+            bounds = total[np.concatenate([[0], np.cumsum(chunks)])]
+            for n, value in zip(numbers, np.diff(bounds).tolist()):
+                out[n] = value
+        return out

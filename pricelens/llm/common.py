@@ -13,7 +13,7 @@ from pricelens.session import materialize, work_dir
 __all__ = ["BATCH_ROWS", "crc_of_id", "keep_only", "map_batches", "materialize", "partitions", "table", "text_list", "work_dir"]
 
 #: Rows in one Arrow batch handed to Python: whole texts may be long, so batches stay small.
-BATCH_ROWS = 256
+BATCH_ROWS = 2048
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,7 +33,7 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable
 
 def text_list(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     """A column's texts; null counts as empty."""
-    return [t or "" for t in batch.column(batch.schema.get_field_index(name)).to_pylist()]
+    return [t or "" for t in batch.column(batch.schema.get_field_index(name)).to_numpy(zero_copy_only=False).tolist()]
 
 
 def crc_of_id(column: str | Column, modulus: int) -> Column:
@@ -47,13 +47,17 @@ def keep_only(docs: DataFrame, key: Column, verdicts: DataFrame) -> DataFrame:
 
     Only rejected keys travel to the documents, as an anti join. Of rows equal in doc_id and key one stays.
     """
+    mark = "verdict"
+    while any(c.startswith(mark) for c in docs.columns):
+        mark += "_"
+    ident, value, own = f"{mark}id", f"{mark}key", f"{mark}own"
     per = materialize(verdicts.groupBy("doc_id", "key").agg(F.max("kept").alias("any"), F.count("*").alias("rows")), "verdicts")
-    lost = per.filter(~F.col("any")).select(F.col("doc_id").alias("lost_id"), F.col("key").alias("lost_key"))
-    doubled = per.filter(F.col("any") & (F.col("rows") > 1)).select(F.col("doc_id").alias("lost_id"), F.col("key").alias("lost_key"))
-    keyed = docs.withColumn("verdict_key", key)
-    same = keyed["doc_id"].cast("long").eqNullSafe(F.col("lost_id")) & (F.col("verdict_key") == F.col("lost_key"))
+    lost = per.filter(~F.col("any")).select(F.col("doc_id").alias(ident), F.col("key").alias(value))
+    doubled = per.filter(F.col("any") & (F.col("rows") > 1)).select(F.col("doc_id").alias(ident), F.col("key").alias(value))
+    keyed = docs.withColumn(own, key)
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(ident)) & (F.col(own) == F.col(value))
     left = keyed.join(lost, same, "left_anti")
     if doubled.isEmpty():
         return left.select(docs.columns)
-    once = left.join(doubled, same, "left_semi").dropDuplicates(["doc_id", "verdict_key"])
+    once = left.join(doubled, same, "left_semi").dropDuplicates(["doc_id", own])
     return left.join(doubled, same, "left_anti").unionByName(once).select(docs.columns)

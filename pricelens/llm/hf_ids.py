@@ -7,11 +7,13 @@ import unicodedata
 from array import array
 from functools import lru_cache
 
+import numpy as np
+
 from pricelens.llm.chunks import ChunkCache
 
 
 class FileTokenizer:
-    """Whole texts to little-endian unsigned 32-bit ids, as the tokenizers library gives them without special tokens."""
+    """Whole texts to unsigned 32-bit ids, as the tokenizers library gives them without special tokens."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -40,10 +42,10 @@ class FileTokenizer:
             return text
         return text.lower()
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
         if self.lowers:
             texts = list(map(self._fold, texts))
-        return [b"".join(v) for v in self.cache.values(texts)]
+        return self.cache.ids(texts)
 
 
 @lru_cache(maxsize=2)

@@ -120,7 +120,7 @@ def tokenize(docs: DataFrame, path: str, end_id: int) -> DataFrame:
         width = 2 if max(tokenizer.vocab_size, end_id + 1) <= 1 << 16 else 4
         end = np.array([end_id], f"<u{width}").tobytes()
         for batch in batches:
-            ids = [np.frombuffer(i, "<u4").astype(f"<u{width}").tobytes() + end for i in tokenizer.encode(text_list(batch))]
+            ids = [i.astype(f"<u{width}").tobytes() + end for i in tokenizer.encode(text_list(batch))]
             yield pa.RecordBatch.from_pydict({
                 "doc_id": batch.column("doc_id"), "n": pa.array([len(i) // width for i in ids], pa.int64()),
                 "ids": pa.array(ids, pa.binary()), "width": pa.array([width] * len(ids), pa.int32()),

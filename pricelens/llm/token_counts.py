@@ -50,7 +50,7 @@ class MergeTable:
         self.byte_ids = np.array([vocab[c] for c in byte_alphabet()], np.int64)
         made: dict[str, int] = {}
         for rank, (left, right) in enumerate(merges):
-            if left + right in made or max(made.get(left, -1), made.get(right, -1)) >= rank:
+            if left + right in made or any(len(part) > 1 and part not in made for part in (left, right)):
                 raise ValueError(f"merge {rank} comes before its parts or is made twice")
             made[left + right] = rank
         keys = np.array([vocab[a] * self.size + vocab[b] for a, b in merges], np.int64)
@@ -111,7 +111,7 @@ class TokenCounter:
 
     def _pretokens(self, chunk: str) -> tuple[list[str], int]:
         """Pre-tokens of a chunk, and how many special tokens it holds."""
-        if chunk[1:].isalpha() and chunk[0] == " ":
+        if chunk[:1] == " " and chunk[1:].isalpha():
             return [chunk], 0
         if self.special is None or not self.special.search(chunk):
             return self.split(chunk), 0
@@ -133,7 +133,7 @@ class TokenCounter:
         return [sum(map(known.__getitem__, t)) + n for t, n in cut]
 
     def count(self, texts: list[str]) -> list[int]:
-        return [sum(v) for v in self.cache.values(texts)]
+        return self.cache.sums(texts)
 
 
 @lru_cache(maxsize=2)

@@ -31,7 +31,7 @@ BATCH_SEQUENCES = 64
 
 
 def _schema(dtype: pa.DataType, length: int) -> pa.Schema:
-    return pa.schema([("ids", pa.list_(dtype, length)), ("mask", pa.list_(pa.uint8(), length))])
+    return pa.schema([("ids", pa.list_(dtype, length)), ("mask", pa.list_(pa.bool_(), length))])
 
 
 class SequenceWriter:
@@ -55,8 +55,8 @@ class SequenceWriter:
         while len(flat) >= size or last and len(flat):
             real, flat = flat[:size], flat[size:]
             rows = -(-len(real) // self.length)
-            ids, mask = np.zeros(rows * self.length, self.dtype), np.zeros(rows * self.length, np.uint8)
-            ids[: len(real)], mask[: len(real)] = real, 1
+            ids, mask = np.zeros(rows * self.length, self.dtype), np.zeros(rows * self.length, bool)
+            ids[: len(real)], mask[: len(real)] = real, True
             lists = [pa.FixedSizeListArray.from_arrays(pa.array(v), self.length) for v in (ids, mask)]
             self.file.write_batch(pa.RecordBatch.from_arrays(lists, schema=self.schema))
         self.parts, self.held = [flat], len(flat)
@@ -73,29 +73,25 @@ class SequenceFile:
         self.file = pa.ipc.open_file(source)
         self.length = self.file.schema.field("ids").type.list_size
 
-    def batch(self, number: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and mask of one record batch, flat."""
-        batch = self.file.get_batch(number)
-        return tuple(batch.column(k).flatten().to_numpy(zero_copy_only=True) for k in (0, 1))
-
-    def sequence(self, row: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and mask of one sequence."""
-        ids, mask = self.batch(row // BATCH_SEQUENCES)
-        at = row % BATCH_SEQUENCES * self.length
-        return ids[at : at + self.length], mask[at : at + self.length]
+    def sequence(self, row: int) -> tuple[pa.Array, pa.Array]:
+        """Ids and mask of one sequence, without a copy; the mask is a bitmap."""
+        batch = self.file.get_batch(row // BATCH_SEQUENCES)
+        return tuple(batch.column(k).slice(row % BATCH_SEQUENCES, 1).flatten() for k in (0, 1))
 
     def slices(self, offsets: np.ndarray, counts: np.ndarray) -> Iterator[np.ndarray]:
         """Ids of consecutive token ranges."""
-        size, at, ids, mask = self.length * BATCH_SEQUENCES, -1, None, None
+        size, at, ids, real = self.length * BATCH_SEQUENCES, -1, None, 0
         for first, n in zip(offsets.tolist(), counts.tolist(), strict=True):
             parts = []
             while n:
                 if first // size != at:
                     at = first // size
-                    ids, mask = self.batch(at)
+                    batch = self.file.get_batch(at)
+                    ids, mask = (batch.column(k).flatten() for k in (0, 1))
+                    ids, real = ids.to_numpy(zero_copy_only=True), mask.true_count
                 low = first % size
                 take = min(n, size - low)
-                if not mask[low : low + take].all():
+                if low + take > real:
                     raise ValueError("a document reaches into padding")
                 parts.append(ids[low : low + take])
                 first, n = first + take, n - take
@@ -130,8 +126,9 @@ def write_store(docs: DataFrame, path: str, *, end_id: int = 0, length: int = 20
             writer = SequenceWriter(sink, dtype, length)
             for batch in batches:
                 for ids in tokenizer.encode(text_list(batch)):
-                    writer.append(np.concatenate([np.frombuffer(ids, "<u4"), end]))
-                    counts.append(len(ids) // 4 + 1)
+                    writer.append(ids)
+                    writer.append(end)
+                    counts.append(len(ids) + 1)
                 docs_ += batch.column("doc_id").to_pylist()
             writer.close()
         if docs_:
