@@ -67,11 +67,14 @@ def apply_filters(listings: DataFrame, filters: ListingFilters | None = None) ->
 
 
 def coerce_numbers(listings: DataFrame, columns: Iterable[str] = ("price", "year", "mileage_km")) -> DataFrame:
-    """Unparseable numbers become null; rows without a price are dropped."""
-    present = [c for c in columns if c in listings.columns]
+    """Text becomes a number, fractions kept; what is no finite number becomes null. Rows without a price are dropped."""
     text = {c for c, t in listings.dtypes if t == "string"}
-    casts = {c: F.col(c).try_cast("double").cast("bigint") for c in present if c in text}
-    return listings.withColumns(casts).dropna(subset=["price"]) if casts else listings.dropna(subset=["price"])
+
+    def finite(name: str) -> Column:
+        value = F.col(name).try_cast("double")
+        return F.when(~F.isnan(value) & (F.abs(value) != float("inf")), value)
+
+    return listings.withColumns({c: finite(c) for c in columns if c in text}).dropna(subset=["price"])
 
 
 def request_problem() -> Column:
