@@ -5,11 +5,22 @@ from __future__ import annotations
 import datetime as dt
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pricelens.functions import text as tx, vocabulary as vocab
 from pricelens.functions.dates import as_date, ingest_date
 from pricelens.functions.folding import casefold
+from pricelens.operators.merge import merge_into_table
+from pricelens.session import materialize
+
+@dataclass(frozen=True)
+class IngestRun:
+    """The merged batch and one row of counters: parsed, recent, old, unknown_date, added, upserted, stored."""
+
+    rows: DataFrame
+    counters: DataFrame
+
 
 GENERAL, CLEAN_CLAIMED = "general_24h", "clean_24h"
 
@@ -91,3 +102,40 @@ def batch_counters(rows: DataFrame) -> DataFrame:
         F.count("*").alias("parsed"), F.count_if(kind != "old").alias("recent"), F.count_if(kind == "old").alias("old"),
         F.count_if(kind == "unknown").alias("unknown_date"),
     )
+
+
+def ingest_rows(
+    parsed: DataFrame, table_path: str, filters: PageFilters, segment: str, *, cutoff: dt.date | str, run_date: dt.date | str, captured_at: str,
+    search: str = "", batch_id: int = 0,
+) -> IngestRun:
+    """Parsed page rows into the raw table: repair, defaults, segment, recency, number and capture time, merge.
+
+    Rows get an ``id`` from their source and listing id (or address), which a later capture of the same
+    listing gets again, so merging is an upsert and a replayed batch changes nothing.
+    """
+    spark = parsed.sparkSession
+    rows = apply_query_defaults(repair_shift(parsed, filters), search)
+    rows = with_recency(label_segment(rows, segment), cutoff, run_date)
+    identity = F.concat_ws("\x1f", "source", F.coalesce("source_listing_id", "listing_url", "title"))
+    rows = rows.withColumns({"id": F.xxhash64(identity), "scraped_at": F.lit(captured_at).cast("timestamp")})
+    rows = materialize(rows, "ingest-rows")
+    before = stored_rows(spark, table_path)
+    recent = keep_recent(rows)
+    merge_into_table(spark, table_path, recent, ["scraped_at", "page_key", "position"], batch_id=batch_id)
+    after = spark.read.parquet(table_path).count()
+    unique = recent.select("id").distinct().count()
+    added = after - before
+    counters = batch_counters(rows).withColumns({
+        "added": F.lit(added).cast("bigint"), "upserted": F.lit(unique - added).cast("bigint"), "stored": F.lit(after).cast("bigint"),
+    })
+    return IngestRun(recent, counters)
+
+
+def stored_rows(spark: SparkSession, table_path: str) -> int:
+    """Rows of the raw table; 0 before the first batch."""
+    try:
+        return spark.read.parquet(table_path).count()
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return 0

@@ -10,7 +10,7 @@ from pricelens.functions import text as tx
 from pricelens.functions.dates import ingest_date
 from pricelens.operators.merge import fold_by_key, merge_into_table
 from pricelens.plans import ingest, status
-from pricelens.session import spread, work_dir
+from pricelens.session import materialize, work_dir
 from pricelens.sources import pages as pg
 from pricelens.sources.warehouse import LISTINGS_SQL, listings, table
 from pricelens.streaming import jobs
@@ -21,10 +21,10 @@ RUN_DATE = "2001-12-31"
 MONTH_NAMES = ("Ocak", "Şubat", "Mart", "Nisan", "Mayıs", "Haziran", "Temmuz", "Ağustos", "Eylül", "Ekim", "Kasım", "Aralık")
 
 
-def result_pages(spark: SparkSession, sf: str) -> DataFrame:
-    """One result page per listing: a header row, the listing row, and a row without a title."""
+def result_pages(spark: SparkSession, sf: str, dated: bool = False) -> DataFrame:
+    """One result page per listing: a header row, the listing row, and a row without a title. ``dated``: listed on 1 January of its year."""
     cols = ["id", "source_listing_id", "title", "brand", "series", "model", "year", "mileage_km", "city", "price", "listing_url"]
-    rows = spread(listings(spark, sf, cols))
+    rows = listings(spark, sf, cols)
     cell = lambda kind, body: F.concat(F.lit(f'<td class="{kind}">'), body, F.lit("</td>"))
     html = F.concat(
         F.lit('<html><body><table><tr class="header"><td>Model</td></tr><tr class="searchResultsItem odd" data-id="'), "source_listing_id", F.lit('">'),
@@ -35,7 +35,7 @@ def result_pages(spark: SparkSession, sf: str) -> DataFrame:
         cell("searchResultsAttributeValue", F.when(F.col("mileage_km") > 250_000, "").otherwise(F.col("year").cast("string"))),
         cell("searchResultsAttributeValue", F.concat(F.format_number("mileage_km", 0), F.lit(" km"))), cell("searchResultsAttributeValue", F.lit("Mavi")),
         cell("searchResultsPriceValue", F.concat(F.lit('<div class="classified-price-container"><span>'), F.format_number("price", 0), F.lit(" TL</span><span>0</span></div>"))),
-        cell("searchResultsDateValue", F.lit("<span>12 Mayıs</span><br/><span>2001</span>")), cell("searchResultsLocationValue", F.concat("city", F.lit("<br/>/ Merkez"))),
+        cell("searchResultsDateValue", F.concat(F.lit("<span>1 Ocak</span><br/><span>"), F.col("year").cast("string"), F.lit("</span>")) if dated else F.lit("<span>12 Mayıs</span><br/><span>2001</span>")), cell("searchResultsLocationValue", F.concat("city", F.lit("<br/>/ Merkez"))),
         F.lit('</tr><tr class="searchResultsItem" data-id="77"><td class="searchResultsTitleValue"><a>ad</a></td></tr></table></body></html>'),
     )
     return rows.select(F.col("id").alias("page_id"), html.alias("html"))
@@ -53,7 +53,7 @@ def parsed_pages(spark: SparkSession, sf: str) -> DataFrame:
 @query("web_page_rows", "S10")
 def web_page_rows(spark: SparkSession, sf: str) -> DataFrame:
     # general web pages hold no result rows, so this must come out empty rather than fail
-    return pg.parse_results(spread(table(spark, sf, "pages")), "web")
+    return pg.parse_results(table(spark, sf, "pages"), "web")
 
 
 MARKED_SPARK = """concat(html, case when url like '%/fr/%' then '<p>BU İLAN yayında değildir</p> İlan No' when url like '%/de/%' then '<div id="classifiedDetail">'
@@ -68,10 +68,10 @@ CLASS_SQL = """CASE WHEN contains(lower(h), 'olağan dışı erişim') THEN 'acc
 
 
 def _marked(spark: SparkSession, sf: str) -> DataFrame:
-    return spread(table(spark, sf, "pages")).select("page_id", "url", F.expr(MARKED_SPARK).alias("html"))
+    return table(spark, sf, "pages").select("page_id", "url", F.expr(MARKED_SPARK).alias("html"))
 
 
-@query("page_status", "C30", "D11", sql=f"""WITH p AS (SELECT page_id, {MARKED_SQL} AS h FROM pages), c AS (SELECT page_id, {CLASS_SQL} AS status_reason FROM p)
+@query("page_status", "C30", sql=f"""WITH p AS (SELECT page_id, {MARKED_SQL} AS h FROM pages), c AS (SELECT page_id, {CLASS_SQL} AS status_reason FROM p)
 SELECT page_id, status_reason, CASE status_reason WHEN 'removed_marker' THEN 'removed' WHEN 'active_marker' THEN 'active' ELSE 'unknown' END AS status FROM c""")
 def page_status(spark: SparkSession, sf: str) -> DataFrame:
     return pg.classify_pages(_marked(spark, sf)).select("page_id", "status", "status_reason")
@@ -126,120 +126,11 @@ def ingest_dates(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("id", text_date(ingest_date(F.col("listing_date"), RUN_DATE)).alias("day"))
 
 
-@query("batch_counters", "F12", "I3", "A23", sql=f"""{_DATED_SQL} SELECT count(*) AS parsed, count(*) FILTER (day IS NULL OR day >= DATE '2000-06-01') AS recent,
-  count(*) FILTER (day < DATE '2000-06-01') AS old, count(*) FILTER (day IS NULL) AS unknown_date FROM d""")
-def batch_counters(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _with_turkish_date(listings(spark, sf, ["id", "mileage_km", "listing_day"]))
-    return ingest.batch_counters(ingest.with_recency(rows, "2000-06-01", RUN_DATE))
-
-
-def _arrivals(spark: SparkSession, sf: str) -> DataFrame:
-    rows = listings(spark, sf, ["id", "source", "source_listing_id", "title", "brand", "price", "is_clean_claimed", "scraped_at", "mileage_km", "transmission"])
-    return rows.select(
-        F.col("id").alias("arrival"), "id", "source", F.when(F.col("mileage_km") > 20_000, F.col("source_listing_id")).alias("source_listing_id"), "title", "brand",
-        "price", F.when(F.col("transmission") == "A", F.col("title")).alias("paint_status"), "is_clean_claimed", "scraped_at",
-    )
-
-
-UPSERT_SQL = f"""{WITH}, a AS (SELECT id AS arrival, id, source, CASE WHEN mileage_km > 20000 THEN source_listing_id END AS source_listing_id, title, brand, price,
-  CASE WHEN transmission = 'A' THEN title END AS paint_status, is_clean_claimed, scraped_at, (scraped_at, id) AS o FROM listings)
-SELECT arg_max(arrival, o) AS arrival, arg_min(id, o) AS id, source, source_listing_id, arg_max(title, o) AS title, arg_max(brand, o) AS brand, arg_max(price, o) AS price,
-  arg_max(paint_status, o) FILTER (paint_status IS NOT NULL) AS paint_status, max(is_clean_claimed) AS is_clean_claimed,
-  strftime(max(scraped_at), '%Y-%m-%d') AS scraped_at FROM a WHERE source_listing_id IS NOT NULL GROUP BY source, source_listing_id
-UNION ALL SELECT arrival, id, source, source_listing_id, title, brand, price, paint_status, is_clean_claimed, strftime(scraped_at, '%Y-%m-%d') FROM a WHERE source_listing_id IS NULL"""
-ORDER = ["scraped_at", "arrival"]
-
-
-@query("listing_upsert", "S4", "T10", sql=UPSERT_SQL)
-def listing_upsert(spark: SparkSession, sf: str) -> DataFrame:
-    return fold_by_key(_arrivals(spark, sf), ORDER).withColumn("scraped_at", text_date("scraped_at"))
-
-
-@query("merged_table", "S4", "D12", "I4", sql=UPSERT_SQL)
-def merged_table(spark: SparkSession, sf: str) -> DataFrame:
-    # two batches into a bucketed table, the second one delivered twice
+@query("batch_counters", "F12", "I3", "A23", sql=f"""{_DATED_SQL} SELECT count(*) AS parsed, count(*) FILTER (year >= 1998) AS recent, count(*) FILTER (year < 1998) AS old, 0 AS unknown_date,
+  count(DISTINCT source_listing_id) FILTER (year >= 1998) AS added, 0 AS upserted, count(DISTINCT source_listing_id) FILTER (year >= 1998) AS stored FROM listings""")
+def ingest_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Result pages to the raw table in one job: parse, repair, label, keep recent rows, number, merge; with its counters."""
+    pages = result_pages(spark, sf, dated=True)
+    rows = pg.parse_results(pages, "market", base_url="https://pages.test/")
     path = f"{work_dir(spark)}/raw-{uuid.uuid4().hex}"
-    rows = _arrivals(spark, sf)
-    newer = F.col("scraped_at") >= "1998-01-01"
-    merge_into_table(spark, path, rows.where(~newer), ORDER, batch_id=0, buckets=8)
-    for _ in range(2):
-        merge_into_table(spark, path, rows.where(newer), ORDER, batch_id=1, buckets=8)
-    return spark.read.parquet(path).drop("key_bucket", "merge_batch").withColumn("scraped_at", text_date("scraped_at"))
-
-
-@query("recheck_queue", "F11", "K6", sql=f"""{WITH}, q AS (SELECT id, source_listing_id, title, CASE WHEN mileage_km = 50000 THEN '  ' ELSE listing_url END AS listing_url,
-  CASE WHEN price < 200000 THEN NULL ELSE strftime(scraped_at, '%Y-%m-%d') END AS status_checked_at, scraped_at, CASE WHEN is_clean_claimed = 1 THEN 0 END AS is_active FROM listings)
-SELECT id, source_listing_id, title, listing_url, status_checked_at FROM q WHERE trim(listing_url) <> '' AND coalesce(is_active, 1) = 1
-ORDER BY status_checked_at IS NOT NULL, status_checked_at, scraped_at, id LIMIT 100""")
-def recheck_queue(spark: SparkSession, sf: str) -> DataFrame:
-    rows = listings(spark, sf, ["id", "source_listing_id", "title", "listing_url", "mileage_km", "price", "scraped_at", "is_clean_claimed"]).withColumns({
-        "listing_url": F.when(F.col("mileage_km") == 50_000, "  ").otherwise(F.col("listing_url")),
-        "status_checked_at": F.when(F.col("price") >= 200_000, text_date("scraped_at")),
-        "is_active": F.when(F.col("is_clean_claimed") == 1, 0),
-    })
-    return status.recheck_queue(rows)
-
-
-EVENT_STATUS = {"error": "removed", "purchase": "active"}
-EVENTS_SQL = "WITH e AS MATERIALIZED (SELECT user_id AS id, CASE event_type WHEN 'error' THEN 'removed' WHEN 'purchase' THEN 'active' ELSE 'unknown' END AS status, ts, event_type FROM events)"
-STATUS_SQL = f"""{EVENTS_SQL}, l AS (SELECT id, max(ts) FILTER (status = 'active') AS la, max(ts) FILTER (status = 'removed') AS lr, max(ts) AS seen, arg_max(event_type, ts) AS status_reason FROM e GROUP BY 1),
-f AS (SELECT e.id, min(ts) AS removed_at FROM e JOIN l USING (id) WHERE e.status = 'removed' AND (la IS NULL OR ts > la) GROUP BY 1)
-SELECT l.id, CASE WHEN removed_at IS NOT NULL THEN 0 WHEN la IS NOT NULL OR lr IS NOT NULL THEN 1 END AS is_active, strftime(seen, '%Y-%m-%d %H:%M:%S') AS status_checked_at,
-  strftime(removed_at, '%Y-%m-%d %H:%M:%S') AS removed_at, status_reason FROM l LEFT JOIN f USING (id)"""
-
-
-def _events(df: DataFrame) -> DataFrame:
-    kind = F.coalesce(*[F.when(F.col("event_type") == k, v) for k, v in EVENT_STATUS.items()], F.lit("unknown"))
-    return df.select(F.col("user_id").alias("id"), kind.alias("status"), F.col("ts").cast("timestamp").alias("checked_at"), F.col("event_type").alias("status_reason"))
-
-
-def _show_status(df: DataFrame) -> DataFrame:
-    shown = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
-    return df.select("id", "is_active", shown("status_checked_at"), shown("removed_at"), "status_reason")
-
-
-@query("listing_status", "I5", "D11", sql=STATUS_SQL)
-def listing_status(spark: SparkSession, sf: str) -> DataFrame:
-    return _show_status(status.fold_events(_events(table(spark, sf, "events"))))
-
-
-def _stream(spark: SparkSession, sf: str) -> tuple[DataFrame, str]:
-    base = f"{work_dir(spark)}/stream-{uuid.uuid4().hex}"
-    return jobs.read_arrivals(spark, sf, table(spark, sf, "events").schema, "events.parquet"), base
-
-
-@query("status_stream", "I5", "I2", sql=STATUS_SQL)
-def status_stream(spark: SparkSession, sf: str) -> DataFrame:
-    arrivals, base = _stream(spark, sf)
-    jobs.fold_status(_events(arrivals), f"{base}/states", jobs.checkpoint_for(base, "status", kinds=EVENT_STATUS)).awaitTermination()
-    return _show_status(jobs.read_states(spark, f"{base}/states"))
-
-
-@query("merge_stream", "I1", "I4", sql="""SELECT source_listing_id, arg_max(event_id, ts) AS event_id, round(arg_max(value, ts), 4) AS value
-FROM (SELECT *, CAST(user_id AS VARCHAR) AS source_listing_id FROM events) GROUP BY 1""")
-def merge_stream(spark: SparkSession, sf: str) -> DataFrame:
-    arrivals, base = _stream(spark, sf)
-    rows = arrivals.select(F.lit("events").alias("source"), F.col("user_id").cast("string").alias("source_listing_id"), "event_id", "value", "ts")
-    jobs.merge_arrivals(rows, f"{base}/raw", ["ts", "event_id"], jobs.checkpoint_for(base, "merge", days=30)).awaitTermination()
-    return rounded(spark.read.parquet(f"{base}/raw").select("source_listing_id", "event_id", "value"))
-
-
-@query("repeat_filter_stream", "I4", sql="SELECT event_id, user_id FROM events")
-def repeat_filter_stream(spark: SparkSession, sf: str) -> DataFrame:
-    # every event is delivered twice; one copy of each remains
-    arrivals, base = _stream(spark, sf)
-    doubled = arrivals.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
-    jobs.append_to(jobs.without_repeats(doubled, ["event_id"], "ts", "1 hour"), f"{base}/once", f"{base}/once-checkpoint").awaitTermination()
-    return spark.read.parquet(f"{base}/once").select("event_id", "user_id")
-
-
-@query("daily_window_stream", "I6", "I3", sql="""SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, CAST(round(sum(value) * 100) AS BIGINT) AS total_cents, min(value) AS minimum, max(value) AS maximum, count(*) AS count
-FROM events GROUP BY 1, 2""")
-def daily_window_stream(spark: SparkSession, sf: str) -> DataFrame:
-    arrivals, base = _stream(spark, sf)
-    stats = jobs.window_statistics(arrivals.withColumn("ts", F.col("ts").cast("timestamp")), "ts", ["event_type"], "value")
-    jobs.upsert_windows(stats, f"{base}/windows", ["event_type"], f"{base}/windows-checkpoint").awaitTermination()
-    rows = jobs.read_windows(spark, f"{base}/windows", ["event_type"])
-    # the mean is shown as a whole total, so that both engines print the same number
-    total = F.round(F.col("mean") * F.col("count") * 100).cast("bigint")
-    return rows.select(text_date("window_start").alias("day"), "event_type", total.alias("total_cents"), "minimum", "maximum", "count")
+    return ingest.ingest_rows(rows, path, ingest.PageFilters(), ingest.GENERAL, cutoff="1998-01-01", run_date=RUN_DATE, captured_at="2001-12-31 06:00:00").counters
