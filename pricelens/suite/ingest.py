@@ -24,7 +24,8 @@ MONTH_NAMES = ("Ocak", "Şubat", "Mart", "Nisan", "Mayıs", "Haziran", "Temmuz",
 def result_pages(spark: SparkSession, sf: str, dated: bool = False) -> DataFrame:
     """One result page per listing: a header row, the listing row, and a row without a title. ``dated``: listed on 1 January of its year."""
     cols = ["id", "source_listing_id", "title", "brand", "series", "model", "year", "mileage_km", "city", "price", "listing_url"]
-    rows = listings(spark, sf, cols)
+    # narrow rows are dealt out before the pages are written from them; each table here is one small file
+    rows = listings(spark, sf, cols).repartition("id")
     cell = lambda kind, body: F.concat(F.lit(f'<td class="{kind}">'), body, F.lit("</td>"))
     html = F.concat(
         F.lit('<html><body><table><tr class="header"><td>Model</td></tr><tr class="searchResultsItem odd" data-id="'), "source_listing_id", F.lit('">'),
