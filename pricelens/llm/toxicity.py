@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from pricelens.llm.common import crc_of_id, map_batches, materialize, text_list
+from pricelens.llm.common import crc_of_id, map_batches, materialize, partitions, text_list
 from pricelens.llm.quality import labelled
 
 MAX_ROWS = 20_000
@@ -317,10 +317,23 @@ def vote(counts: DataFrame, voter: Voter, keep: tuple[str, ...]) -> DataFrame:
     return map_batches(counts.select(*keep, "terms", "tf"), run, ", ".join(f"{c} {types[c]}" for c in keep) + ", score double, neighbour_id long, neighbour_cosine double, evidence array<string>", rows=512)
 
 
+def document_frequency(counts: DataFrame, size: int) -> dict[int, int]:
+    """Documents of each term; every task counts its own rows, so at most ``size`` rows a task are shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size, np.int64)
+        for batch in batches:
+            total += np.bincount(batch.column("terms").flatten().to_numpy(), minlength=size)
+        terms = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"term": pa.array(terms, pa.int32()), "n": pa.array(total[terms])})
+
+    found = map_batches(counts.select("terms"), run, "term int, n long", rows=10_000).groupBy("term").agg(F.sum("n").alias("n"))
+    return {r["term"]: r["n"] for r in found.collect()}  # at most MAX_TERMS rows
+
+
 def corpus_voter(counts: DataFrame, terms: list[str], examples: DataFrame) -> Voter:
     """A voter whose document frequencies come from all of ``counts``."""
-    frequency = {r["term"]: r["n"] for r in counts.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n")).collect()}  # at most MAX_TERMS rows
-    return make_voter(terms, examples, counts.count(), frequency)
+    return make_voter(terms, examples, counts.count(), document_frequency(counts, len(terms)))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD, max_rows: int = MAX_ROWS, modulus: int = 3, held_out: int = 1) -> DataFrame:
@@ -328,7 +341,8 @@ def score_documents(docs: DataFrame, labels: DataFrame, *, threshold: float = TH
     terms, examples = train(docs, labels, max_rows=max_rows, modulus=modulus, held_out=held_out)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     counts = materialize(count_terms(plain, terms, ("doc_id",)), "toxicity-counts")
-    scored = vote(counts, corpus_voter(counts, terms, examples), ("doc_id",))
+    # the counts are far smaller than the texts, so their few files are dealt out for the search
+    scored = vote(counts.repartition(partitions(docs.sparkSession), "doc_id"), corpus_voter(counts, terms, examples), ("doc_id",))
     return scored.select("doc_id", (crc_of_id("doc_id", modulus) == held_out).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "neighbour_id", "neighbour_cosine", "evidence")
 
 
