@@ -10,12 +10,15 @@ from pricelens.functions import vocabulary as vocab
 from pricelens.functions.folding import casefold, literal_map
 from pricelens.functions.text import SPACE_CLASS, squeeze, strip
 
-# Day-first and ISO layouts accepted when no month name is present.
+# Layouts accepted when no month name decides: ISO forms, then day-first forms.
 FALLBACK_FORMATS = (
-    "yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy/MM/dd", "d/M/yyyy", "d.M.yyyy", "d-M-yyyy",
-    "d/M/yyyy HH:mm", "d.M.yyyy HH:mm", "d MMM yyyy", "d MMMM yyyy",
+    "yyyy-MM-dd", "yyyy-MM-dd HH:mm[:ss][.SSSSSS][.SSS]", "yyyy-MM-dd'T'HH:mm[:ss][.SSSSSS][.SSS][XXX]", "yyyy/MM/dd", "yyyy.MM.dd", "yyyyMMdd",
+    "d/M/yyyy[ HH:mm[:ss]]", "d.M.yyyy[ HH:mm[:ss]]", "d-M-yyyy[ HH:mm[:ss]]", "d MMM yyyy", "d MMMM yyyy", "d-MMM-yyyy", "MMM d, yyyy", "MMMM d, yyyy",
 )
 
+# Layouts with a year of two digits: 69 to 99 belong to the last century.
+SHORT_YEAR_FORMATS = ("d.M.yy", "d/M/yy", "d-M-yy")
+
 
 def as_date(run_date: dt.date | str | Column) -> Column:
     return run_date if isinstance(run_date, Column) else F.lit(str(run_date)).cast("date")
@@ -38,7 +41,9 @@ def listing_date(text: Column, run_date: dt.date | str | Column) -> Column:
     pattern = rf"([0-9]{{1,2}}){SPACE_CLASS}+([A-Za-zÇĞİÖŞÜçğıöşü]+){SPACE_CLASS}+([0-9]{{4}})"
     part = [F.regexp_extract(trimmed, pattern, i) for i in (1, 2, 3)]
     month = _month_number(casefold(part[1]))
-    general = F.coalesce(*[F.try_to_timestamp(trimmed, F.lit(f)) for f in FALLBACK_FORMATS]).cast("date")
+    parsed = lambda formats: F.coalesce(*[F.try_to_timestamp(trimmed, F.lit(f)) for f in formats]).cast("date")
+    short = parsed(SHORT_YEAR_FORMATS)
+    general = F.coalesce(parsed(FALLBACK_FORMATS), F.when(F.year(short) > 2068, F.add_months(short, -1200)).otherwise(short))
     return (
         F.when(trimmed.isNull() | (trimmed == ""), F.lit(None))
         .when(folded.isin("bugün", "bugun"), today)

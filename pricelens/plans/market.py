@@ -10,6 +10,7 @@ from pricelens.functions import vocabulary as vocab
 from pricelens.functions.dates import listing_date
 from pricelens.functions.text import turkish_lower
 from pricelens.operators.bands import band_label, band_order
+from pricelens.operators.lookup import lookup_join
 from pricelens.operators.filters import ListingFilters, apply_filters, is_clean
 from pricelens.operators.quantiles import QUARTILES, price_statistics
 
@@ -123,7 +124,9 @@ def relationship_summary(listings: DataFrame, filters: ListingFilters | None = N
 def with_listing_day(listings: DataFrame, run_date: dt.date | str) -> DataFrame:
     if "listing_day" in listings.columns:
         return listings
-    return listings.withColumn("listing_day", listing_date(F.col("listing_date"), run_date))
+    # each written date is parsed once, however many listings share it
+    days = listings.select("listing_date").distinct().withColumn("listing_day", listing_date(F.col("listing_date"), run_date))
+    return lookup_join(listings, days, ["listing_date"])
 
 
 def daily_trend(
@@ -165,7 +168,7 @@ def newest_listings(listings: DataFrame, filters: ListingFilters | None = None,
     top = rows.orderBy(F.desc_nulls_last("scraped_at"), *([F.desc("id")] if "id" in rows.columns else [])).limit(limit)
     out = [F.col(c) if c in rows.columns else F.lit(None).alias(c) for c in shown if c not in ("title", "price")]
     title = F.coalesce(F.nullif(F.col("title"), F.lit("")), F.lit(vocab.UNTITLED)) if "title" in rows.columns else F.lit(vocab.UNTITLED)
-    return top.select(*out, title.alias("title"), F.col("price").cast("double").alias("price"))
+    return top.select(*out, title.alias("title"), F.col("price").cast("double").alias("price"), F.lit(None).cast("double").alias("similarity_score"))
 
 
 def distinct_values(listings: DataFrame, column: str, filters: ListingFilters | None = None) -> DataFrame:

@@ -19,13 +19,15 @@ def fold_events(events: DataFrame, state: DataFrame | None = None, total: int |
     """Status per listing after all of ``events(id, status, checked_at, status_reason)``.
 
     The first removal after the last active check is the removal time; an active check clears it;
-    an unknown check changes neither. A stored state takes part as its last active check, its removal and its
-    latest check, so late events give what all events at once would give.
+    an unknown check changes neither. A stored state takes part as its last active check, its first and last
+    removal since, and its latest check. Late events so give what all events at once would give, but for one
+    case: an active check that arrives late between two removals leaves the time of the last one, which may
+    not be the first after that check.
     """
     if state is not None:
         event = lambda status, time: state.where(F.col(time).isNotNull()).select("id", F.lit(status).alias("status"), F.col(time).alias("checked_at"), "status_reason")
         # the latest check survives as an event that decides nothing
-        events = events.unionByName(event("active", "last_active_at")).unionByName(event("removed", "removed_at")).unionByName(event("unknown", "status_checked_at"))
+        events = events.unionByName(event("active", "last_active_at")).unionByName(event("removed", "removed_at")).unionByName(event("removed", "last_removed_at")).unionByName(event("unknown", "status_checked_at"))
     at = F.col("checked_at")
     when = lambda status: F.when(F.col("status") == status, at)
     summary = events.groupBy("id").agg(
@@ -40,7 +42,7 @@ def fold_events(events: DataFrame, state: DataFrame | None = None, total: int |
     joined = summary.join(first, "id", "left")
     decided = F.col("last_active").isNotNull() | F.col("last_removed").isNotNull()
     is_active = F.when(F.col("removed_at").isNotNull(), 0).when(decided, 1)
-    return joined.select("id", is_active.cast("int").alias("is_active"), "status_checked_at", "removed_at", F.col("last_active").alias("last_active_at"), "status_reason")
+    return joined.select("id", is_active.cast("int").alias("is_active"), "status_checked_at", "removed_at", F.col("last_active").alias("last_active_at"), F.col("last_removed").alias("last_removed_at"), "status_reason")
 
 
 def apply_status(listings: DataFrame, states: DataFrame) -> DataFrame:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pricelens.operators.filters import ListingFilters
 from pricelens.plans import coverage as cov, market, snapshots as snap
 from pricelens.session import work_dir
 from pricelens.sources import listings as src
-from pricelens.sources.catalog import brand_map, canonical_entries, flatten_catalog, nest_catalog
+from pricelens.sources.catalog import brand_map, canonical_entries, flatten_catalog, read_catalog, write_catalog
 from pricelens.sources.warehouse import LISTINGS_SQL, listings, table
 from pricelens.suite.registry import query, rounded, text_date
 
@@ -39,7 +41,6 @@ def market_snapshots(spark: SparkSession, sf: str) -> DataFrame:
 @query("snapshot_table", "S8", "I6", sql=f"{MONTHLY_SQL} SELECT {_SNAP_COLUMNS} FROM snaps")
 def snapshot_table(spark: SparkSession, sf: str) -> DataFrame:
     # saved twice: the second run must leave the same rows
-    import uuid
 
     path = f"{work_dir(spark)}/snapshots-{uuid.uuid4().hex}"
     rows = monthly(spark, sf)
@@ -144,7 +145,6 @@ def coverage_totals(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("coverage_csv", "S7", sql=f"{COVERAGE_SQL} SELECT brand, series, model AS package, listing_count, status FROM report WHERE level = 'model'")
 def coverage_csv(spark: SparkSession, sf: str) -> DataFrame:
-    import uuid
 
     folder = f"{work_dir(spark)}/coverage-{uuid.uuid4().hex}"
     cov.write_coverage(cov.coverage(listings(spark, sf, ["brand", "series", "model"]), canonical(spark, sf)), folder)
@@ -155,8 +155,10 @@ def coverage_csv(spark: SparkSession, sf: str) -> DataFrame:
 @query("catalog_flattened", "S5", sql="""SELECT DISTINCT upper(p_brand) AS brand, CASE WHEN p_size > 48 THEN p_type || ' X' ELSE p_type END AS series,
   CASE WHEN p_size > 40 THEN p_name || ' plus' ELSE p_name END AS model FROM part""")
 def catalog_flattened(spark: SparkSession, sf: str) -> DataFrame:
-    # nested as the catalog file stores it, then flattened again
-    return flatten_catalog(nest_catalog(catalog_entries(spark, sf)))
+    # written as catalog files, then read and flattened
+    path = f"{work_dir(spark)}/catalog-{uuid.uuid4().hex}"
+    write_catalog(catalog_entries(spark, sf), path)
+    return flatten_catalog(read_catalog(spark, path, multi_line=False))
 
 
 @query("model_options", "J6", "U1", sql=f"""WITH {LISTINGS_SQL}, {CATALOG_SQL}, l AS (

@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from pricelens.functions import text as tx
 from pricelens.functions.dates import ingest_date
 from pricelens.operators.merge import fold_by_key, merge_into_table
 from pricelens.plans import ingest, status
+from pricelens.plans.clean_build import CleanRules, decide_rows
 from pricelens.session import materialize, work_dir
 from pricelens.sources import pages as pg
+from pricelens.sources.catalog import brand_map
 from pricelens.sources.warehouse import LISTINGS_SQL, listings, table
 from pricelens.streaming import jobs
 from pricelens.suite.registry import query, rounded, text_date
@@ -127,7 +131,167 @@ def ingest_dates(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("id", text_date(ingest_date(F.col("listing_date"), RUN_DATE)).alias("day"))
 
 
-@query("batch_counters", "F12", "I3", "A23", sql=f"""{_DATED_SQL} SELECT count(*) AS parsed, count(*) FILTER (year >= 1998) AS recent, count(*) FILTER (year < 1998) AS old, 0 AS unknown_date,
+@query("batch_counters", "F12", "I3", "A23", sql=f"""{_DATED_SQL} SELECT count(*) AS parsed, count(*) FILTER (day IS NULL OR day >= DATE '2000-06-01') AS recent,
+  count(*) FILTER (day < DATE '2000-06-01') AS old, count(*) FILTER (day IS NULL) AS unknown_date FROM d""")
+def batch_counters(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _with_turkish_date(listings(spark, sf, ["id", "mileage_km", "listing_day"]))
+    return ingest.batch_counters(ingest.with_recency(rows, "2000-06-01", RUN_DATE))
+
+
+def _arrivals(spark: SparkSession, sf: str) -> DataFrame:
+    rows = listings(spark, sf, ["id", "source", "source_listing_id", "title", "brand", "price", "is_clean_claimed", "scraped_at", "mileage_km", "transmission"])
+    return rows.select(
+        F.col("id").alias("arrival"), "id", "source", F.when(F.col("mileage_km") > 20_000, F.col("source_listing_id")).alias("source_listing_id"), "title", "brand",
+        "price", F.when(F.col("transmission") == "A", F.col("title")).alias("paint_status"), "is_clean_claimed", "scraped_at",
+    )
+
+
+UPSERT_SQL = f"""{WITH}, a AS (SELECT id AS arrival, id, source, CASE WHEN mileage_km > 20000 THEN source_listing_id END AS source_listing_id, title, brand, price,
+  CASE WHEN transmission = 'A' THEN title END AS paint_status, is_clean_claimed, scraped_at, (scraped_at, id) AS o FROM listings)
+SELECT arg_max(arrival, o) AS arrival, arg_min(id, o) AS id, source, source_listing_id, arg_max(title, o) AS title, arg_max(brand, o) AS brand, arg_max(price, o) AS price,
+  arg_max(paint_status, o) FILTER (paint_status IS NOT NULL) AS paint_status, max(is_clean_claimed) AS is_clean_claimed,
+  strftime(max(scraped_at), '%Y-%m-%d') AS scraped_at FROM a WHERE source_listing_id IS NOT NULL GROUP BY source, source_listing_id
+UNION ALL SELECT arrival, id, source, source_listing_id, title, brand, price, paint_status, is_clean_claimed, strftime(scraped_at, '%Y-%m-%d') FROM a WHERE source_listing_id IS NULL"""
+ORDER = ["scraped_at", "arrival"]
+
+
+@query("listing_upsert", "S4", "T10", sql=UPSERT_SQL)
+def listing_upsert(spark: SparkSession, sf: str) -> DataFrame:
+    return fold_by_key(_arrivals(spark, sf), ORDER).withColumn("scraped_at", text_date("scraped_at"))
+
+
+@query("merged_table", "S4", "I4", sql=UPSERT_SQL)
+def merged_table(spark: SparkSession, sf: str) -> DataFrame:
+    # two batches into a bucketed table, the second one delivered twice
+    path = f"{work_dir(spark)}/raw-{uuid.uuid4().hex}"
+    rows = _arrivals(spark, sf)
+    newer = F.col("scraped_at") >= "1998-01-01"
+    merge_into_table(spark, path, rows.where(~newer), ORDER, batch_id=0, buckets=8)
+    for _ in range(2):
+        merge_into_table(spark, path, rows.where(newer), ORDER, batch_id=1, buckets=8)
+    return spark.read.parquet(path).drop("key_bucket", "merge_batch").withColumn("scraped_at", text_date("scraped_at"))
+
+
+@query("recheck_queue", "F11", "K6", sql=f"""{WITH}, q AS (SELECT id, source_listing_id, title, CASE WHEN mileage_km = 50000 THEN '  ' ELSE listing_url END AS listing_url,
+  CASE WHEN price < 200000 THEN NULL ELSE strftime(scraped_at, '%Y-%m-%d') END AS status_checked_at, scraped_at, CASE WHEN is_clean_claimed = 1 THEN 0 END AS is_active FROM listings)
+SELECT id, source_listing_id, title, listing_url, status_checked_at FROM q WHERE trim(listing_url) <> '' AND coalesce(is_active, 1) = 1
+ORDER BY status_checked_at IS NOT NULL, status_checked_at, scraped_at, id LIMIT 100""")
+def recheck_queue(spark: SparkSession, sf: str) -> DataFrame:
+    rows = listings(spark, sf, ["id", "source_listing_id", "title", "listing_url", "mileage_km", "price", "scraped_at", "is_clean_claimed"]).withColumns({
+        "listing_url": F.when(F.col("mileage_km") == 50_000, "  ").otherwise(F.col("listing_url")),
+        "status_checked_at": F.when(F.col("price") >= 200_000, text_date("scraped_at")),
+        "is_active": F.when(F.col("is_clean_claimed") == 1, 0),
+    })
+    return status.recheck_queue(rows)
+
+
+EVENT_STATUS = {"error": "removed", "purchase": "active"}
+EVENTS_SQL = "WITH e AS MATERIALIZED (SELECT user_id AS id, CASE event_type WHEN 'error' THEN 'removed' WHEN 'purchase' THEN 'active' ELSE 'unknown' END AS status, ts, event_type FROM events)"
+STATUS_SQL = f"""{EVENTS_SQL}, l AS (SELECT id, max(ts) FILTER (status = 'active') AS la, max(ts) FILTER (status = 'removed') AS lr, max(ts) AS seen, arg_max(event_type, ts) AS status_reason FROM e GROUP BY 1),
+f AS (SELECT e.id, min(ts) AS removed_at FROM e JOIN l USING (id) WHERE e.status = 'removed' AND (la IS NULL OR ts > la) GROUP BY 1)
+SELECT l.id, CASE WHEN removed_at IS NOT NULL THEN 0 WHEN la IS NOT NULL OR lr IS NOT NULL THEN 1 END AS is_active, strftime(seen, '%Y-%m-%d %H:%M:%S') AS status_checked_at,
+  strftime(removed_at, '%Y-%m-%d %H:%M:%S') AS removed_at, status_reason FROM l LEFT JOIN f USING (id)"""
+
+
+def _events(df: DataFrame) -> DataFrame:
+    kind = F.coalesce(*[F.when(F.col("event_type") == k, v) for k, v in EVENT_STATUS.items()], F.lit("unknown"))
+    return df.select(F.col("user_id").alias("id"), kind.alias("status"), F.col("ts").cast("timestamp").alias("checked_at"), F.col("event_type").alias("status_reason"))
+
+
+def _show_status(df: DataFrame) -> DataFrame:
+    shown = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    return df.select("id", "is_active", shown("status_checked_at"), shown("removed_at"), "status_reason")
+
+
+@query("listing_status", "I5", sql=STATUS_SQL)
+def listing_status(spark: SparkSession, sf: str) -> DataFrame:
+    return _show_status(status.fold_events(_events(table(spark, sf, "events"))))
+
+
+def _in_steps(spark: SparkSession, sf: str, job: Callable[[DataFrame, str], StreamingQuery], by_time: bool) -> str:
+    """Run a job over three deliveries of the events, started anew after each; the folder it works in.
+
+    By time the deliveries follow each other; else they are mixed, so most events of the later ones are late.
+    """
+    base = f"{work_dir(spark)}/stream-{uuid.uuid4().hex}"
+    events = table(spark, sf, "events")
+    if by_time:
+        first, last = events.agg(F.min(F.unix_timestamp("ts")), F.max(F.unix_timestamp("ts"))).first()
+        # a delivery ends with a day
+        part = F.least(F.lit(2), F.floor((F.unix_timestamp(F.date_trunc("day", "ts")) - F.lit(first)) * 3 / F.lit(last - first + 1)))
+    else:
+        part = F.col("event_id") % 3
+    for k in range(3):
+        events.where(F.greatest(part, F.lit(0)) == k).repartition(2).write.mode("append").parquet(f"{base}/arrivals")
+        job(jobs.read_arrivals(spark, f"{base}/arrivals", events.schema, files_per_trigger=1), base).awaitTermination()
+    return base
+
+
+@query("status_stream", "I5", "I2", sql=STATUS_SQL)
+def status_stream(spark: SparkSession, sf: str) -> DataFrame:
+    job = lambda rows, base: jobs.fold_status(_events(rows), f"{base}/states", jobs.checkpoint_for(base, "status", kinds=EVENT_STATUS))
+    return _show_status(jobs.read_states(spark, f"{_in_steps(spark, sf, job, by_time=True)}/states"))
+
+
+@query("merge_stream", "I1", "I4", sql="""SELECT source_listing_id, arg_max(event_id, ts) AS event_id, round(arg_max(value, ts), 4) AS value
+FROM (SELECT *, CAST(user_id AS VARCHAR) AS source_listing_id FROM events) GROUP BY 1""")
+def merge_stream(spark: SparkSession, sf: str) -> DataFrame:
+    def job(rows: DataFrame, base: str) -> StreamingQuery:
+        keyed = rows.select(F.lit("events").alias("source"), F.col("user_id").cast("string").alias("source_listing_id"), "event_id", "value", "ts")
+        return jobs.merge_arrivals(keyed, f"{base}/raw", ["ts", "event_id"], jobs.checkpoint_for(base, "merge", days=30))
+
+    base = _in_steps(spark, sf, job, by_time=False)
+    return rounded(spark.read.parquet(f"{base}/raw").select("source_listing_id", "event_id", "value"))
+
+
+@query("repeat_filter_stream", "I4", sql="SELECT event_id, user_id FROM events")
+def repeat_filter_stream(spark: SparkSession, sf: str) -> DataFrame:
+    # every event is delivered twice; one copy of each remains
+    def job(rows: DataFrame, base: str) -> StreamingQuery:
+        doubled = rows.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
+        return jobs.append_to(jobs.without_repeats(doubled, ["event_id"], "ts", "400 days"), f"{base}/once", f"{base}/once-checkpoint")
+
+    return spark.read.parquet(f"{_in_steps(spark, sf, job, by_time=True)}/once").select("event_id", "user_id")
+
+
+@query("daily_window_stream", "I6", "I3", sql="""SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, CAST(round(sum(value) * 100) AS BIGINT) AS total_cents, min(value) AS minimum, max(value) AS maximum, count(*) AS count
+FROM events GROUP BY 1, 2""")
+def daily_window_stream(spark: SparkSession, sf: str) -> DataFrame:
+    def job(rows: DataFrame, base: str) -> StreamingQuery:
+        stats = jobs.window_statistics(rows.withColumn("ts", F.col("ts").cast("timestamp")), "ts", ["event_type"], "value", delay="400 days")
+        return jobs.upsert_windows(stats, f"{base}/windows", ["event_type"], f"{base}/windows-checkpoint")
+
+    rows = jobs.read_windows(spark, f"{_in_steps(spark, sf, job, by_time=True)}/windows", ["event_type"])
+    # the mean is shown as a whole total, so that both engines print the same number
+    total = F.round(F.col("mean") * F.col("count") * 100).cast("bigint")
+    return rows.select(text_date("window_start").alias("day"), "event_type", total.alias("total_cents"), "minimum", "maximum", "count")
+
+
+_FETCHED_SQL = f"""p AS MATERIALIZED (SELECT page_id, {MARKED_SQL} AS h FROM pages), c AS MATERIALIZED (SELECT page_id, {CLASS_SQL} AS status_reason FROM p),
+f AS (SELECT concat('https://listings.test/', page_id, '/', n) AS url, status_reason,
+  CASE status_reason WHEN 'removed_marker' THEN 'removed' WHEN 'active_marker' THEN 'active' ELSE 'unknown' END AS status,
+  TIMESTAMP '2001-01-01' + to_days(CAST((page_id + n) % 7 AS INTEGER)) AS fetched_at FROM c, (VALUES (1), (2), (3)) t(n))"""
+
+
+@query("status_refresh", "D11", "C30", sql=f"""{WITH}, {_FETCHED_SQL}
+SELECT id, CASE status WHEN 'removed' THEN 0 WHEN 'active' THEN 1 END AS is_active, strftime(fetched_at, '%Y-%m-%d %H:%M:%S') AS status_checked_at,
+  CASE status WHEN 'removed' THEN strftime(fetched_at, '%Y-%m-%d %H:%M:%S') END AS removed_at, status_reason FROM listings LEFT JOIN f ON listing_url = url""")
+def status_refresh(spark: SparkSession, sf: str) -> DataFrame:
+    """Saved pages, each fetched for up to three listings of an order, put onto the stored listings."""
+    fetched = pg.classify_pages(_marked(spark, sf)).withColumn("n", F.explode(F.array(*[F.lit(n) for n in (1, 2, 3)])))
+    fetched = fetched.select(
+        F.concat(F.lit("https://listings.test/"), "page_id", F.lit("/"), "n").alias("url"), "status", "status_reason",
+        F.date_add(F.lit("2001-01-01").cast("date"), ((F.col("page_id") + F.col("n")) % 7).cast("int")).cast("timestamp").alias("fetched_at"),
+    )
+    stored = listings(spark, sf, ["id", "listing_url"]).withColumns({
+        "is_active": F.lit(None).cast("int"), "status_reason": F.lit(None).cast("string"), **{c: F.lit(None).cast("timestamp") for c in ("status_checked_at", "removed_at")},
+    })
+    states = materialize(status.fold_events(materialize(status.status_events(stored, fetched), "status-events")), "status-states")
+    return _show_status(status.apply_status(stored, states))
+
+
+@query("ingest_pages", "D12", "F12", "A23", sql=f"""{WITH}
+SELECT count(*) AS parsed, count(*) FILTER (year >= 1998) AS recent, count(*) FILTER (year < 1998) AS old, 0 AS unknown_date,
   count(DISTINCT source_listing_id) FILTER (year >= 1998) AS added, 0 AS upserted, count(DISTINCT source_listing_id) FILTER (year >= 1998) AS stored FROM listings""")
 def ingest_pages(spark: SparkSession, sf: str) -> DataFrame:
     """Result pages to the raw table in one job: parse, repair, label, keep recent rows, number, merge; with its counters."""
@@ -135,3 +299,14 @@ def ingest_pages(spark: SparkSession, sf: str) -> DataFrame:
     rows = pg.parse_results(pages, "market", base_url="https://pages.test/")
     path = f"{work_dir(spark)}/raw-{uuid.uuid4().hex}"
     return ingest.ingest_rows(rows, path, ingest.PageFilters(), ingest.GENERAL, cutoff="1998-01-01", run_date=RUN_DATE, captured_at="2001-12-31 06:00:00").counters
+
+
+@query("recleaned_listings", "I7", "D12", sql=f"""{WITH}, t AS (SELECT DISTINCT ON (source_listing_id) source_listing_id, brand, price, mileage_km <= 250000 AS dated, year FROM listings WHERE year >= 1998 ORDER BY source_listing_id, id)
+SELECT count(DISTINCT source_listing_id) AS decided FROM t""")
+def recleaned_listings(spark: SparkSession, sf: str) -> DataFrame:
+    """The clean build over the raw table right after its pages were taken in; every stored row is decided."""
+    rows = pg.parse_results(result_pages(spark, sf, dated=True), "market", base_url="https://pages.test/")
+    path = f"{work_dir(spark)}/raw-{uuid.uuid4().hex}"
+    ingest.ingest_rows(rows, path, ingest.PageFilters(), ingest.GENERAL, cutoff="1998-01-01", run_date=RUN_DATE, captured_at="2001-12-31 06:00:00")
+    stored = spark.read.parquet(path).drop("key_bucket", "merge_batch")
+    return decide_rows(stored, brand_map(table(spark, sf, "part").select("p_brand").distinct()), CleanRules()).agg(F.count("*").alias("decided"))

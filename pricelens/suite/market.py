@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pricelens.operators.bands import band_label, default_price_bands
-from pricelens.operators.filters import ListingFilters, apply_filters
+from pricelens.operators.filters import coerce_numbers, ListingFilters, apply_filters
 from pricelens.plans import market
 from pricelens.sources.warehouse import LISTINGS_SQL, listings
 from pricelens.suite.registry import query, rounded, text_date
@@ -18,7 +18,7 @@ NARROW_SQL = """price > 0 AND lower(coalesce(brand, '')) = 'brand#7' AND lower(c
 CLEAN = "is_clean_claimed = 1"
 
 
-@query("filtered_listing_scan", "S1", "F1", "F2", "F3", "F4", "F5", sql=f"""{WITH}
+@query("filtered_listing_scan", "S1", "F1", "F2", "F3", "F4", sql=f"""{WITH}
 SELECT id, title, brand, series, model, year, mileage_km, city, price, listing_date FROM listings WHERE {NARROW_SQL}""")
 def filtered_listing_scan(spark: SparkSession, sf: str) -> DataFrame:
     cols = ["id", "title", "brand", "series", "model", "year", "mileage_km", "city", "price", "listing_date", "is_clean_claimed"]
@@ -137,6 +137,35 @@ def daily_trend(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(trend.withColumn("date", text_date("date")))
 
 
+# One line per layout: Spark expression, DuckDB expression, both of listing_day.
+_LAYOUTS = (
+    ("date_format(listing_day, 'yyyy-MM-dd') || 'T12:00:00Z'", "strftime(listing_day, '%Y-%m-%d') || 'T12:00:00Z'"), ("date_format(listing_day, 'dd.MM.yy')", "strftime(listing_day, '%d.%m.%y')"),
+    ("date_format(listing_day, 'MMM d, yyyy')", "strftime(listing_day, '%b %-d, %Y')"), ("date_format(listing_day, 'd-MMM-yyyy')", "strftime(listing_day, '%-d-%b-%Y')"),
+    ("date_format(listing_day, 'yyyyMMdd')", "strftime(listing_day, '%Y%m%d')"), ("date_format(listing_day, 'yyyy.MM.dd')", "strftime(listing_day, '%Y.%m.%d')"),
+    ("date_format(listing_day, 'd/M/yyyy') || ' 12:30:45'", "strftime(listing_day, '%-d/%-m/%Y') || ' 12:30:45'"), ("date_format(listing_day, 'yyyy-MM-dd') || ' 01:02:03.123456'", "strftime(listing_day, '%Y-%m-%d') || ' 01:02:03.123456'"),
+    ("date_format(listing_day, 'd-M-yyyy')", "strftime(listing_day, '%-d-%-m-%Y')"), ("'not a date'", "'not a date'"),
+)
+
+
+@query("general_dates", "C16", sql=f"""{WITH}
+SELECT id, CASE mileage_km // 10000 % {len(_LAYOUTS)} {' '.join(f'WHEN {i} THEN {d}' for i, (_, d) in enumerate(_LAYOUTS))} END AS listing_date,
+  CASE WHEN mileage_km // 10000 % {len(_LAYOUTS)} <> {len(_LAYOUTS) - 1} THEN strftime(listing_day, '%Y-%m-%d') END AS day FROM listings""")
+def general_dates(spark: SparkSession, sf: str) -> DataFrame:
+    kind = f"mileage_km div 10000 % {len(_LAYOUTS)}"
+    written = F.expr(f"case {' '.join(f'when {kind} = {i} then {e}' for i, (e, _) in enumerate(_LAYOUTS))} end")
+    rows = listings(spark, sf, ["id", "mileage_km", "listing_day"]).select("id", written.alias("listing_date"))
+    return market.with_listing_day(rows, RUN_DATE).select("id", "listing_date", text_date("listing_day").alias("day"))
+
+
+@query("numbers_from_text", "F5", sql=f"""{WITH}, t AS (SELECT brand, price, CASE CAST(mileage_km // 10000 % 7 AS INTEGER) WHEN 0 THEN 'NaN' WHEN 1 THEN 'Infinity' WHEN 2 THEN 'ask' WHEN 3 THEN price || '.5' ELSE price || '' END AS txt FROM listings)
+SELECT brand, count(*) AS rows, sum(CAST(txt AS DOUBLE)) AS total FROM t WHERE txt NOT IN ('NaN', 'Infinity', 'ask') GROUP BY 1""")
+def numbers_from_text(spark: SparkSession, sf: str) -> DataFrame:
+    kind = F.expr("mileage_km div 10000 % 7")
+    text = F.when(kind == 0, "NaN").when(kind == 1, "Infinity").when(kind == 2, "ask").when(kind == 3, F.concat("price", F.lit(".5"))).otherwise(F.col("price").cast("string"))
+    rows = coerce_numbers(listings(spark, sf, ["brand", "price", "mileage_km"]).withColumn("price", text))
+    return rows.groupBy("brand").agg(F.count("*").alias("rows"), F.sum("price").alias("total"))
+
+
 @query("trend_summary", "D8", sql=f"""{TREND_SQL}
 SELECT count(*) >= 2 AS available, count(*) >= 2 AND count(clean_listing_count) >= 2 AS clean_available,
        count(*) AS date_count, count(clean_listing_count) AS clean_date_count,
@@ -147,7 +176,7 @@ def trend_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("newest_listings", "K3", "S12", sql=f"""{WITH}
-SELECT id, brand, series, model, year, mileage_km, city, listing_date, listing_url, title, CAST(price AS DOUBLE) AS price
+SELECT id, brand, series, model, year, mileage_km, city, listing_date, listing_url, title, CAST(price AS DOUBLE) AS price, CAST(NULL AS DOUBLE) AS similarity_score
 FROM listings WHERE price > 0 ORDER BY scraped_at DESC, id DESC LIMIT 12""")
 def newest_listings(spark: SparkSession, sf: str) -> DataFrame:
     cols = ["id", "title", "brand", "series", "model", "year", "mileage_km", "price", "city", "listing_date", "listing_url", "scraped_at"]
