@@ -45,6 +45,27 @@ def fold_events(events: DataFrame, state: DataFrame | None = None, total: int |
     return joined.select("id", is_active.cast("int").alias("is_active"), "status_checked_at", "removed_at", F.col("last_active").alias("last_active_at"), F.col("last_removed").alias("last_removed_at"), "status_reason")
 
 
+def compact_events(events: DataFrame) -> DataFrame:
+    """The events that can still matter: of each listing its last active check, its latest check and its removals since.
+
+    Folding them, with any later or late events, gives what folding all events gives, and no listing's
+    history is ever gathered in one row.
+    """
+    at = F.col("checked_at")
+    active_at = F.when(F.col("status") == "active", at)
+    last = events.groupBy("id").agg(
+        F.max(active_at).alias("last_active"), F.max_by("status_reason", active_at).alias("active_reason"), F.max(at).alias("seen"), F.max_by("status_reason", at).alias("seen_reason"),
+    )
+    active = last.where(F.col("last_active").isNotNull())
+    removals = events.where(F.col("status") == "removed").groupBy("id", "checked_at").agg(F.max("status_reason").alias("status_reason"))
+    pending = skew_left_join(removals, active.select("id", "last_active"), ["id"], removals.count()).where(F.col("last_active").isNull() | (at > F.col("last_active")))
+    return (
+        active.select("id", F.lit("active").alias("status"), F.col("last_active").alias("checked_at"), F.col("active_reason").alias("status_reason"))
+        .unionByName(last.select("id", F.lit("unknown").alias("status"), F.col("seen").alias("checked_at"), F.col("seen_reason").alias("status_reason")))
+        .unionByName(pending.select("id", F.lit("removed").alias("status"), "checked_at", "status_reason"))
+    )
+
+
 def apply_status(listings: DataFrame, states: DataFrame) -> DataFrame:
     """Listings with the folded status columns; listings without events keep what they had."""
     names = ("is_active", "status_checked_at", "removed_at", "status_reason")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,7 +29,18 @@ def build_session(app: str = "pricelens", master: str | None = None, **conf: str
     }
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per session; a cluster that has it installed loses nothing."""
+    if spark.conf.get("pricelens.shipped", None) is None:
+        package = Path(__file__).resolve().parent
+        archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='pricelens-')}/pricelens", "zip", package.parent, package.name)
+        spark.sparkContext.addPyFile(archive)
+        spark.conf.set("pricelens.shipped", archive)
 
 
 def work_dir(spark: SparkSession) -> str:

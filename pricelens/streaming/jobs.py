@@ -9,11 +9,12 @@ from __future__ import annotations
 import hashlib
 import json
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from pricelens.operators.merge import merge_into_table
-from pricelens.plans.status import fold_events
+from pricelens.plans.status import compact_events, fold_events
 from pricelens.session import materialize
 
 
@@ -70,30 +71,35 @@ def read_windows(spark: SparkSession, table_path: str, keys: list[str]) -> DataF
 
 
 def fold_status(events: DataFrame, table_path: str, checkpoint: str) -> StreamingQuery:
-    """Keep the status of every listing: each micro-batch folds its events onto the stored states.
+    """Keep the events that decide every listing's status: each micro-batch is compacted with those stored.
 
-    The state table alternates between folders named by batch, so a failed write never damages
-    the states it started from.
+    The table alternates between folders named by batch, so a failed write never damages what it started
+    from, and a replayed batch changes nothing.
     """
 
     def fold(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        batch = materialize(batch, "status-batch")
-        previous = read_states(spark, table_path, before=batch_id)
-        fold_events(batch, previous).write.mode("overwrite").parquet(f"{table_path}/batch={batch_id}")
+        previous = _stored_events(batch.sparkSession, table_path, before=batch_id)
+        both = batch if previous is None else batch.unionByName(previous)
+        compact_events(materialize(both, "status-batch")).write.mode("overwrite").parquet(f"{table_path}/batch={batch_id}")
 
     return events.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def read_states(spark: SparkSession, table_path: str, before: int | None = None) -> DataFrame | None:
-    """States of the newest complete batch, or of the newest one before a given batch."""
+def _stored_events(spark: SparkSession, table_path: str, before: int | None = None) -> DataFrame | None:
+    """Events of the newest complete batch, or of the newest one before a given batch."""
     try:
         rows = spark.read.parquet(table_path)
-    except Exception as error:  # noqa: BLE001 - no folder yet
-        if "PATH_NOT_FOUND" not in str(error):
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return None
     if before is not None:
         rows = rows.where(F.col("batch") < before)
     newest = rows.agg(F.max("batch")).scalar()
     return rows.where(F.col("batch") == newest).drop("batch")
+
+
+def read_states(spark: SparkSession, table_path: str) -> DataFrame | None:
+    """Status of every listing seen so far."""
+    events = _stored_events(spark, table_path)
+    return None if events is None else fold_events(events)

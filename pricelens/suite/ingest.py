@@ -230,7 +230,7 @@ def _in_steps(spark: SparkSession, sf: str, job: Callable[[DataFrame, str], Stre
 @query("status_stream", "I5", "I2", sql=STATUS_SQL)
 def status_stream(spark: SparkSession, sf: str) -> DataFrame:
     job = lambda rows, base: jobs.fold_status(_events(rows), f"{base}/states", jobs.checkpoint_for(base, "status", kinds=EVENT_STATUS))
-    return _show_status(jobs.read_states(spark, f"{_in_steps(spark, sf, job, by_time=True)}/states"))
+    return _show_status(jobs.read_states(spark, f"{_in_steps(spark, sf, job, by_time=False)}/states"))
 
 
 @query("merge_stream", "I1", "I4", sql="""SELECT source_listing_id, arg_max(event_id, ts) AS event_id, round(arg_max(value, ts), 4) AS value

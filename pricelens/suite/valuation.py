@@ -113,7 +113,7 @@ def valuation_price_summary(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(run.requests.select("request_id", "context_id").join(stats, "context_id").drop("context_id"))
 
 
-@query("valuation_mileage_buckets", "A18", sql=f"""{PAIRS_SQL},
+BUCKETS_SQL = f"""{PAIRS_SQL},
 spans AS (SELECT request_id, CAST(min(mileage_km) AS DOUBLE) AS lo, CAST(max(mileage_km) AS DOUBLE) AS hi,
                  least(8, greatest(3, CAST(ceil(sqrt(count(*))) AS INTEGER))) AS k FROM used GROUP BY 1),
 edges AS (SELECT request_id, lo, hi, k, i, lo + (hi - lo) / k * i AS lower_edge,
@@ -125,17 +125,23 @@ SELECT u.request_id, CAST(i AS INTEGER) AS bucket,
        round(median(price), 4) AS median_price, round(avg(price), 4) AS average_price, count(*) AS listing_count
 FROM used u JOIN edges e ON u.request_id = e.request_id
  AND (lo = hi OR (u.mileage_km >= lower_edge AND (u.mileage_km < upper_edge OR (i = k - 1 AND u.mileage_km <= upper_edge))))
-GROUP BY 1, 2, 3, 4""")
+GROUP BY 1, 2, 3, 4"""
+
+
+@query("valuation_mileage_buckets", "A18", sql=BUCKETS_SQL)
 def valuation_mileage_buckets(spark: SparkSession, sf: str) -> DataFrame:
     run = valuation.prepare(requests(spark, sf), listings(spark, sf, LISTING_COLS))
     points = valuation.mileage_buckets(run.used)
     return rounded(run.requests.select("request_id", "context_id").join(points, "context_id").drop("context_id"))
 
 
-@query("valuation_trend", "D6", sql=f"""{PAIRS_SQL}, days AS (
+CONTEXT_TREND_SQL = f"""{PAIRS_SQL}, days AS (
   SELECT request_id, listing_day, median(price) AS m, avg(price) AS a, count(*) AS n FROM used GROUP BY 1, 2)
 SELECT request_id, strftime(listing_day, '%Y-%m-%d') AS date, round(m, 4) AS median_price, round(a, 4) AS average_price, n AS listing_count
-FROM days WHERE request_id IN (SELECT request_id FROM days GROUP BY 1 HAVING count(*) >= 2)""")
+FROM days WHERE request_id IN (SELECT request_id FROM days GROUP BY 1 HAVING count(*) >= 2)"""
+
+
+@query("valuation_trend", "D6", sql=CONTEXT_TREND_SQL)
 def valuation_trend(spark: SparkSession, sf: str) -> DataFrame:
     run = valuation.prepare(requests(spark, sf), listings(spark, sf, [*LISTING_COLS, "listing_day"]), extra=("listing_day",))
     points = valuation.context_trend(run.used)
@@ -143,6 +149,35 @@ def valuation_trend(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(owned.withColumn("date", text_date("date")))
 
 
+# A fixed discount per request stands in for the learned one, so that what it scales can be compared.
+FACTOR_SQL = "(1 - 0.25::DOUBLE * (CAST(request_id AS BIGINT) % 4))"
+
+
+def fixed_factors(requests_: DataFrame) -> DataFrame:
+    return requests_.select("request_id", (1 - F.lit(0.25) * (F.col("request_id").cast("bigint") % 4)).alias("factor"))
+
+
+def _whole(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.floor(c) for c in ("median_price", "average_price")})
+
+
+@query("scaled_buckets", "D6", "K5", sql=f"""WITH b AS ({BUCKETS_SQL})
+SELECT request_id, bucket, lower_mileage_km, upper_mileage_km, CAST(floor(median_price * {FACTOR_SQL}) AS BIGINT) AS median_price, CAST(floor(average_price * {FACTOR_SQL}) AS BIGINT) AS average_price, listing_count FROM b""")
+def scaled_buckets(spark: SparkSession, sf: str) -> DataFrame:
+    run = valuation.prepare(requests(spark, sf), listings(spark, sf, LISTING_COLS))
+    points = valuation.mileage_buckets(run.used).withColumns({c: F.round(c, 4) for c in ("median_price", "average_price")})
+    return _whole(valuation.scale_points(points, run.requests, fixed_factors(run.requests), ["median_price", "average_price"]))
+
+
+@query("scaled_trend", "D6", "K5", sql=f"""WITH b AS ({CONTEXT_TREND_SQL})
+SELECT request_id, date, CAST(floor(median_price * {FACTOR_SQL}) AS BIGINT) AS median_price, CAST(floor(average_price * {FACTOR_SQL}) AS BIGINT) AS average_price, listing_count FROM b""")
+def scaled_trend(spark: SparkSession, sf: str) -> DataFrame:
+    run = valuation.prepare(requests(spark, sf), listings(spark, sf, [*LISTING_COLS, "listing_day"]), extra=("listing_day",))
+    points = valuation.context_trend(run.used).withColumns({c: F.round(c, 4) for c in ("median_price", "average_price")})
+    scaled = valuation.scale_points(points, run.requests, fixed_factors(run.requests), ["median_price", "average_price"])
+    return _whole(scaled.withColumn("date", text_date("date")))
+
+
 @query("valuation_price_points", "K5", "F19", sql=f"""{PAIRS_SQL},
 ranked AS (SELECT request_id, price, row_number() OVER (PARTITION BY request_id ORDER BY price) AS rank FROM used)
 SELECT r.request_id, CAST(price AS DOUBLE) AS price,
