@@ -2,7 +2,7 @@
 
 Centroids come from a balanced k-means over a bounded sample of distinct vectors and are searched through an
 in-memory neighbour graph. Every vector goes to the list of its nearest centroid and, where it lies near a
-border, to further lists whose centroid is hardly farther and not better represented by one already taken.
+border, to further lists whose centroid is hardly farther.
 A query reads the lists whose centroid is at most a given ratio farther than its nearest one. A list of any
 size is dealt into parts, every query of the list meets every part, and each task passes on its ten best per
 query only.
@@ -26,12 +26,12 @@ from pricelens.llm.common import map_batches, materialize, partitions
 #: Vectors in a list, about; lists at most; vectors of the training sample for each list.
 LIST_ROWS, MAX_LISTS, SAMPLE_PER_LIST = 256, 8192, 32
 #: Lists a vector may lie in, and how much farther than the nearest a further centroid may be.
-REPLICAS, BORDER = 4, 1.15
+REPLICAS, BORDER = 4, 1.3
 #: Lists a query may read, and the ratio to its nearest centroid up to which it reads.
 PROBES, REACH = 48, 1.35
 #: Rows of a list that one group holds, about.
 PART_ROWS = 4096
-DEGREE, BEAM, ROUNDS = 24, 64, 12
+DEGREE, BEAM, ROUNDS = 16, 24, 12
 
 
 def _square(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -107,20 +107,9 @@ class CentroidGraph:
 
 
 def replicas(graph: CentroidGraph, points: np.ndarray) -> list[np.ndarray]:
-    """Lists of each vector: its nearest centroid and border lists that none of those taken stands nearer to."""
-    ids, dist = graph.search(points, 2 * REPLICAS)
-    between = _square(graph.centroids, graph.centroids) if len(graph.centroids) <= 2048 else None
-    out = []
-    for row, far in zip(ids, dist):
-        taken = [row[0]]
-        for c, d in zip(row[1:], far[1:]):
-            if c < 0 or d > far[0] * BORDER**2 or len(taken) == REPLICAS:
-                break
-            apart = between[c, taken] if between is not None else ((graph.centroids[taken] - graph.centroids[c]) ** 2).sum(axis=1)
-            if (apart >= d).all():
-                taken.append(c)
-        out.append(np.array(taken, np.int64))
-    return out
+    """Lists of each vector: its nearest centroid and those hardly farther."""
+    ids, dist = graph.search(points, REPLICAS)
+    return [row[(row >= 0) & (far <= far[0] * BORDER**2)] for row, far in zip(ids, dist)]
 
 
 def probes(graph: CentroidGraph, points: np.ndarray) -> list[np.ndarray]:
