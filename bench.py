@@ -21,6 +21,7 @@ HEADLINE = (
     "price_quartiles_by_model", "newest_listings", "selector_counts", "market_snapshots", "movers_up", "catalog_coverage",
     "listing_upsert", "newest_by_listing_key", "model_price_outliers", "similarity_scores", "market_analysis",
     "valuation_answers", "row_decisions", "clean_listings", "parsed_pages", "page_status", "listing_status", "training_frame",
+    "valuation_trend", "merged_table", "status_stream", "daily_window_stream",
 )
 
 

@@ -55,7 +55,11 @@ def parsed_pages(spark: SparkSession, sf: str) -> DataFrame:
     return rows.drop("position", "source", "currency")
 
 
-@query("web_page_rows", "S10")
+_PAGE_COLUMNS = {"page_key": "VARCHAR", "position": "INTEGER", **{c: "VARCHAR" for c in ("source", "source_listing_id", "title", "brand", "series", "model", "engine")}, "year": "BIGINT", "mileage_km": "BIGINT",
+                 "color": "VARCHAR", "city": "VARCHAR", "district": "VARCHAR", "price": "BIGINT", "currency": "VARCHAR", "listing_date": "VARCHAR", "listing_url": "VARCHAR", "image_url": "VARCHAR"}
+
+
+@query("web_page_rows", "S10", sql=f"SELECT {', '.join(f'CAST(page_id AS {t}) AS {c}' for c, t in _PAGE_COLUMNS.items())} FROM pages WHERE contains(html, 'searchResultsItem')")
 def web_page_rows(spark: SparkSession, sf: str) -> DataFrame:
     # general web pages hold no result rows, so this must come out empty rather than fail
     return pg.parse_results(table(spark, sf, "pages"), "web")
