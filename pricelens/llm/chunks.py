@@ -48,7 +48,7 @@ class ChunkCache:
     and frequent chunks stay. Results do not depend on it.
     """
 
-    def __init__(self, compute: Callable[[list[str]], list], limit: int = 400_000):
+    def __init__(self, compute: Callable[[list[str]], list], limit: int = 300_000):
         self.compute, self.limit = compute, limit
         self.young: dict = {}
         self.old: dict = {}
