@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from pricelens.llm.common import map_batches, materialize, partitions
 
 #: Vectors in a list, about; lists at most; vectors of the training sample for each list.
-LIST_ROWS, MAX_LISTS, SAMPLE_PER_LIST = 256, 8192, 32
+LIST_ROWS, MAX_LISTS, SAMPLE_PER_LIST = 256, 4096, 32
 #: Lists a vector may lie in, and how much farther than the nearest a further centroid may be.
 REPLICAS, BORDER = 4, 1.3
 #: Lists a query may read, and the ratio to its nearest centroid up to which it reads.
@@ -133,7 +133,16 @@ def _matrix(column: pa.ListArray) -> np.ndarray:
 def build_graph(vectors: DataFrame, rows: int) -> CentroidGraph:
     """Centroids of a sample of at most MAX_LISTS * SAMPLE_PER_LIST distinct vectors, drawn by their hash."""
     lists = int(min(max(1, rows // LIST_ROWS), MAX_LISTS))
-    drawn = vectors.select("v", F.xxhash64("v").alias("h")).groupBy("h").agg(F.min("v").alias("v")).orderBy("h").limit(lists * SAMPLE_PER_LIST).toPandas()
+    wanted = lists * SAMPLE_PER_LIST
+    place = F.pmod(F.xxhash64("v"), F.lit(1 << 40))
+    near = vectors.select("v", place.alias("h"))
+    if rows > 4 * wanted:
+        # places far beyond the sample are left out before the order; copies share a place
+        near = near.filter(F.col("h") < (1 << 40) * 4 * wanted // rows)
+    distinct = near.groupBy("h").agg(F.min("v").alias("v"))
+    drawn = materialize(distinct, "ann-sample").orderBy("h").limit(wanted).toPandas()
+    if drawn.empty:  # all vectors are copies of a few whose places lie beyond
+        drawn = vectors.select("v").limit(1).toPandas()
     sample = np.array(drawn["v"].tolist(), float)
     return CentroidGraph.build(balanced_centroids(sample, min(lists, len(sample))))
 

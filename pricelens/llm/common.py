@@ -10,7 +10,7 @@ from pyspark.sql.types import StructType
 
 from pricelens.session import materialize, work_dir
 
-__all__ = ["BATCH_ROWS", "crc_of_id", "keep_only", "map_batches", "materialize", "partitions", "table", "text_list", "work_dir"]
+__all__ = ["BATCH_ROWS", "crc_of_id", "first_by_hash", "keep_only", "map_batches", "materialize", "partitions", "table", "text_list", "work_dir"]
 
 #: Rows in one Arrow batch handed to Python: whole texts may be long, so batches stay small.
 BATCH_ROWS = 2048
@@ -42,6 +42,19 @@ def crc_of_id(column: str | Column, modulus: int) -> Column:
     return F.coalesce(F.crc32(ident.cast("string").cast("binary")) % modulus, F.lit(0))
 
 
+def first_by_hash(df: DataFrame, hashed: Column, wanted: int, rows: int) -> DataFrame:
+    """``wanted`` of about ``rows`` rows, in the order of a hash.
+
+    Hashes far beyond the wanted ones are left out first, so that what tasks send for the final order has the
+    size of the sample, whatever their number. Repeated hashes are expected to be no more than half.
+    """
+    place = F.pmod(hashed, F.lit(1 << 40))
+    near = df.withColumn("hash_place", place)
+    if rows > 2 * wanted:
+        near = near.filter(F.col("hash_place") < (1 << 40) * 2 * wanted // rows)
+    return near.orderBy("hash_place", *df.columns[:1]).limit(wanted).drop("hash_place")
+
+
 def keep_only(docs: DataFrame, key: Column, verdicts: DataFrame) -> DataFrame:
     """The rows of ``docs`` that ``verdicts`` (doc_id, key, kept: one row per row of docs) keeps, all columns.
 

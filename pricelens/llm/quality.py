@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from pricelens.llm.common import crc_of_id, map_batches, text_list
+from pricelens.llm.common import crc_of_id, first_by_hash, map_batches, text_list
 
 MAX_ROWS = 40_000
 BINS, PAIR_BINS, PAIRS = 48, 12, 6
@@ -179,7 +179,7 @@ def labelled(labels: DataFrame, column: str, modulus: int, held_out: int, max_ro
     """(doc_id, y) of at most ``max_rows`` labelled ids outside the held-out fold, by a hash of the id; of repeated labels the largest."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("int").alias("y")).filter("doc_id is not null and y in (0, 1)")
     known = known.filter(crc_of_id("doc_id", modulus) != held_out).groupBy("doc_id").agg(F.max("y").alias("y"))
-    return known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    return first_by_hash(known, F.xxhash64("doc_id"), max_rows, known.count())
 
 
 def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = MAX_ROWS, modulus: int = 5, held_out: int = 0) -> AdditiveModel:

@@ -173,3 +173,10 @@ def test_neighbours_of_few(spark):
     frame = lambda rows: spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     assert ann.nearest(frame([])).count() == 0 and ann.nearest(frame([(0, [1.0, 2.0])])).count() == 0
     assert rows_of(ann.nearest(frame([(0, [1.0, 2.0]), (1, [1.0, 2.0]), (100, [1.0, 3.0]), (1, [1.0, 2.0])]))) == [(0, 1, 1, 0.0), (0, 2, 100, 1.0), (100, 1, 0, 1.0), (100, 2, 1, 1.0)]
+
+
+def test_neighbours_of_copies(spark, monkeypatch):
+    monkeypatch.setattr(ann, "SAMPLE_PER_LIST", 2)
+    rows = spark.range(3000).selectExpr("id as vec_id", "array(1.0D, 2.0D + id div 2999) as embedding")
+    got = ann.nearest(rows).collect()
+    assert len(got) == 300 and all(r.score == 0.0 for r in got) and {r.vec_id for r in got if r.query_id == 0} == set(range(1, 11))
