@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-import unicodedata
+import re
 from array import array
 from functools import lru_cache
 
@@ -11,6 +11,9 @@ import numpy as np
 
 from pricelens.llm.chunks import ChunkCache
 
+#: Capitals that compose with nothing: what follows them is ASCII or the end.
+_PLAIN_CAPITALS = re.compile(r"[A-Z]+(?=[\x00-\x7f]|\Z)")
+
 
 class FileTokenizer:
     """Whole texts to unsigned 32-bit ids, as the tokenizers library gives them without special tokens."""
@@ -26,7 +29,7 @@ class FileTokenizer:
         normalizer = self.tokenizer.normalizer
         # a vocabulary that lower-cases gives equal ids to lower-cased text, so fewer distinct chunks
         self.lowers = normalizer is not None and any(isinstance(n, Lowercase) for n in (normalizer if hasattr(normalizer, "__len__") else [normalizer]))
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.cache = ChunkCache(self._encode_units)
 
     @property
@@ -37,10 +40,11 @@ class FileTokenizer:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
 
     def _fold(self, text: str) -> str:
-        """Lower case where that changes no id: final sigma is context-free in the library, and special strings keep their case."""
-        if "Σ" in text or any(s in text for s in self.special) or not unicodedata.is_normalized("NFC", text):
+        """ASCII capitals in lower case where that changes no id: not before what they may compose with, nor where a special string could arise."""
+        lower = text.lower()
+        if any(s in lower for s in self.special):
             return text
-        return text.lower()
+        return lower if text.isascii() else _PLAIN_CAPITALS.sub(lambda m: m[0].lower(), text)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if self.lowers:

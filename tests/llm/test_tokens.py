@@ -54,6 +54,23 @@ def test_ids_of_any_text(texts):
     assert [i.tolist() for i in codec.encode(texts)] == tik().encode_ordinary_batch(texts)
 
 
+def test_ids_where_case_matters():
+    from pricelens.llm.hf_ids import tokenizer_of
+
+    texts = ["a <|EndOfText|> b", "<|STARTOFTEXT|>", "J\u030c H\u0331 J\u030cA", "A\u0301 FÜR Für", "İI ΟΔΟΣ Kelvin \u212a", "The END"]
+    want = [e.ids for e in Tokenizer.from_file(WORD).encode_batch(texts, add_special_tokens=False)]
+    assert [i.tolist() for i in tokenizer_of(WORD).encode(texts)] == want
+
+
+@given(st.lists(st.text(alphabet=st.sampled_from("JHaT \u030c\u0331\u0301ÜéΣİ\n.<|>"), max_size=40), max_size=6))
+@settings(max_examples=200, deadline=None)
+def test_ids_of_capitals_and_marks(texts):
+    from pricelens.llm.hf_ids import tokenizer_of
+
+    want = [e.ids for e in Tokenizer.from_file(WORD).encode_batch(texts, add_special_tokens=False)]
+    assert [i.tolist() for i in tokenizer_of(WORD).encode(texts)] == want
+
+
 def test_byte_bpe(docs):
     got = sorted(map(tuple, byte_bpe.encode_documents(docs, MULTI, P.PATTERN, with_ids=True).collect()), key=repr)
     enc, want = tik(), []
