@@ -37,18 +37,25 @@ _ORDER = [q * 16 + b for b in range(16) for q in range(4)]
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-def fingerprint(text: str, words: int = 3, seed: int = 42) -> int:
-    """Majority bits of the shingle hashes; 0 without words."""
+def shingle_hashes(text: str, words: int, seed: int = 42) -> list[int]:
+    """XXH64 of each run of ``words`` words, in order; of all words where there are fewer."""
     from xxhash import xxh64_intdigest
 
     found = text.encode("utf-8").translate(_LOWER).split()  # bytes.split: \x20 and \x09-\x0D
     if not found:
-        return 0
+        return []
     joined = b" ".join(found)
     ends = np.cumsum([len(w) + 1 for w in found]) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     last = min(words, len(found)) - 1
-    hashes = [xxh64_intdigest(joined[a:b], seed) for a, b in zip(starts.tolist(), ends[last:].tolist())]
+    return [xxh64_intdigest(joined[a:b], seed) for a, b in zip(starts.tolist(), ends[last:].tolist())]
+
+
+def fingerprint(text: str, words: int = 3, seed: int = 42) -> int:
+    """Majority bits of the shingle hashes; 0 without words."""
+    hashes = shingle_hashes(text, words, seed)
+    if not hashes:
+        return 0
     bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     majority = 2 * bits.sum(axis=0, dtype=np.int64) > len(hashes)
     return int(np.packbits(majority, bitorder="little").view("<u8")[0])
@@ -187,10 +194,15 @@ def components(docs: DataFrame, words: int = 3) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, fp, text_hash), and for each fingerprint its component (a fingerprint) and component_id."""
     prints = materialize(fingerprints(docs, words), "simhash")
     nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
-    component = connected_components(links(nodes))
+    return prints, name_components(nodes, links(nodes))
+
+
+def name_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(fp, component, component_id) of the nodes (fp, least)."""
+    component = connected_components(edges)
     named = nodes.join(component.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    return prints, materialize(named.join(smallest, "component").select("fp", "component", "component_id"), "simhash-components")
+    return materialize(named.join(smallest, "component").select("fp", "component", "component_id"), "simhash-components")
 
 
 def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
@@ -202,7 +214,11 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
 
 def drop_near_copies(docs: DataFrame, words: int = 3) -> DataFrame:
     """The rows of ``docs``, all columns, with the smallest doc_id of their component; rows without an id come after those with one."""
-    prints, found = components(docs, words)
+    return keep_first(docs, *components(docs, words))
+
+
+def keep_first(docs: DataFrame, prints: DataFrame, found: DataFrame) -> DataFrame:
+    """The first row of every component, from ``prints`` (doc_id, fp, text_hash of every row) and ``found`` (fp, component)."""
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
     per_print = materialize(prints.groupBy("fp").agg(F.min(order).alias("first")), "simhash-firsts")
     firsts = per_print.join(found, "fp").groupBy("component").agg(F.min("first").alias("first"))

@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings, strategies as st
 
-from pricelens.llm import ann, components, exact_dedup, simhash, url_filter
+from pricelens.llm import ann, components, exact_dedup, near_copies, simhash, url_filter
 
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -93,6 +93,38 @@ def test_simhash(docs):
     assert len(left) == len(set(label)) and {c for c in least.values() if c is not None} <= {r.doc_id for r in left}
 
 
+def test_near_copies_stage(spark, monkeypatch):
+    """The pipeline's stage against five-word Jaccard of all pairs, over edits from light to heavy."""
+    import corpus_pipeline
+
+    monkeypatch.setattr(near_copies, "TILE", 8)
+    rng = np.random.default_rng(9)
+    texts = [None, "", " ", "a b", "A  b", "a b c d e", "one two three four five six"]
+    hot = [f"h{i}" for i in range(60)]  # a passage that many texts hold
+    for base in range(12):
+        words = [f"b{base}x{i}" for i in range(150)] + (hot if base % 2 else [])
+        for copy in range(6):
+            changed = list(words)
+            for at in rng.choice(len(words), copy + base % 3, replace=False):
+                changed[at] = f"c{copy}"
+            texts.append(" ".join(changed))
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None, texts[9]), (3, "a b"), (500, texts[20])]
+
+    def held(text):
+        words = (text or "").lower().split()
+        return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+    sets, label = [held(t) for _, t in rows], list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a == b or 5 * len(a & b) >= 4 * len(a | b) > 0:
+                label = [label[j] if x == label[i] else x for x in label]
+    least = sorted(min((d for (d, _), x in zip(rows, label) if x == c and d is not None)) for c in set(label))
+    stage = dict(corpus_pipeline.STAGES)["near copies"]
+    got = stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert sorted(r.doc_id for r in got) == least and 20 < len(least) < len(rows) - 20
+
+
 @given(st.lists(st.integers(0, 2**64 - 1), min_size=1, max_size=150), st.integers(0, 3))
 @settings(max_examples=40, deadline=None)
 def test_bit_sliced_pairs(values, radius):
