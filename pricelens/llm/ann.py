@@ -3,9 +3,9 @@
 Centroids come from a balanced k-means over a bounded sample of distinct vectors and are searched through an
 in-memory neighbour graph. Every vector goes to the list of its nearest centroid and, where it lies near a
 border, to further lists whose centroid is hardly farther.
-A query reads the lists whose centroid is at most a given ratio farther than its nearest one. A list of any
-size is dealt into parts, every query of the list meets every part, and each task passes on its ten best per
-query only.
+A query reads every list whose centroid is at most a given ratio farther than its nearest one, however many
+these are; the graph answers where they are few, else the query meets all centroids. A list of any size is
+dealt into parts, every query of the list meets every part, and each task passes on its ten best per query only.
 
 Distances are Euclidean in double precision on the original vectors. Vectors that are null, zero, hold null or
 non-finite components, or are not of the most frequent length take no part. Repeated vec_ids count as one
@@ -27,7 +27,7 @@ from pricelens.llm.common import map_batches, materialize, partitions
 LIST_ROWS, MAX_LISTS, SAMPLE_PER_LIST = 256, 4096, 32
 #: Lists a vector may lie in, and how much farther than the nearest a further centroid may be.
 REPLICAS, BORDER = 4, 1.3
-#: Lists a query may read, and the ratio to its nearest centroid up to which it reads.
+#: Lists up to which the graph's search decides, and the ratio to its nearest centroid up to which a query reads.
 PROBES, REACH = 48, 1.35
 #: Rows of a list that one group holds, about.
 PART_ROWS = 4096
@@ -113,8 +113,16 @@ def replicas(graph: CentroidGraph, points: np.ndarray) -> list[np.ndarray]:
 
 
 def probes(graph: CentroidGraph, points: np.ndarray) -> list[np.ndarray]:
+    """Every list within the ratio, nearest first; no number of lists ends it."""
     ids, dist = graph.search(points, PROBES)
-    return [row[(row >= 0) & (far <= far[0] * REACH**2)] for row, far in zip(ids, dist)]
+    chosen = [row[(row >= 0) & (far <= far[0] * REACH**2)] for row, far in zip(ids, dist)]
+    wide = [n for n, lists in enumerate(chosen) if len(lists) == PROBES < len(graph.centroids)]
+    for a in range(0, len(wide), 256):
+        far = _square(points[wide[a : a + 256]], graph.centroids)
+        order = np.argsort(far, axis=1, kind="stable")
+        for n, row, near in zip(wide[a : a + 256], order, np.take_along_axis(far, order, 1)):
+            chosen[n] = row[near <= near[0] * REACH**2]
+    return chosen
 
 
 def usable(table: DataFrame, vector: str = "embedding") -> DataFrame:

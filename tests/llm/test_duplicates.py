@@ -201,6 +201,15 @@ def test_neighbours(spark):
     assert found >= 0.9 * wanted
 
 
+def test_ratio_alone_decides_the_lists():
+    rng = np.random.default_rng(8)
+    centroids, points = rng.normal(size=(300, 32)), rng.normal(size=(40, 32))
+    far = ((points[:, None, :] - centroids[None, :, :]) ** 2).sum(axis=2)
+    want = [set(np.flatnonzero(row <= row.min() * ann.REACH**2).tolist()) for row in far]
+    assert max(map(len, want)) > 100
+    assert [set(p.tolist()) for p in ann.probes(ann.CentroidGraph.build(centroids), points) if len(p) > 48] == [w for w in want if len(w) > 48]
+
+
 def test_neighbours_of_few(spark):
     frame = lambda rows: spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     assert ann.nearest(frame([])).count() == 0 and ann.nearest(frame([(0, [1.0, 2.0])])).count() == 0
