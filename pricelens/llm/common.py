@@ -10,10 +10,11 @@ from pyspark.sql.types import StructType
 
 from pricelens.session import materialize, work_dir
 
-__all__ = ["BATCH_ROWS", "crc_of_id", "first_by_hash", "keep_only", "map_batches", "materialize", "partitions", "table", "text_list", "work_dir"]
+__all__ = ["BATCH_BYTES", "BATCH_ROWS", "crc_of_id", "first_by_hash", "free_prefix", "keep_only", "map_batches", "materialize", "partitions", "pieces", "quoted", "table", "text_list", "work_dir"]
 
-#: Rows in one Arrow batch handed to Python: whole texts may be long, so batches stay small.
+#: Rows and bytes in one Arrow batch that an operator's function works on: whole texts may be long, so batches stay small.
 BATCH_ROWS = 2048
+BATCH_BYTES = 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,10 +26,39 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
-def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str | StructType, rows: int = BATCH_ROWS) -> DataFrame:
-    """``mapInArrow`` over batches of at most ``rows`` rows."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    return df.mapInArrow(fn, schema)
+def pieces(batches: Iterator[pa.RecordBatch], rows: int, size: int) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in batches of at most ``rows`` rows and ``size`` bytes; one row may be larger."""
+    for batch in batches:
+        left = [batch.slice(a, rows) for a in range(0, batch.num_rows, rows)][::-1]
+        while left:
+            piece = left.pop()
+            if piece.num_rows > 1 and piece.nbytes > size:
+                half = piece.num_rows // 2
+                left += [piece.slice(half), piece.slice(0, half)]
+            else:
+                yield piece
+
+
+def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str | StructType, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> DataFrame:
+    """``mapInArrow`` over batches of at most ``rows`` rows and about ``size`` bytes. No setting of the session is changed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        return fn(pieces(batches, rows, size))
+
+    return df.mapInArrow(run, schema)
+
+
+def quoted(names: Iterable[str]) -> list[str]:
+    """Column names as Spark reads them back, dots and backticks included."""
+    return [f"`{n.replace('`', '``')}`" for n in names]
+
+
+def free_prefix(df: DataFrame, start: str) -> str:
+    """A prefix that no column name of ``df`` has, letter case aside."""
+    names = [c.lower() for c in df.columns]
+    while any(n.startswith(start.lower()) for n in names):
+        start += "_"
+    return start
 
 
 def text_list(batch: pa.RecordBatch, name: str = "text") -> list[str]:
@@ -60,9 +90,7 @@ def keep_only(docs: DataFrame, key: Column, verdicts: DataFrame) -> DataFrame:
 
     Only rejected keys travel to the documents, as an anti join. Of rows equal in doc_id and key one stays.
     """
-    mark = "verdict"
-    while any(c.startswith(mark) for c in docs.columns):
-        mark += "_"
+    mark = free_prefix(docs, "verdict")
     ident, value, own = f"{mark}id", f"{mark}key", f"{mark}own"
     per = materialize(verdicts.groupBy("doc_id", "key").agg(F.max("kept").alias("any"), F.count("*").alias("rows")), "verdicts")
     lost = per.filter(~F.col("any")).select(F.col("doc_id").alias(ident), F.col("key").alias(value))
@@ -71,6 +99,6 @@ def keep_only(docs: DataFrame, key: Column, verdicts: DataFrame) -> DataFrame:
     same = F.col("doc_id").cast("long").eqNullSafe(F.col(ident)) & (F.col(own) == F.col(value))
     left = keyed.join(lost, same, "left_anti")
     if doubled.isEmpty():
-        return left.select(docs.columns)
+        return left.select(quoted(docs.columns))
     once = left.join(doubled, same, "left_semi").dropDuplicates(["doc_id", own])
-    return left.join(doubled, same, "left_anti").unionByName(once).select(docs.columns)
+    return left.join(doubled, same, "left_anti").unionByName(once).select(quoted(docs.columns))
