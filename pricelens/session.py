@@ -64,3 +64,14 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = f"{work_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` wrote, once what was made of them is written too. Nothing may read them afterwards."""
+    for table in tables:
+        spark = table.sparkSession
+        base = work_dir(spark)
+        path = spark._jvm.org.apache.hadoop.fs.Path
+        for folder in {f.rpartition("/")[0] for f in table.inputFiles()}:
+            if path(folder).toUri().getPath().startswith(f"{path(base).toUri().getPath()}/"):
+                path(folder).getFileSystem(spark._jsc.hadoopConfiguration()).delete(path(folder), True)
