@@ -8,9 +8,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
-from pricelens.session import materialize, work_dir
+from pricelens.session import discard, materialize, work_dir
 
-__all__ = ["BATCH_BYTES", "BATCH_ROWS", "crc_of_id", "first_by_hash", "free_prefix", "keep_only", "map_batches", "materialize", "partitions", "pieces", "quoted", "table", "text_list", "work_dir"]
+__all__ = ["BATCH_BYTES", "BATCH_ROWS", "crc_of_id", "discard", "first_by_hash", "free_prefix", "keep_only", "map_batches", "materialize", "partitions", "pieces", "quoted", "table", "text_list", "work_dir"]
 
 #: Rows and bytes in one Arrow batch that an operator's function works on: whole texts may be long, so batches stay small.
 BATCH_ROWS = 2048

@@ -217,11 +217,11 @@ def drop_near_copies(docs: DataFrame, words: int = 3) -> DataFrame:
     return keep_first(docs, *components(docs, words))
 
 
-def keep_first(docs: DataFrame, prints: DataFrame, found: DataFrame) -> DataFrame:
-    """The first row of every component, from ``prints`` (doc_id, fp, text_hash of every row) and ``found`` (fp, component)."""
+def keep_first(docs: DataFrame, prints: DataFrame, found: DataFrame, key: Column | None = None) -> DataFrame:
+    """The first row of every component, from ``prints`` (doc_id, fp, text_hash of every row) and ``found`` (fp, component). ``key`` makes the text_hash."""
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
     per_print = materialize(prints.groupBy("fp").agg(F.min(order).alias("first")), "simhash-firsts")
     firsts = per_print.join(found, "fp").groupBy("component").agg(F.min("first").alias("first"))
     chosen = materialize(found.join(firsts, "component").select("fp", F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("first_hash")), "simhash-chosen")
     verdicts = prints.join(chosen, "fp").select("doc_id", F.col("text_hash").alias("key"), (F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_hash") == F.col("first_hash"))).alias("kept"))
-    return keep_only(docs, text_hash(), verdicts)
+    return keep_only(docs, text_hash() if key is None else key, verdicts)
