@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
-_CHUNK = regex.compile(r"\s*\S+|\s+")
+_CHUNK, _WORD = regex.compile(r"\s*\S+|\s+"), regex.compile(r"\S+")
 #: White space other than single spaces and newlines between words.
 _IRREGULAR = r"[\t\x0b\x0c\r\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|  | \n|\n |\n\n"
 #: ASCII punctuation but the apostrophe, which may begin a contraction.
@@ -36,6 +36,11 @@ def split_keys(texts: list[str]) -> pa.ListArray:
     return pc.split_pattern(pc.replace_substring(plain, "\n", " \n"), " ")
 
 
+def split_words(texts: list[str]) -> pa.ListArray:
+    """The words of regular texts, empty ones included."""
+    return pc.split_pattern(pc.replace_substring(pa.array(texts, pa.string()), "\n", " "), " ")
+
+
 def chunk_of(key: str) -> str:
     return key[1:] if key[:1] == "\r" else key if key[:1] == "\n" else " " + key
 
@@ -45,11 +50,14 @@ class ChunkCache:
 
     ``compute`` maps a list of distinct units, the empty one included, to their values. The store has two
     generations of ``limit`` entries: when the young one is full the old one is dropped, so memory is bounded
-    and frequent chunks stay. Results do not depend on it.
+    and frequent chunks stay. Results do not depend on it. ``spaceless`` says that values do not depend on white space
+    in front of a word, so that words share one entry wherever they stand.
     """
 
-    def __init__(self, compute: Callable[[list[str]], list], limit: int = 300_000):
-        self.compute, self.limit = compute, limit
+    def __init__(self, compute: Callable[[list[str]], list], limit: int = 300_000, spaceless: bool = False):
+        self.compute, self.limit, self.spaceless = compute, limit, spaceless
+        # without meaning of white space, a key is the word alone
+        self.start, self.chunk = ("", str) if spaceless else ("\r", chunk_of)
         self.young: dict = {}
         self.old: dict = {}
 
@@ -65,12 +73,12 @@ class ChunkCache:
         young = self.young
         words = [k.rstrip(_TAIL) for k in missing]
         # (key, word, tail) where the chunk is letters and punctuation; other chunks are units
-        pairs = [(k, w, "\r" + k[len(w):]) for k, w in zip(missing, words, strict=True) if len(w) < len(k) and w.isalpha()]
+        pairs = [(k, w, self.start + k[len(w):]) for k, w in zip(missing, words, strict=True) if len(w) < len(k) and w.isalpha()]
         parts = list({u for _, w, t in pairs for u in (w, t)})
         new = {u for u, v in zip(parts, self._known(parts), strict=True) if v is None}
         new.update(k for k, w in zip(missing, words, strict=True) if len(w) == len(k) or not w.isalpha())
         new = list(new)
-        young.update(zip(new, self.compute(list(map(chunk_of, new))), strict=True))
+        young.update(zip(new, self.compute(list(map(self.chunk, new))), strict=True))
         for key, word, tail in pairs:
             young[key] = young[word] + young[tail]
 
@@ -96,10 +104,10 @@ class ChunkCache:
             for i in [*chosen, -1]:
                 if numbers and (i < 0 or held > _GROUP):
                     if regular:
-                        lists = split_keys([texts[n] for n in numbers])
+                        lists = (split_words if self.spaceless else split_keys)([texts[n] for n in numbers])
                         keys, counts = lists.flatten(), np.diff(lists.offsets.to_numpy())
                     else:
-                        cut = [["\r" + c for c in _CHUNK.findall(texts[n])] for n in numbers]
+                        cut = [_WORD.findall(texts[n]) if self.spaceless else ["\r" + c for c in _CHUNK.findall(texts[n])] for n in numbers]
                         keys, counts = pa.array([k for c in cut for k in c], pa.string()), np.array([len(c) for c in cut])
                     yield numbers, *self._values(keys), counts
                     numbers, held = [], 0

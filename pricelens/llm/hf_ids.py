@@ -30,7 +30,10 @@ class FileTokenizer:
         # a vocabulary that lower-cases gives equal ids to lower-cased text, so fewer distinct chunks
         self.lowers = normalizer is not None and any(isinstance(n, Lowercase) for n in (normalizer if hasattr(normalizer, "__len__") else [normalizer]))
         self.special = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.cache = ChunkCache(self._encode_units)
+        # a pre-tokenizer that throws white space away gives a word equal ids wherever it stands
+        probe = [self.tokenizer.encode(f"{a}b{c}", add_special_tokens=False).ids for a in ("", " ", "\n", " \n\t ", "\x85", "\u3000") for c in ("", " ", "\n")]
+        blank = [self.tokenizer.encode(a, add_special_tokens=False).ids for a in (" ", "\n", " \n\t ", "\x85", "\u3000")]
+        self.cache = ChunkCache(self._encode_units, spaceless=all(p == probe[0] for p in probe) and not any(blank))
 
     @property
     def vocab_size(self) -> int:
