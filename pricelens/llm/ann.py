@@ -5,7 +5,8 @@ in-memory neighbour graph. Every vector goes to the list of its nearest centroid
 border, to further lists whose centroid is hardly farther.
 A query reads every list whose centroid is at most a given ratio farther than its nearest one, however many
 these are; the graph answers where they are few, else the query meets all centroids. A list of any size is
-dealt into parts, every query of the list meets every part, and each task passes on its ten best per query only.
+dealt into parts, every query of the list meets every part, and each task passes on its ten best per query only. A
+query that finds fewer than k others in its lists, although there are more, reads all lists.
 
 Distances are Euclidean in double precision on the original vectors. Vectors that are null, zero, hold null or
 non-finite components, or are not of the most frequent length take no part. Repeated vec_ids count as one
@@ -215,8 +216,6 @@ def nearest(table: DataFrame, *, every: int = 100, k: int = 10) -> DataFrame:
     sizes = F.broadcast(posted.filter("not query").groupBy("list").agg(F.count("*").alias("rows")))
     dealt = posted.join(sizes, "list").select("*", parts.alias("parts"))
     members = dealt.filter("not query").withColumn("part", F.pmod(F.xxhash64("vec_id"), "parts").cast("int"))
-    askers = dealt.filter("query").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    both = members.unionByName(askers).select("list", "part", "query", "vec_id", "v")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = _Best(k)
@@ -228,9 +227,25 @@ def nearest(table: DataFrame, *, every: int = 100, k: int = 10) -> DataFrame:
         found = [(q, i, d) for q, (ids, dist) in best.held.items() for i, d in zip(ids.tolist(), dist.tolist()) if np.isfinite(d) and i != q]
         yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "vec_id", "score"])
 
-    ordered = both.repartition(partitions(spark), "list", "part").sortWithinPartitions("list", "part", "query")
-    found = map_batches(ordered, scan, "query_id long, vec_id long, score double", rows=4_000)
-    once = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    def answers(asking: DataFrame) -> DataFrame:
+        """What the queries (list, query, vec_id, v, parts) find in their lists, each id once."""
+        askers = asking.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        both = members.unionByName(askers).select("list", "part", "query", "vec_id", "v")
+        ordered = both.repartition(partitions(spark), "list", "part").sortWithinPartitions("list", "part", "query")
+        found = map_batches(ordered, scan, "query_id long, vec_id long, score double", rows=4_000)
+        return found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+
+    once = materialize(answers(dealt.filter("query")), "ann-found")
+    # a query on a centroid reads one list, which may hold too few others: such queries read all lists
+    wanted = min(k, vectors.select("vec_id").distinct().count() - 1)
+    asked = vectors.filter(F.col("vec_id") % every == 0).select("vec_id", "v")
+    enough = once.groupBy(F.col("query_id").alias("vec_id")).agg(F.count("*").alias("n")).filter(F.col("n") >= wanted)
+    short = materialize(asked.join(enough, "vec_id", "left_anti"), "ann-short")
+    if wanted and not short.isEmpty():
+        everywhere = sizes.select("list", parts.alias("parts")).withColumn("query", F.lit(True))
+        again = short.withColumn("list", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(len(graph.centroids) - 1).cast("long")))).join(everywhere, "list")
+        rest = once.join(short.select(F.col("vec_id").alias("query_id")).distinct(), "query_id", "left_anti")
+        once = rest.unionByName(answers(again.select("list", "query", "vec_id", "v", "parts")))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return once.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

@@ -193,7 +193,7 @@ def test_neighbours(spark):
         far = np.sqrt(((data - data[ids == q][0]) ** 2).sum(axis=1))
         order = [k for k in np.lexsort((ids, far)) if ids[k] != q][:10]
         rows.sort()
-        assert [r[0] for r in rows] == list(range(1, len(rows) + 1)) and all(far[ids == v][0] == s for _, v, s in rows)
+        assert [r[0] for r in rows] == list(range(1, 11)) and all(far[ids == v][0] == s for _, v, s in rows)
         found += len({v for _, v, _ in rows} & {int(ids[k]) for k in order})
         wanted += len(order)
         if q >= 2000:
@@ -216,6 +216,17 @@ def test_neighbours_of_few(spark):
     assert rows_of(ann.nearest(frame([(0, [1.0, 2.0]), (1, [1.0, 2.0]), (100, [1.0, 3.0]), (1, [1.0, 2.0])]))) == [(0, 1, 1, 0.0), (0, 2, 100, 1.0), (100, 1, 0, 1.0), (100, 2, 1, 1.0)]
 
 
+def test_small_clump_finds_ten(spark):
+    """A query that lies on the centroid of a list of three still gets its ten neighbours, exact ones."""
+    for seed in range(3):
+        rng = np.random.default_rng(seed)
+        places = rng.normal(size=(10, 8))
+        vectors = [(2 * (290 * n + i) + 1, places[n]) for n in range(9) for i in range(290)] + [(100, places[9]), (10_001, places[9]), (10_003, places[9])]
+        rows = sorted(ann.nearest(spark.createDataFrame([(i, v.tolist()) for i, v in vectors], "vec_id long, embedding array<double>")).collect(), key=lambda r: r["rank"])
+        far = sorted((float(np.sqrt(((v - places[9]) ** 2).sum())), i) for i, v in vectors if i != 100)[:10]
+        assert [(r.query_id, r["rank"], r.vec_id) for r in rows] == [(100, n + 1, i) for n, (_, i) in enumerate(far)]
+
+
 def test_neighbours_of_copies(spark, monkeypatch):
     monkeypatch.setattr(ann, "SAMPLE_PER_LIST", 2)
     rows = spark.range(3000).selectExpr("id as vec_id", "array(1.0D, 2.0D + id div 2999) as embedding")
