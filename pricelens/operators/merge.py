@@ -1,18 +1,25 @@
-"""Keyed merge of arriving listings into the raw table."""
+"""Keyed merge of arriving listings into the raw table, merged on read.
+
+A batch is written once, as it came, to a folder of its own number; nothing stored is rewritten, so a batch of n rows
+costs n rows of writing however large the table is. Reading folds all batches by key. ``compact_table``
+replaces many batches by one base that keeps only rows which decide something, so that reading it folds to the same
+rows. A folder counts once its write has succeeded, and a batch number that is stored already is not written
+again: a replayed batch changes nothing.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from pricelens.session import materialize
-
 KEYS = ("source", "source_listing_id")
 # A null in a newer row does not erase these.
 STICKY = ("paint_status", "changed_part_status", "damage_status")
 FLAG = "is_clean_claimed"
-BUCKETS = 64
+#: Number of the batch a stored row came with.
+BATCH = "merge_batch"
 
 
 def fold_by_key(rows: DataFrame, order: Sequence[str], keys: Sequence[str] = KEYS, first: Sequence[str] = ()) -> DataFrame:
@@ -49,44 +56,86 @@ def fold_by_key(rows: DataFrame, order: Sequence[str], keys: Sequence[str] = KEY
     return folded.select(*out).unionByName(rows.where(~complete))
 
 
-def merge_batches(existing: DataFrame, batch: DataFrame, order: Sequence[str]) -> DataFrame:
-    """Existing rows and a batch folded together; ``order`` decides which row is newer."""
-    marked = existing.withColumn("__arrived", F.lit(0)).unionByName(batch.withColumn("__arrived", F.lit(1)), allowMissingColumns=True)
-    return fold_by_key(marked, order, first=("__arrived",)).drop("__arrived")
+def deciding_rows(rows: DataFrame, order: Sequence[str], keys: Sequence[str] = KEYS, first: Sequence[str] = (BATCH,)) -> DataFrame:
+    """The rows that ``fold_by_key`` takes a value from: a few for each key, so folding them gives the same result."""
+    complete = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    whole = F.struct(*rows.columns)
+    newest = F.struct(*order)
+    picks = [F.max(F.struct(newest.alias("o"), whole.alias("row")))]
+    picks += [F.max(F.when(F.col(c).isNotNull(), F.struct(newest.alias("o"), whole.alias("row")))) for c in STICKY if c in rows.columns]
+    if FLAG in rows.columns:
+        picks.append(F.max(F.struct(F.coalesce(F.col(FLAG), F.lit(0)).alias("o"), whole.alias("row"))))
+    if "id" in rows.columns and "id" not in order:
+        picks.append(F.min(F.struct(*first, newest.alias("o"), whole.alias("row"))))
+    grouped = rows.where(complete).groupBy(*keys).agg(*[p.alias(f"p{n}") for n, p in enumerate(picks)])
+    chosen = F.array_distinct(F.array_compact(F.array(*[F.col(f"p{n}.row") for n in range(len(picks))])))
+    return grouped.select(F.inline(chosen)).unionByName(rows.where(~complete))
+
+
+def _numbers(spark: SparkSession, path: str, kind: str) -> list[int]:
+    """Numbers of the folders of a kind whose write has succeeded; one entry per batch since the last compaction."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    folder = hadoop(f"{path}/{kind}")
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(folder):
+        return []
+    names = [s.getPath().getName() for s in files.listStatus(folder)]
+    return sorted(int(n.rpartition("=")[2]) for n in names if "=" in n and files.exists(hadoop(f"{path}/{kind}/{n}/_SUCCESS")))
+
 
+def _stored(spark: SparkSession, path: str) -> tuple[DataFrame | None, int, list[int]]:
+    """All rows of a table with their batch number, the last batch in its base (-1: none), and the batches after it."""
+    base = max(_numbers(spark, path, "base"), default=-1)
+    later = [n for n in _numbers(spark, path, "batches") if n > base]
+    folders = [f"{path}/base/upto={base}"] * (base >= 0) + [f"{path}/batches/batch={n}" for n in later]
+    if not folders:
+        return None, base, later
+    return spark.read.option("mergeSchema", True).parquet(*folders), base, later
 
-def key_bucket(columns: Sequence[str], buckets: int = BUCKETS) -> Column:
-    """Storage bucket of a row; rows without a listing id are spread by their other values."""
-    others = [c for c in columns if c not in ("source_listing_id", "key_bucket", "merge_batch")]
-    hashed = F.when(F.col("source_listing_id").isNotNull(), F.xxhash64(*KEYS)).otherwise(F.xxhash64(*others))
-    return F.pmod(hashed, F.lit(buckets)).cast("int")
+
+def read_merged(spark: SparkSession, path: str, order: Sequence[str]) -> DataFrame | None:
+    """The table folded by key: one row for each, rows without a listing id as they are; None before the first batch."""
+    rows, _, _ = _stored(spark, path)
+    return None if rows is None else fold_by_key(rows, order, first=(BATCH,)).drop(BATCH)
+
+
+def merge_into_table(spark: SparkSession, path: str, batch: DataFrame, order: Sequence[str], batch_id: int = 0) -> DataFrame:
+    """Store a batch under its number and count: one row (upserted, added, stored).
+
+    Numbers rise: one at or below the base, or stored after it, is a replay and nothing is written. ``order`` says at reading which of two rows is
+    newer. Counting reads the key columns of the table, once.
+    """
+    stored, base, later = _stored(spark, path)
+    replayed = batch_id <= base or batch_id in later
+    target = f"{path}/batches/batch={batch_id}"
+    if not replayed:
+        batch.withColumn(BATCH, F.lit(batch_id).cast("bigint")).write.mode("overwrite").parquet(target)
+        batch = spark.read.parquet(target).drop(BATCH)
+    keyed = lambda df, new: df.select(*KEYS, F.lit(new).alias("new"))
+    rows = keyed(batch, True) if stored is None else keyed(batch, True).unionByName(keyed(stored, False))
+    complete = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in KEYS])
+    groups = rows.groupBy(*KEYS, "new").agg(F.count("*").alias("n")).groupBy(*KEYS, complete.alias("complete")).agg(
+        F.sum(F.when(F.col("new"), F.col("n"))).alias("arrived"), F.sum(F.when(~F.col("new"), F.col("n"))).alias("held"),
+    )
+    fresh = F.when(F.col("complete"), (F.col("held").isNull()).cast("long")).otherwise(F.coalesce("arrived", F.lit(0)))
+    size = F.when(F.col("complete"), F.lit(1)).otherwise(F.coalesce("held", F.lit(0)) + (F.lit(0) if replayed else F.coalesce("arrived", F.lit(0))))
+    return groups.agg(
+        F.coalesce(F.sum("arrived"), F.lit(0)).alias("upserted"),
+        F.coalesce(F.lit(0).cast("long") if replayed else F.sum(fresh), F.lit(0)).alias("added"),
+        F.coalesce(F.sum(size), F.lit(0)).alias("stored"),
+    )
 
 
-def merge_into_table(
-    spark: SparkSession, path: str, batch: DataFrame, order: Sequence[str], batch_id: int = 0, buckets: int = BUCKETS
-) -> DataFrame:
-    """Merge a batch into a bucketed Parquet table, rewriting only the buckets the batch touches.
+def compact_table(spark: SparkSession, path: str, order: Sequence[str]) -> int:
+    """Put base and batches into a new base; the number of batches that went into it. What it replaces is then deleted.
 
-    A batch that is delivered again changes nothing: the fold picks the same winners, and rows
-    without a listing id of the same ``batch_id`` are replaced. Returns one row of counters.
-    Choose ``buckets`` so that one bucket is a comfortable rewrite unit.
+    Run it between batches, not beside readers that started before. A failure leaves the table as it was.
     """
-    tagged = batch.withColumns({"key_bucket": key_bucket(batch.columns, buckets), "merge_batch": F.lit(batch_id).cast("bigint")})
-    batch = materialize(tagged, "merge-batch")
-    touched = [r[0] for r in batch.select("key_bucket").distinct().collect()]  # at most ``buckets`` numbers
-    try:
-        stored = spark.read.option("mergeSchema", True).parquet(path)
-    except Exception as error:  # noqa: BLE001 - a missing table is an empty one
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        stored = batch.limit(0)
-    before = stored.where(F.col("key_bucket").isin(touched)) if touched else stored.limit(0)
-    previous = before.count()
-    repeated = F.col("source_listing_id").isNull() & (F.col("merge_batch") == batch_id)
-    merged = materialize(merge_batches(before.where(~F.coalesce(repeated, F.lit(False))), batch, order), "merge-result")
-    if touched:
-        # ranges over (bucket, hash) keep files balanced even when one bucket is large
-        writer = merged.repartitionByRange("key_bucket", F.xxhash64(*KEYS, "merge_batch")).write.mode("overwrite")
-        writer.partitionBy("key_bucket").option("partitionOverwriteMode", "dynamic").parquet(path)
-    upserted, now = batch.count(), merged.count()
-    return spark.createDataFrame([(upserted, now - previous)], "upserted bigint, added bigint")
+    rows, base, later = _stored(spark, path)
+    if not later:
+        return 0
+    deciding_rows(rows, order).write.mode("overwrite").parquet(f"{path}/base/upto={later[-1]}")
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    for folder in [f"{path}/base/upto={base}"] * (base >= 0) + [f"{path}/batches/batch={n}" for n in later]:
+        hadoop(folder).getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop(folder), True)
+    return len(later)

@@ -5,8 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from pricelens.functions import text as tx, vocabulary as vocab
 from pricelens.functions.dates import as_date, ingest_date
@@ -95,13 +94,20 @@ def keep_recent(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("recency") != "old").drop("recency")
 
 
+COUNTERS = ("parsed", "recent", "old", "unknown_date")
+#: Which of two captures of a listing is the newer one.
+MERGE_ORDER = ("scraped_at", "page_key", "position")
+
+
+def counter_columns() -> list[Column]:
+    kind = F.col("recency")
+    values = (F.count("*"), F.count_if(kind != "old"), F.count_if(kind == "old"), F.count_if(kind == "unknown"))
+    return [v.alias(n) for n, v in zip(COUNTERS, values)]
+
+
 def batch_counters(rows: DataFrame) -> DataFrame:
     """Parsed, recent (with unknown), old and unknown rows of one batch."""
-    kind = F.col("recency")
-    return rows.agg(
-        F.count("*").alias("parsed"), F.count_if(kind != "old").alias("recent"), F.count_if(kind == "old").alias("old"),
-        F.count_if(kind == "unknown").alias("unknown_date"),
-    )
+    return rows.agg(*counter_columns())
 
 
 def ingest_rows(
@@ -118,24 +124,12 @@ def ingest_rows(
     rows = with_recency(label_segment(rows, segment), cutoff, run_date)
     identity = F.concat_ws("\x1f", "source", F.coalesce("source_listing_id", "listing_url", "title"))
     rows = rows.withColumns({"id": F.xxhash64(identity), "scraped_at": F.lit(captured_at).cast("timestamp")})
-    rows = materialize(rows, "ingest-rows")
-    before = stored_rows(spark, table_path)
+    # the counters are observed while the rows are written, not by passes of their own
+    seen = Observation()
+    rows = materialize(rows.observe(seen, *counter_columns()), "ingest-rows")
     recent = keep_recent(rows)
-    merge_into_table(spark, table_path, recent, ["scraped_at", "page_key", "position"], batch_id=batch_id)
-    after = spark.read.parquet(table_path).count()
-    unique = recent.select("id").distinct().count()
-    added = after - before
-    counters = batch_counters(rows).withColumns({
-        "added": F.lit(added).cast("bigint"), "upserted": F.lit(unique - added).cast("bigint"), "stored": F.lit(after).cast("bigint"),
-    })
+    merged = merge_into_table(spark, table_path, recent, MERGE_ORDER, batch_id=batch_id)
+    unique = recent.agg(F.count_distinct("id")).scalar()
+    observed = [F.lit(seen.get[c]).cast("bigint").alias(c) for c in COUNTERS]
+    counters = merged.select(*observed, "added", (unique - F.col("added")).alias("upserted"), "stored")
     return IngestRun(recent, counters)
-
-
-def stored_rows(spark: SparkSession, table_path: str) -> int:
-    """Rows of the raw table; 0 before the first batch."""
-    try:
-        return spark.read.parquet(table_path).count()
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return 0

@@ -13,7 +13,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from pricelens.operators.merge import merge_into_table
+from pricelens.operators.merge import compact_table, merge_into_table
 from pricelens.plans.status import compact_events, fold_events
 from pricelens.session import materialize
 
@@ -29,11 +29,13 @@ def read_arrivals(spark: SparkSession, folder: str, schema, pattern: str = "*.pa
     return reader.option("pathGlobFilter", pattern).parquet(folder)
 
 
-def merge_arrivals(arrivals: DataFrame, table_path: str, order: list[str], checkpoint: str) -> StreamingQuery:
-    """Merge every micro-batch into the bucketed raw table; a replayed batch changes nothing."""
+def merge_arrivals(arrivals: DataFrame, table_path: str, order: list[str], checkpoint: str, compact_every: int = 16) -> StreamingQuery:
+    """Store every micro-batch in the raw table, merged on read; a replayed batch changes nothing. Batches are compacted now and then."""
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         merge_into_table(batch.sparkSession, table_path, batch, order, batch_id)
+        if batch_id % compact_every == compact_every - 1:
+            compact_table(batch.sparkSession, table_path, order)
 
     return arrivals.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from pricelens.functions import text as tx
 from pricelens.functions.dates import ingest_date
-from pricelens.operators.merge import fold_by_key, merge_into_table
+from pricelens.operators.merge import compact_table, fold_by_key, merge_into_table, read_merged
 from pricelens.plans import ingest, status
 from pricelens.plans.clean_build import CleanRules, decide_rows
 from pricelens.session import materialize, work_dir
@@ -166,14 +166,16 @@ def listing_upsert(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("merged_table", "S4", "I4", sql=UPSERT_SQL)
 def merged_table(spark: SparkSession, sf: str) -> DataFrame:
-    # two batches into a bucketed table, the second one delivered twice
+    # three batches, the second one delivered twice; the first two are compacted before the last arrives
     path = f"{work_dir(spark)}/raw-{uuid.uuid4().hex}"
     rows = _arrivals(spark, sf)
-    newer = F.col("scraped_at") >= "1998-01-01"
-    merge_into_table(spark, path, rows.where(~newer), ORDER, batch_id=0, buckets=8)
+    day = F.col("scraped_at")
+    merge_into_table(spark, path, rows.where(day < "1996-01-01"), ORDER, batch_id=0)
     for _ in range(2):
-        merge_into_table(spark, path, rows.where(newer), ORDER, batch_id=1, buckets=8)
-    return spark.read.parquet(path).drop("key_bucket", "merge_batch").withColumn("scraped_at", text_date("scraped_at"))
+        merge_into_table(spark, path, rows.where((day >= "1996-01-01") & (day < "1998-01-01")), ORDER, batch_id=1)
+    compact_table(spark, path, ORDER)
+    merge_into_table(spark, path, rows.where(day >= "1998-01-01"), ORDER, batch_id=2)
+    return read_merged(spark, path, ORDER).withColumn("scraped_at", text_date("scraped_at"))
 
 
 @query("recheck_queue", "F11", "K6", sql=f"""{WITH}, q AS (SELECT id, source_listing_id, title, CASE WHEN mileage_km = 50000 THEN '  ' ELSE listing_url END AS listing_url,
@@ -245,7 +247,7 @@ def merge_stream(spark: SparkSession, sf: str) -> DataFrame:
         return jobs.merge_arrivals(keyed, f"{base}/raw", ["ts", "event_id"], jobs.checkpoint_for(base, "merge", days=30))
 
     base = _in_steps(spark, sf, job, by_time=False)
-    return rounded(spark.read.parquet(f"{base}/raw").select("source_listing_id", "event_id", "value"))
+    return rounded(read_merged(spark, f"{base}/raw", ["ts", "event_id"]).select("source_listing_id", "event_id", "value"))
 
 
 @query("repeat_filter_stream", "I4", sql="SELECT event_id, user_id FROM events")
@@ -312,5 +314,5 @@ def recleaned_listings(spark: SparkSession, sf: str) -> DataFrame:
     rows = pg.parse_results(result_pages(spark, sf, dated=True), "market", base_url="https://pages.test/")
     path = f"{work_dir(spark)}/raw-{uuid.uuid4().hex}"
     ingest.ingest_rows(rows, path, ingest.PageFilters(), ingest.GENERAL, cutoff="1998-01-01", run_date=RUN_DATE, captured_at="2001-12-31 06:00:00")
-    stored = spark.read.parquet(path).drop("key_bucket", "merge_batch")
+    stored = read_merged(spark, path, ingest.MERGE_ORDER)
     return decide_rows(stored, brand_map(table(spark, sf, "part").select("p_brand").distinct()), CleanRules()).agg(F.count("*").alias("decided"))

@@ -6,7 +6,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from pricelens.operators.merge import fold_by_key, merge_into_table
+from pricelens.operators.merge import compact_table, deciding_rows, fold_by_key, merge_into_table, read_merged
 from pricelens.plans import ingest, status
 from pricelens.sources import pages as pg
 from pricelens.streaming import jobs
@@ -50,13 +50,54 @@ def test_table_merge_is_idempotent(spark, tmp_path):
     path = str(tmp_path / "raw")
     first = spark.createDataFrame([("s", str(i), i, None, 0, 1, i) for i in range(20)] + [("s", None, 7, None, 0, 1, 99)], LISTING)
     second = spark.createDataFrame([("s", "3", 333, "Boyasız", 1, 2, 500), ("s", "new", 1, None, 0, 2, 501)], LISTING)
-    assert merge_into_table(spark, path, first, ["seq"], 0, 4).first().added == 21
-    assert merge_into_table(spark, path, second, ["seq"], 1, 4).first().added == 1
-    assert merge_into_table(spark, path, second, ["seq"], 1, 4).first().added == 0
-    assert merge_into_table(spark, path, first, ["seq"], 0, 4).first().added == 0
-    stored = spark.read.parquet(path)
-    row = stored.where("source_listing_id = '3'").first()
-    assert stored.count() == 22 and (row.price, row.id, row.is_clean_claimed) == (333, 3, 1)
+    assert tuple(merge_into_table(spark, path, first, ["seq"], 0).first()) == (21, 21, 21)
+    assert tuple(merge_into_table(spark, path, second, ["seq"], 1).first()) == (2, 1, 22)
+    assert tuple(merge_into_table(spark, path, second, ["seq"], 1).first()) == (2, 0, 22)
+    assert tuple(merge_into_table(spark, path, first, ["seq"], 0).first()) == (21, 0, 22)
+    for _ in range(2):
+        stored = read_merged(spark, path, ["seq"])
+        row = stored.where("source_listing_id = '3'").first()
+        assert stored.count() == 22 and (row.price, row.id, row.is_clean_claimed) == (333, 3, 1)
+        assert compact_table(spark, path, ["seq"]) in (2, 0)
+    assert tuple(merge_into_table(spark, path, first, ["seq"], 0).first()) == (21, 0, 22)
+    assert read_merged(spark, str(tmp_path / "none"), ["seq"]) is None
+
+
+def test_a_batch_writes_its_own_rows_only(spark, tmp_path):
+    path = tmp_path / "raw"
+    size = lambda: sum(f.stat().st_size for f in path.rglob("*.parquet"))
+    rows = lambda a, b, seq: spark.range(a, b, 1, 2).selectExpr("'s' as source", "cast(id as string) as source_listing_id", "id as price", "cast(null as string) as paint_status", "0 as is_clean_claimed", f"{seq} as seq", "id")
+    merge_into_table(spark, str(path), rows(0, 200_000, 1), ["seq"], 0)
+    large = size()
+    assert merge_into_table(spark, str(path), rows(199_900, 200_100, 2), ["seq"], 1).first().added == 100
+    assert size() - large < large / 50
+    assert merge_into_table(spark, str(path), rows(199_900, 200_100, 2), ["seq"], 1).first().stored == 200_100
+    assert read_merged(spark, str(path), ["seq"]).count() == 200_100
+
+
+def test_unfinished_batch_is_not_read(spark, tmp_path):
+    path = tmp_path / "raw"
+    one = spark.createDataFrame([("s", "1", 1, None, 0, 1, 1)], LISTING)
+    merge_into_table(spark, str(path), one, ["seq"], 0)
+    one.withColumn("merge_batch", F.lit(1).cast("long")).write.parquet(f"{path}/batches/batch=1")
+    (path / "batches/batch=1/_SUCCESS").unlink()
+    assert read_merged(spark, str(path), ["seq"]).count() == 1
+    assert merge_into_table(spark, str(path), one.withColumn("price", F.lit(9).cast("long")).withColumn("seq", F.lit(3)), ["seq"], 1).first().stored == 1
+    assert read_merged(spark, str(path), ["seq"]).first().price == 9
+
+
+def test_compaction_keeps_every_deciding_row(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [("s", rng.choice(["1", "2", "3", "4", None]), rng.choice([None, rng.randrange(99)]), rng.choice([None, None, "a", "b"]), rng.choice([0, 0, 1, None]), n, n, n % 5) for n in rng.sample(range(300), 120)]
+    whole = spark.createDataFrame(rows, LISTING + ", merge_batch bigint")
+    fold = lambda df: sorted(map(tuple, fold_by_key(df, ["seq"], first=("merge_batch",)).drop("merge_batch").collect()), key=repr)
+    kept = deciding_rows(whole, ["seq"])
+    assert fold(kept) == fold(whole) and kept.where("source_listing_id is not null").count() <= 4 * 5
+    for cut in (60, 200):  # compacted in steps, in any split
+        again = deciding_rows(kept.where(f"seq < {cut}"), ["seq"]).unionByName(kept.where(f"seq >= {cut}"))
+        assert fold(again) == fold(whole)
 
 
 def test_stream_equals_batch(spark, tmp_path):
@@ -67,8 +108,8 @@ def test_stream_equals_batch(spark, tmp_path):
     schema = spark.createDataFrame([], LISTING).schema
     arrivals = jobs.read_arrivals(spark, str(folder), schema, files_per_trigger=1)
     checkpoint = jobs.checkpoint_for(str(tmp_path), "merge", days=30)
-    jobs.merge_arrivals(arrivals, str(tmp_path / "table"), ["seq", "id"], checkpoint).awaitTermination()
-    streamed = spark.read.parquet(str(tmp_path / "table")).select("source_listing_id", "price", "seq")
+    jobs.merge_arrivals(arrivals, str(tmp_path / "table"), ["seq", "id"], checkpoint, compact_every=2).awaitTermination()
+    streamed = read_merged(spark, str(tmp_path / "table"), ["seq", "id"]).select("source_listing_id", "price", "seq")
     whole = fold_by_key(spark.createDataFrame(sum(batches, []), LISTING), ["seq", "id"]).select("source_listing_id", "price", "seq")
     assert sorted(map(tuple, streamed.collect())) == sorted(map(tuple, whole.collect()))
 
