@@ -14,7 +14,9 @@ __all__ = ["BATCH_BYTES", "BATCH_ROWS", "crc_of_id", "discard", "first_by_hash",
 
 #: Rows and bytes in one Arrow batch that an operator's function works on: whole texts may be long, so batches stay small.
 BATCH_ROWS = 2048
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
+#: Bytes of one Arrow batch that Spark hands to a worker.
+SENT_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,7 +42,11 @@ def pieces(batches: Iterator[pa.RecordBatch], rows: int, size: int) -> Iterator[
 
 
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str | StructType, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> DataFrame:
-    """``mapInArrow`` over batches of at most ``rows`` rows and about ``size`` bytes. No setting of the session is changed."""
+    """``mapInArrow`` over batches of at most ``rows`` rows and about ``size`` bytes.
+
+    The session's bound on the bytes of an Arrow batch is set to SENT_BYTES, the same for every plan: it only bounds memory.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(SENT_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         return fn(pieces(batches, rows, size))
