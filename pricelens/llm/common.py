@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -49,11 +50,20 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(SENT_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        return fn(pieces(batches, rows, size))
+        yield from fn(pieces(batches, rows, size))
+        give_back()
 
     return df.mapInArrow(run, schema)
 
 
+def give_back() -> None:
+    """Return a worker's freed memory to the system: workers live on from task to task, beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def quoted(names: Iterable[str]) -> list[str]:
     """Column names as Spark reads them back, dots and backticks included."""
     return [f"`{n.replace('`', '``')}`" for n in names]
