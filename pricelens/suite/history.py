@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -152,6 +153,23 @@ def coverage_csv(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.schema(schema).option("header", True).csv(f"{folder}/package_coverage")
 
 
+@query("coverage_reports", "S7", sql=f"{COVERAGE_SQL} SELECT level, brand, series, model AS package, listing_count, status FROM report")
+def coverage_reports(spark: SparkSession, sf: str) -> DataFrame:
+    # all three report files, written and read back
+    folder = f"{work_dir(spark)}/coverage-{uuid.uuid4().hex}"
+    cov.write_coverage(cov.coverage(listings(spark, sf, ["brand", "series", "model"]), canonical(spark, sf)), folder)
+    names = {"brand": ["brand"], "series": ["brand", "series"], "package": ["brand", "series", "package"]}
+    every = ["brand", "series", "package", "listing_count", "status"]
+
+    def report(level: str, columns: list[str]) -> DataFrame:
+        schema = ", ".join(f"{c} string" for c in columns) + ", listing_count bigint, status string"
+        rows = spark.read.schema(schema).option("header", True).csv(f"{folder}/{level}_coverage")
+        shown = [F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in every]
+        return rows.select(F.lit("model" if level == "package" else level).alias("level"), *shown)
+
+    return reduce(DataFrame.unionByName, [report(level, columns) for level, columns in names.items()])
+
+
 @query("catalog_flattened", "S5", sql="""SELECT DISTINCT upper(p_brand) AS brand, CASE WHEN p_size > 48 THEN p_type || ' X' ELSE p_type END AS series,
   CASE WHEN p_size > 40 THEN p_name || ' plus' ELSE p_name END AS model FROM part""")
 def catalog_flattened(spark: SparkSession, sf: str) -> DataFrame:
