@@ -10,7 +10,7 @@ import string
 import unicodedata
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column, functions as F
 
@@ -20,6 +20,8 @@ NON_ASCII = r"[^\x00-\x7F]"
 # Characters below this point that fold to nothing are deleted by the translation itself, so that
 # ordinary European text never reaches the slower checks.
 COMMON_TEXT = 0x2100
+# Tables with at most so many expanding characters are expanded by one replacement for each.
+CHAINED = 200
 
 
 @dataclass(frozen=True)
@@ -104,10 +106,14 @@ def _map_chars(text: Column, table: CharTable, lower_ascii: bool) -> Column:
     if lower_ascii:
         source, target = source + string.ascii_uppercase, target + string.ascii_lowercase
     plain = F.translate(text, source + table.dropped, target)
-    expansions = literal_map(dict(table.expansions))
-    expanded = F.array_join(
-        F.transform(F.split(plain, ""), lambda ch: F.coalesce(F.try_element_at(expansions, ch), ch)), ""
-    )
+    if len(table.expansions) <= CHAINED:
+        # no expansion holds an expanding character, so the order does not matter
+        expanded = reduce(lambda out, pair: F.replace(out, F.lit(pair[0]), F.lit(pair[1])), table.expansions, plain)
+    else:
+        expansions = literal_map(dict(table.expansions))
+        expanded = F.array_join(
+            F.transform(F.split(plain, ""), lambda ch: F.coalesce(F.try_element_at(expansions, ch), ch)), ""
+        )
     # the cheap test first: most text is ASCII once translated
     return F.when(plain.rlike(NON_ASCII) & plain.rlike(table.expansion_class), expanded).otherwise(plain)
 

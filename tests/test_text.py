@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pricelens.functions import dates, text as tx, vocabulary as vocab
-from pricelens.functions.folding import casefold
+from pricelens.functions.folding import casefold, casefold_table
 
 WORDS = [
     "Boyasız", "BOYASIZ", "Değişensiz", "Iğdır", "İstanbul", "Türk Lirası", "straße", "½ price", "１２３", "ﬁat", "NİSAN", "a—b…c",
@@ -70,6 +70,13 @@ def test_locations(spark):
     assert {(r.a, r.b): (r.c, r.d) for r in df.select("a", "b", city.alias("c"), district.alias("d")).collect()} == cases
 
 
+def test_every_expanding_letter(spark):
+    letters = [c for c, _ in casefold_table().expansions]
+    assert not set(letters) & set("".join(folded for _, folded in casefold_table().expansions))
+    words = [*letters, "A".join(letters), "".join(reversed(letters)) + "İ日本", "ß" * 5000]
+    assert column(spark, words, casefold) == [(w.casefold(),) for w in words]
+
+
 def test_title_hints(spark):
     titles = ["2015 model 120.000 km", "15 model", "98 mdl", "temiz 95 binde", "100.ooo km", "1949"]
     assert column(spark, titles, tx.year_from_title, tx.mileage_from_title) == [(2015, 120000), (2015, None), (None, None), (None, 95000), (None, 100000), (None, None)]
