@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pricelens.operators.filters import ListingFilters
 from pricelens.plans import coverage as cov, market, snapshots as snap
+from pricelens.plans.clean_build import decide_rows
 from pricelens.session import work_dir
 from pricelens.sources import listings as src
 from pricelens.sources.catalog import brand_map, canonical_entries, flatten_catalog, read_catalog, write_catalog
 from pricelens.sources.warehouse import LISTINGS_SQL, listings, table
+from pricelens.suite import messy
 from pricelens.suite.registry import query, rounded, text_date
 
 MONTHLY_SQL = f"""WITH {LISTINGS_SQL}, d AS MATERIALIZED (SELECT CAST(date_trunc('month', listing_day) AS DATE) AS snapshot_date, brand, price FROM listings WHERE price > 0),
@@ -123,22 +125,36 @@ _KEY = "regexp_replace(lower({0}), '[^a-z0-9]', '', 'g')"
 _KEYS3 = ", ".join(f"{_KEY.format(c)} AS {k}" for c, k in (("brand", "bk"), ("series", "sk"), ("model", "mk")))
 CATALOG_SQL = """cat AS MATERIALIZED (SELECT DISTINCT p_brand AS brand, CASE WHEN p_size > 48 THEN p_type || ' X' ELSE p_type END AS series,
   CASE WHEN p_size > 40 THEN p_name || ' plus' ELSE p_name END AS model FROM part)"""
-COVERAGE_SQL = f"""WITH {LISTINGS_SQL}, {CATALOG_SQL}, lk AS MATERIALIZED (SELECT {_KEYS3}, count(*) AS n FROM listings GROUP BY 1, 2, 3),
+
+
+def _coverage_sql(tables: str, rows: str) -> str:
+    return f"""WITH {tables}, {CATALOG_SQL}, lk AS MATERIALIZED (SELECT {_KEYS3}, count(*) AS n FROM {rows} GROUP BY 1, 2, 3),
 ck AS (SELECT *, {_KEYS3} FROM cat),
-b AS (SELECT DISTINCT brand, bk FROM ck), s AS (SELECT DISTINCT brand, series, bk, sk FROM ck),
+cbrands AS (SELECT DISTINCT brand, bk FROM ck), cseries AS (SELECT DISTINCT brand, series, bk, sk FROM ck),
 rep AS (
   SELECT 'brand' AS level, brand, CAST(NULL AS VARCHAR) AS series, CAST(NULL AS VARCHAR) AS model,
-         coalesce((SELECT sum(n) FROM lk WHERE lk.bk = b.bk), 0) AS n, 7 AS low FROM b
-  UNION ALL SELECT 'series', brand, series, NULL, coalesce((SELECT sum(n) FROM lk WHERE lk.bk = s.bk AND lk.sk = s.sk), 0), 7 FROM s
+         coalesce((SELECT sum(n) FROM lk WHERE lk.bk = cbrands.bk), 0) AS n, 7 AS low FROM cbrands
+  UNION ALL SELECT 'series', brand, series, NULL, coalesce((SELECT sum(n) FROM lk WHERE lk.bk = cseries.bk AND lk.sk = cseries.sk), 0), 7 FROM cseries
   UNION ALL SELECT 'model', brand, series, model, coalesce((SELECT sum(n) FROM lk WHERE lk.bk = ck.bk AND lk.sk = ck.sk AND lk.mk = ck.mk), 0), 2 FROM ck),
 report AS (SELECT level, brand, series, model, CAST(n AS BIGINT) AS listing_count, CASE WHEN n = 0 THEN 'missing' WHEN n <= low THEN 'low' ELSE 'covered' END AS status FROM rep)"""
 
 
+COVERAGE_SQL = _coverage_sql(LISTINGS_SQL, "listings")
+
+
 @query("catalog_coverage", "D10", "A11", "A12", "J5", "C12", sql=f"{COVERAGE_SQL} SELECT * FROM report")
 def catalog_coverage(spark: SparkSession, sf: str) -> DataFrame:
     return cov.coverage(listings(spark, sf, ["brand", "series", "model"]), canonical(spark, sf))
 
 
+@query("coverage_of_raw", "D10", "J5", sql=f"{_coverage_sql(messy.KEYED_SQL, 'ok')} SELECT * FROM report")
+def coverage_of_raw(spark: SparkSession, sf: str) -> DataFrame:
+    # the clean table is still empty, so the raw rows that the rules accept are audited
+    raw = messy.raw_listings(spark, sf)
+    accepted = lambda rows: decide_rows(rows, brand_map(messy.brand_names(spark, sf)), messy.RULES).where(F.col("rejection_reason").isNull())
+    return cov.coverage(cov.audit_source(raw.limit(0), raw, accepted), canonical(spark, sf))
+
+
 @query("coverage_totals", "A12", sql=f"{COVERAGE_SQL} SELECT level, status, count(*) AS entries FROM report GROUP BY 1, 2")
 def coverage_totals(spark: SparkSession, sf: str) -> DataFrame:
     return cov.coverage_totals(cov.coverage(listings(spark, sf, ["brand", "series", "model"]), canonical(spark, sf)))
