@@ -178,20 +178,36 @@ def scaled_trend(spark: SparkSession, sf: str) -> DataFrame:
     return _whole(scaled.withColumn("date", text_date("date")))
 
 
-@query("valuation_price_points", "K5", "F19", sql=f"""{PAIRS_SQL},
+POINTS_SQL = f"""{PAIRS_SQL},
 ranked AS (SELECT request_id, price, row_number() OVER (PARTITION BY request_id ORDER BY price) AS rank FROM used)
 SELECT r.request_id, CAST(price AS DOUBLE) AS price,
        CAST((rank - 1) % least(8, greatest(3, CAST(ceil(sqrt(n)) AS INTEGER))) + 1 AS INTEGER) AS lane,
        price BETWEEN weighted_q1 AND weighted_q3 AS is_recommended
-FROM ranked r JOIN summary USING (request_id) JOIN weighted USING (request_id)""")
-def valuation_price_points(spark: SparkSession, sf: str) -> DataFrame:
+FROM ranked r JOIN summary USING (request_id) JOIN weighted USING (request_id)"""
+
+
+def _price_points(spark: SparkSession, sf: str) -> tuple[valuation.Valuation, DataFrame]:
+    """The prepared requests and the points of every context."""
     run = valuation.prepare(requests(spark, sf), listings(spark, sf, ["id", *LISTING_COLS]), extra=("id",))
     summary = valuation.used_summary(run.used).withColumnRenamed("count", "used_count")
-    points = valuation.price_points(run, summary).select("context_id", F.col("price").cast("double").alias("price"), "lane", "is_recommended")
+    return run, valuation.price_points(run, summary).select("context_id", F.col("price").cast("double").alias("price"), "lane", "is_recommended")
+
+
+@query("valuation_price_points", "K5", "F19", sql=POINTS_SQL)
+def valuation_price_points(spark: SparkSession, sf: str) -> DataFrame:
+    run, points = _price_points(spark, sf)
     # equal prices may swap places, which changes neither the lanes nor the marks of a price
     return run.requests.select("request_id", "context_id").join(points, "context_id").drop("context_id")
 
 
+@query("scaled_price_points", "K5", "D6", sql=f"""WITH b AS ({POINTS_SQL})
+SELECT request_id, CAST(floor(price * {FACTOR_SQL}) AS BIGINT) AS price, lane, is_recommended FROM b""")
+def scaled_price_points(spark: SparkSession, sf: str) -> DataFrame:
+    # points belong to contexts; every request of one takes them with its own factor, whose marks do not change
+    run, points = _price_points(spark, sf)
+    return valuation.scale_points(points, run.requests, fixed_factors(run.requests), ["price"]).withColumn("price", F.floor("price"))
+
+
 SCORE_SQL = """CAST(round(least(greatest(
     0.42::DOUBLE * least(greatest(1 - abs(year - 1998)::DOUBLE / 6.0::DOUBLE, 0), 1)
   + 0.34::DOUBLE * least(greatest(1 - abs(mileage_km - 120000)::DOUBLE / 90000.0::DOUBLE, 0), 1)
