@@ -217,19 +217,21 @@ def listing_status(spark: SparkSession, sf: str) -> DataFrame:
 def _in_steps(spark: SparkSession, sf: str, job: Callable[[DataFrame, str], StreamingQuery], by_time: bool) -> str:
     """Run a job over three deliveries of the events, started anew after each; the folder it works in.
 
-    By time the deliveries follow each other; else they are mixed, so most events of the later ones are late.
+    By time the deliveries follow each other, but every tenth event comes one delivery too late and each delivery
+    is one micro-batch; else they are mixed, so most events of the later ones are late.
     """
     base = f"{work_dir(spark)}/stream-{uuid.uuid4().hex}"
     events = table(spark, sf, "events")
     if by_time:
         first, last = events.agg(F.min(F.unix_timestamp("ts")), F.max(F.unix_timestamp("ts"))).first()
         # a delivery ends with a day
-        part = F.least(F.lit(2), F.floor((F.unix_timestamp(F.date_trunc("day", "ts")) - F.lit(first)) * 3 / F.lit(last - first + 1)))
+        part = F.greatest(F.floor((F.unix_timestamp(F.date_trunc("day", "ts")) - F.lit(first)) * 3 / F.lit(last - first + 1)), F.lit(0))
+        part = F.least(F.lit(2), part + F.when(F.col("event_id") % 10 == 0, 1).otherwise(0))
     else:
         part = F.col("event_id") % 3
     for k in range(3):
-        events.where(F.greatest(part, F.lit(0)) == k).repartition(2).write.mode("append").parquet(f"{base}/arrivals")
-        job(jobs.read_arrivals(spark, f"{base}/arrivals", events.schema, files_per_trigger=1), base).awaitTermination()
+        events.where(part == k).repartition(2).write.mode("append").parquet(f"{base}/arrivals")
+        job(jobs.read_arrivals(spark, f"{base}/arrivals", events.schema, files_per_trigger=2 if by_time else 1), base).awaitTermination()
     return base
 
 
@@ -250,21 +252,29 @@ def merge_stream(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(read_merged(spark, f"{base}/raw", ["ts", "event_id"]).select("source_listing_id", "event_id", "value"))
 
 
-@query("repeat_filter_stream", "I4", sql="SELECT event_id, user_id FROM events")
+# Events with their delivery, and the watermark that a delivery meets: a day before the newest event of those before it.
+DELIVERED_SQL = """WITH span AS (SELECT CAST(floor(epoch(min(ts))) AS BIGINT) AS first, CAST(floor(epoch(max(ts))) AS BIGINT) AS last FROM events),
+e AS MATERIALIZED (SELECT e.*, CAST(least(2, greatest(0, floor((CAST(epoch(date_trunc('day', ts)) AS BIGINT) - first) * 3 / (last - first + 1))) + CASE WHEN event_id % 10 = 0 THEN 1 ELSE 0 END) AS INTEGER) AS delivery FROM events e, span),
+newest AS (SELECT delivery, date_trunc('milliseconds', max(ts)) AS ts FROM e GROUP BY 1),
+met AS MATERIALIZED (SELECT d.delivery, (SELECT max(n.ts) FROM newest n WHERE n.delivery < d.delivery) - INTERVAL 1 DAY AS watermark FROM newest d)"""
+
+
+@query("repeat_filter_stream", "I4", sql=f"{DELIVERED_SQL} SELECT event_id, user_id FROM e JOIN met USING (delivery) WHERE watermark IS NULL OR ts > watermark")
 def repeat_filter_stream(spark: SparkSession, sf: str) -> DataFrame:
-    # every event is delivered twice; one copy of each remains
+    # every event is delivered twice; one copy of each remains, none of an event that comes behind the watermark
     def job(rows: DataFrame, base: str) -> StreamingQuery:
         doubled = rows.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
-        return jobs.append_to(jobs.without_repeats(doubled, ["event_id"], "ts", "400 days"), f"{base}/once", f"{base}/once-checkpoint")
+        return jobs.append_to(jobs.without_repeats(doubled, ["event_id"], "ts", "1 day"), f"{base}/once", f"{base}/once-checkpoint")
 
     return spark.read.parquet(f"{_in_steps(spark, sf, job, by_time=True)}/once").select("event_id", "user_id")
 
 
-@query("daily_window_stream", "I6", "I3", sql="""SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, CAST(round(sum(value) * 100) AS BIGINT) AS total_cents, min(value) AS minimum, max(value) AS maximum, count(*) AS count
-FROM events GROUP BY 1, 2""")
+@query("daily_window_stream", "I6", "I3", sql=f"""{DELIVERED_SQL} SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, CAST(round(sum(value) * 100) AS BIGINT) AS total_cents, min(value) AS minimum, max(value) AS maximum, count(*) AS count
+FROM e JOIN met USING (delivery) WHERE watermark IS NULL OR date_trunc('day', ts) + INTERVAL 1 DAY > watermark GROUP BY 1, 2""")
 def daily_window_stream(spark: SparkSession, sf: str) -> DataFrame:
+    # events of a day that the watermark has passed come too late and are not counted
     def job(rows: DataFrame, base: str) -> StreamingQuery:
-        stats = jobs.window_statistics(rows.withColumn("ts", F.col("ts").cast("timestamp")), "ts", ["event_type"], "value", delay="400 days")
+        stats = jobs.window_statistics(rows.withColumn("ts", F.col("ts").cast("timestamp")), "ts", ["event_type"], "value", delay="1 day")
         return jobs.upsert_windows(stats, f"{base}/windows", ["event_type"], f"{base}/windows-checkpoint")
 
     rows = jobs.read_windows(spark, f"{_in_steps(spark, sf, job, by_time=True)}/windows", ["event_type"])

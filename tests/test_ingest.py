@@ -114,6 +114,32 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted(map(tuple, streamed.collect())) == sorted(map(tuple, whole.collect()))
 
 
+def test_events_behind_the_watermark_are_left_out(spark, tmp_path):
+    """Each delivery is one micro-batch; the watermark is a day before the newest event of the earlier ones."""
+    deliveries = [
+        [(1, "2024-01-01 10:00:00", 1.0), (2, "2024-01-05 12:00:00", 2.0)],
+        # behind 4 January noon: the first; the day of the second has not ended yet
+        [(3, "2024-01-02 10:00:00", 4.0), (4, "2024-01-04 09:00:00", 8.0), (5, "2024-01-05 13:00:00", 16.0), (2, "2024-01-05 12:00:00", 2.0)],
+        [(6, "2024-02-01 00:00:00", 32.0)],
+    ]
+    schema = "id long, at string, value double"
+    held = []
+    for rows in deliveries:
+        frame = spark.createDataFrame(rows, schema).withColumn("at", F.col("at").cast("timestamp")).coalesce(1)
+        frame.write.mode("append").parquet(str(tmp_path / "in"))
+        arrivals = jobs.read_arrivals(spark, str(tmp_path / "in"), frame.schema)
+        windows = jobs.upsert_windows(jobs.window_statistics(arrivals, "at", [], "value"), str(tmp_path / "windows"), [], str(tmp_path / "c1"))
+        once = jobs.append_to(jobs.without_repeats(arrivals, ["id"], "at", "1 day"), str(tmp_path / "once"), str(tmp_path / "c2"))
+        windows.awaitTermination()
+        once.awaitTermination()
+        held.append(windows.lastProgress["stateOperators"][0]["numRowsTotal"])
+    got = {str(r.window_start)[:10]: (r["count"], r.maximum) for r in jobs.read_windows(spark, str(tmp_path / "windows"), []).collect()}
+    assert got == {"2024-01-01": (1, 1.0), "2024-01-04": (1, 8.0), "2024-01-05": (3, 16.0), "2024-02-01": (1, 32.0)}
+    # of the single events, both of 2 January and 4 January 9:00 lie behind noon of 4 January
+    assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "once")).collect()) == [1, 2, 5, 6]
+    assert held == [1, 2, 1]  # windows behind the watermark have left the state
+
+
 def test_checkpoint_follows_its_settings():
     same = [jobs.checkpoint_for("b", "j", days=30, bands="x") for _ in range(2)]
     assert same[0] == same[1] != jobs.checkpoint_for("b", "j", days=7, bands="x")
