@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pricelens.functions import scoring
+from pricelens.functions.registered import register_functions
 from pricelens.operators.filters import filter_problem, request_problem
 from pricelens.operators.quantiles import price_statistics
 from pricelens.plans import valuation
@@ -216,6 +217,17 @@ SCORE_SQL = """CAST(round(least(greatest(
 FRESH_SQL = "least(greatest(1 - date_diff('day', listing_day, (SELECT max(listing_day) FROM listings))::DOUBLE / 45.0::DOUBLE, 0.35), 1.0)"
 
 
+@query("similarity_in_sql", "P1", "C20", "C23", sql=f"""WITH {LISTINGS_SQL}
+SELECT id, {SCORE_SQL.format(fresh='0.65::DOUBLE')} AS similarity_score FROM listings""")
+def similarity_in_sql(spark: SparkSession, sf: str) -> DataFrame:
+    """The scores of ``similarity_scores``, asked for in SQL."""
+    register_functions(spark)
+    rows = listings(spark, sf, ["id", "year", "mileage_km", "model", "title"])
+    return spark.sql("""SELECT id, round(listing_similarity(
+        listing_distance_score(year, 1998, 6), listing_distance_score(mileage_km, 120000, listing_mileage_scale(120000)),
+        CASE WHEN contains(lower(concat(model, ' ', title)), 'ring') THEN 1.0 ELSE 0.65 END, 0.65), 6) AS similarity_score FROM {rows}""", rows=rows)
+
+
 @query("similarity_scores", "C20", "C22", "C23", "K4", "T4", sql=f"""WITH {LISTINGS_SQL}
 SELECT id, {SCORE_SQL.format(fresh='0.65::DOUBLE')} AS similarity_score FROM listings""")
 def similarity_scores(spark: SparkSession, sf: str) -> DataFrame:
