@@ -9,6 +9,7 @@ costs one dictionary lookup per batch.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -41,6 +42,11 @@ def split_words(texts: list[str]) -> pa.ListArray:
     return pc.split_pattern(pc.replace_substring(pa.array(texts, pa.string()), "\n", " "), " ")
 
 
+def is_letters(word: str) -> bool:
+    """Whether a word is letters only, in lower case and composed too: some letters become a letter and a mark, which joins the punctuation behind it."""
+    return word.isalpha() and (word.isascii() or unicodedata.normalize("NFC", word.lower()).isalpha())
+
+
 def chunk_of(key: str) -> str:
     return key[1:] if key[:1] == "\r" else key if key[:1] == "\n" else " " + key
 
@@ -73,10 +79,11 @@ class ChunkCache:
         young = self.young
         words = [k.rstrip(_TAIL) for k in missing]
         # (key, word, tail) where the chunk is letters and punctuation; other chunks are units
-        pairs = [(k, w, self.start + k[len(w):]) for k, w in zip(missing, words, strict=True) if len(w) < len(k) and w.isalpha()]
+        cut = [len(w) < len(k) and is_letters(w) for k, w in zip(missing, words, strict=True)]
+        pairs = [(k, w, self.start + k[len(w):]) for k, w, c in zip(missing, words, cut, strict=True) if c]
         parts = list({u for _, w, t in pairs for u in (w, t)})
         new = {u for u, v in zip(parts, self._known(parts), strict=True) if v is None}
-        new.update(k for k, w in zip(missing, words, strict=True) if len(w) == len(k) or not w.isalpha())
+        new.update(k for k, c in zip(missing, cut, strict=True) if not c)
         new = list(new)
         young.update(zip(new, self.compute(list(map(self.chunk, new))), strict=True))
         for key, word, tail in pairs:

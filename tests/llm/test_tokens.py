@@ -57,7 +57,7 @@ def test_ids_of_any_text(texts):
 def test_ids_where_case_matters():
     from pricelens.llm.hf_ids import tokenizer_of
 
-    texts = ["a <|EndOfText|> b", "<|STARTOFTEXT|>", "J\u030c H\u0331 J\u030cA", "A\u0301 FÜR Für", "İI ΟΔΟΣ Kelvin \u212a", "The END"]
+    texts = ["a <|EndOfText|> b", "<|STARTOFTEXT|>", "J\u030c H\u0331 J\u030cA", "A\u0301 FÜR Für", "İI ΟΔΟΣ Kelvin \u212a", "The END", "İ<", "aİ. b", "\u0958!", "\ufb1d, x"]
     want = [e.ids for e in Tokenizer.from_file(WORD).encode_batch(texts, add_special_tokens=False)]
     assert [i.tolist() for i in tokenizer_of(WORD).encode(texts)] == want
 
@@ -71,6 +71,16 @@ def test_ids_of_capitals_and_marks(texts):
     assert [i.tolist() for i in tokenizer_of(WORD).encode(texts)] == want
 
 
+@pytest.mark.parametrize("path", [GPT, WORD])
+def test_ids_do_not_depend_on_how_many_units_are_encoded_at_once(monkeypatch, path):
+    from pricelens.llm import hf_ids
+
+    monkeypatch.setattr(hf_ids, "UNITS", 3)
+    texts = [*(t or "" for t in TEXTS), " ".join(f"word{i}," for i in range(50)), ""]
+    want = [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    assert [i.tolist() for i in hf_ids.FileTokenizer(path).encode(texts)] == want
+
+
 def test_byte_bpe(docs):
     got = sorted(map(tuple, byte_bpe.encode_documents(docs, MULTI, P.PATTERN, with_ids=True).collect()), key=repr)
     enc, want = tik(), []
