@@ -13,6 +13,8 @@ from pricelens.llm.chunks import ChunkCache
 
 #: Capitals that compose with nothing: what follows them is ASCII or the end.
 _PLAIN_CAPITALS = re.compile(r"[A-Z]+(?=[\x00-\x7f]|\Z)")
+#: Units that the library encodes in one call.
+UNITS = 4096
 
 
 class FileTokenizer:
@@ -40,7 +42,9 @@ class FileTokenizer:
         return self.tokenizer.get_vocab_size()
 
     def _encode_units(self, units: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
+        # the library's results are some hundred bytes a unit beside the ids, so few are held at a time
+        blocks = (units[a : a + UNITS] for a in range(0, len(units), UNITS))
+        return [array("I", e.ids).tobytes() for block in blocks for e in self.tokenizer.encode_batch_fast(block, add_special_tokens=False)]
 
     def _fold(self, text: str) -> str:
         """ASCII capitals in lower case where that changes no id: not before what they may compose with, nor where a special string could arise."""
