@@ -5,7 +5,8 @@ in-memory neighbour graph. Every vector goes to the list of its nearest centroid
 border, to further lists whose centroid is hardly farther.
 A query reads every list whose centroid is at most a given ratio farther than its nearest one, however many
 these are; the graph answers where they are few, else the query meets all centroids. A list of any size is
-dealt into parts, every query of the list meets every part, and each task passes on its ten best per query only. A
+dealt into parts and the parts to slots. Queries are dealt into blocks; a query travels to each slot once, with the
+numbers of its lists there, and a slot's vectors stream past the block, which keeps the ten best per query only. A
 query that finds fewer than k others in its lists, although there are more, reads all lists.
 
 Distances are Euclidean in double precision on the original vectors. Vectors that are null, zero, hold null or
@@ -15,7 +16,7 @@ candidate, at their smallest distance; a query never meets its own id. Ties go t
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,8 +31,8 @@ LIST_ROWS, MAX_LISTS, SAMPLE_PER_LIST = 256, 4096, 32
 REPLICAS, BORDER = 4, 1.3
 #: Lists up to which the graph's search decides, and the ratio to its nearest centroid up to which a query reads.
 PROBES, REACH = 48, 1.35
-#: Rows of a list that one group holds, about.
-PART_ROWS = 4096
+#: Rows of a list in one slot and vectors compared at once; queries in one block; list members of one slot, about.
+PART_ROWS, BLOCK_ROWS, SLOT_ROWS = 4096, 16_384, 16_384
 DEGREE, BEAM, ROUNDS = 16, 24, 12
 
 
@@ -135,7 +136,7 @@ def usable(table: DataFrame, vector: str = "embedding") -> DataFrame:
 
 
 def _matrix(column: pa.ListArray) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False)
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
@@ -149,40 +150,71 @@ def build_graph(vectors: DataFrame, rows: int) -> CentroidGraph:
         # places far beyond the sample are left out before the order; copies share a place
         near = near.filter(F.col("h") < (1 << 40) * 4 * wanted // rows)
     distinct = near.groupBy("h").agg(F.min("v").alias("v"))
-    drawn = materialize(distinct, "ann-sample").orderBy("h").limit(wanted).toPandas()
-    if drawn.empty:  # all vectors are copies of a few whose places lie beyond
-        drawn = vectors.select("v").limit(1).toPandas()
-    sample = np.array(drawn["v"].tolist(), float)
+    drawn = materialize(distinct, "ann-sample").orderBy("h").limit(wanted).select("v").toArrow()
+    if not drawn.num_rows:  # all vectors are copies of a few whose places lie beyond
+        drawn = vectors.select("v").limit(1).toArrow()
+    sample = _matrix(drawn.column("v").combine_chunks())
     return CentroidGraph.build(balanced_centroids(sample, min(lists, len(sample))))
 
 
-class _Best:
-    """The k nearest candidates of each query that a task has met."""
-
-    def __init__(self, k: int):
-        self.k, self.held = k, {}
-
-    def add(self, query: int, ids: np.ndarray, dist: np.ndarray) -> None:
-        if query in self.held:
-            ids, dist = (np.concatenate(p) for p in zip(self.held[query], (ids, dist)))
-        order = np.lexsort((ids, dist))
-        ids, dist = ids[order], dist[order]
-        first = np.sort(np.unique(ids, return_index=True)[1])[: self.k]
-        self.held[query] = ids[first], dist[first]
-
-
-def scan_group(best: _Best, query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray) -> None:
-    """Offer each query the group's nearest vectors; products choose, exact distances decide."""
-    for a in range(0, len(queries), 256):
-        near = _square(queries[a : a + 256], vectors)
-        near[query_ids[a : a + 256, None] == ids[None, :]] = np.inf
-        k = min(best.k, len(ids) - 1)
-        limit = np.partition(near, k, axis=1)[:, k] if k >= 0 else near[:, 0]
-        for q, (row, edge) in enumerate(zip(near, limit)):
-            scale = 1e-9 * (float((queries[a + q] ** 2).sum()) + 1)
-            close = np.flatnonzero(row <= min(edge + scale, np.finfo(float).max))
-            exact = np.sqrt(((vectors[close] - queries[a + q]) ** 2).sum(axis=1))
-            best.add(int(query_ids[a + q]), ids[close], exact)
+class Block:
+    """Queries that a slot's vectors stream past, and the k nearest others that each has met; an id counts once."""
+
+    def __init__(self, ids: np.ndarray, points: np.ndarray, lists: list[np.ndarray], k: int):
+        self.ids, self.points, self.k = ids, points, k
+        self.norms = (points * points).sum(axis=1)
+        self.dist, self.found = np.full((len(ids), k), np.inf), np.full((len(ids), k), -1, np.int64)
+        owner = np.repeat(np.arange(len(ids)), [len(x) for x in lists])
+        flat = np.concatenate(lists) if lists else np.zeros(0, np.int64)
+        order = np.argsort(flat, kind="stable")
+        names, starts = np.unique(flat[order], return_index=True)
+        self.readers = dict(zip(names.tolist(), np.split(owner[order], starts[1:])))
+
+    def meet(self, number: int, ids: np.ndarray, vectors: np.ndarray) -> None:
+        """Offer the vectors of a list to the queries that read it; products choose, exact distances decide."""
+        rows = self.readers.get(number, np.zeros(0, np.int64))
+        for a in range(0, len(rows), 256):
+            at = rows[a : a + 256]
+            near = _square(self.points[at], vectors)
+            near[self.ids[at, None] == ids[None, :]] = np.inf
+            least = near.min(axis=1)
+            scale = 1e-9 * (self.norms[at] + 1)
+            bound = self.dist[at, -1] ** 2
+            hit = np.isfinite(least) & (least <= bound + scale + 1e-9 * np.where(np.isfinite(bound), bound, 0))
+            if not hit.any():
+                continue
+            at, near, scale = at[hit], near[hit], scale[hit]
+            last = min(self.k, len(ids) - 1)
+            chosen = np.argpartition(near, last, axis=1)[:, : last + 1]
+            edge = np.take_along_axis(near, chosen, 1).max(axis=1)
+            limit = np.minimum(edge + scale, np.finfo(float).max)
+            # more at the edge than were chosen: ties, which ids settle
+            tied = (near <= limit[:, None]).sum(axis=1) > last + 1
+            if not tied.all():
+                plain = ~tied
+                exact = np.sqrt(((vectors[chosen[plain]] - self.points[at[plain], None, :]) ** 2).sum(axis=2))
+                exact[~np.isfinite(np.take_along_axis(near, chosen, 1)[plain])] = np.inf
+                self._keep(at[plain], exact, ids[chosen[plain]])
+            for n in np.flatnonzero(tied):
+                close = np.flatnonzero(near[n] <= limit[n])
+                exact = np.sqrt(((vectors[close] - self.points[at[n]]) ** 2).sum(axis=1))
+                self._keep(at[n : n + 1], exact[None, :], ids[close][None, :])
+
+    def _keep(self, at: np.ndarray, dist: np.ndarray, ids: np.ndarray) -> None:
+        dist, ids = np.concatenate([self.dist[at], dist], axis=1), np.concatenate([self.found[at], ids], axis=1)
+        order = np.lexsort((ids, dist), axis=1)
+        dist, ids = np.take_along_axis(dist, order, 1), np.take_along_axis(ids, order, 1)
+        by_id = np.argsort(ids, axis=1, kind="stable")
+        same = np.take_along_axis(ids, by_id, 1)
+        again = np.zeros(ids.shape, bool)
+        np.put_along_axis(again, by_id[:, 1:], same[:, 1:] == same[:, :-1], 1)
+        dist = np.where(again, np.inf, dist)
+        order = np.argsort(dist, axis=1, kind="stable")[:, : self.k]
+        self.dist[at], self.found[at] = np.take_along_axis(dist, order, 1), np.take_along_axis(ids, order, 1)
+
+    def answers(self) -> pa.RecordBatch:
+        row, place = np.nonzero(np.isfinite(self.dist))
+        return pa.RecordBatch.from_arrays([pa.array(self.ids[row]), pa.array(self.found[row, place]), pa.array(self.dist[row, place])], names=["query_id", "vec_id", "score"])
 
 
 def nearest(table: DataFrame, *, every: int = 100, k: int = 10) -> DataFrame:
@@ -194,77 +226,99 @@ def nearest(table: DataFrame, *, every: int = 100, k: int = 10) -> DataFrame:
     if not rows:
         return spark.createDataFrame([], schema)
     graph = build_graph(vectors, rows)
+    # single precision travels as it came
+    kind = "float" if dict(table.dtypes)["embedding"] == "array<float>" else "double"
+    value = pa.float32() if kind == "float" else pa.float64()
 
-    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def own_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            points = _matrix(batch.column("v"))
-            ids = batch.column("vec_id").to_numpy()
-            for query, lists in ((False, replicas(graph, points)), (True, None)):
-                which = np.flatnonzero(ids % every == 0) if query else np.arange(len(ids))
-                lists = probes(graph, points[which]) if query and len(which) else lists
-                if not len(which):
-                    continue
-                sizes = [len(x) for x in lists]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.concatenate(lists), pa.int64()), pa.array([query] * sum(sizes), pa.bool_()),
-                    *(batch.column(c).take(pa.array(np.repeat(which, sizes))) for c in ("vec_id", "v")),
-                ], names=["list", "query", "vec_id", "v"])
+            column = batch.column("v")
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), column.cast(pa.list_(value)), pa.array(replicas(graph, _matrix(column)), pa.list_(pa.int64()))], names=["vec_id", "v", "lists"])
 
-    posted = materialize(map_batches(vectors, post, "list long, query boolean, vec_id long, v array<double>", rows=2_000), "ann-postings")
-    parts = F.greatest(F.lit(1), F.ceil(F.col("rows") / PART_ROWS)).cast("int")
+    posted = materialize(map_batches(vectors, own_lists, f"vec_id long, v array<{kind}>, lists array<long>", rows=2_000), "ann-postings")
     # a row per list: at most MAX_LISTS
-    sizes = F.broadcast(posted.filter("not query").groupBy("list").agg(F.count("*").alias("rows")))
-    dealt = posted.join(sizes, "list").select("*", parts.alias("parts"))
-    members = dealt.filter("not query").withColumn("part", F.pmod(F.xxhash64("vec_id"), "parts").cast("int"))
+    sizes = {r["list"]: r["rows"] for r in posted.select(F.explode("lists").alias("list")).groupBy("list").agg(F.count("*").alias("rows")).collect()}
+    parts = np.array([max(1, -(-sizes.get(n, 0) // PART_ROWS)) for n in range(len(graph.centroids))])
+    slots = max(1, min(partitions(spark), int(parts.sum()), -(-sum(sizes.values()) // SLOT_ROWS)))
+    asked = vectors.filter(F.col("vec_id") % every == 0).select("vec_id", "v")
+    blocks = max(1, -(-asked.count() // BLOCK_ROWS))
+    part = F.pmod(F.xxhash64("vec_id"), F.element_at(F.lit(parts.tolist()), F.col("list").cast("int") + 1)).cast("long")
+    members = posted.select("vec_id", "v", F.explode("lists").alias("list")).select(
+        F.pmod(F.col("list") + part, F.lit(slots)).alias("slot"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"),
+        "list", "vec_id", "v", F.array().cast("array<long>").alias("lists"),
+    )
+
+    def asking(everything: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        """Each query once for every slot that holds a part of a list it reads, with these lists."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                points = _matrix(batch.column("v"))
+                read = [np.arange(len(parts))] * len(points) if everything else probes(graph, points)
+                slot, which, lists = [], [], []
+                for n, numbers in enumerate(read):
+                    spread = np.minimum(parts[numbers], slots)
+                    own = np.repeat(numbers, spread)
+                    to = (own + np.arange(len(own)) - np.repeat(np.cumsum(spread) - spread, spread)) % slots
+                    order = np.argsort(to, kind="stable")
+                    names, starts = np.unique(to[order], return_index=True)
+                    slot.append(names)
+                    which.append(np.full(len(names), n))
+                    lists += np.split(own[order], starts[1:])
+                which = pa.array(np.concatenate(which))
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.concatenate(slot), pa.int64()), batch.column("vec_id").take(which), batch.column("v").cast(pa.list_(value)).take(which), pa.array(lists, pa.list_(pa.int64())),
+                ], names=["slot", "vec_id", "v", "lists"])
+
+        return run
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = _Best(k)
-        for group in _groups(batches):
-            asks = group.column("query").to_numpy(zero_copy_only=False)
-            ids, points = group.column("vec_id").to_numpy(), _matrix(group.column("v").combine_chunks())
-            if asks.any() and not asks.all():
-                scan_group(best, ids[asks], points[asks], ids[~asks], points[~asks])
-        found = [(q, i, d) for q, (ids, dist) in best.held.items() for i, d in zip(ids.tolist(), dist.tolist()) if np.isfinite(d) and i != q]
-        yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "vec_id", "score"])
-
-    def answers(asking: DataFrame) -> DataFrame:
-        """What the queries (list, query, vec_id, v, parts) find in their lists, each id once."""
-        askers = asking.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        both = members.unionByName(askers).select("list", "part", "query", "vec_id", "v")
-        ordered = both.repartition(partitions(spark), "list", "part").sortWithinPartitions("list", "part", "query")
-        found = map_batches(ordered, scan, "query_id long, vec_id long, score double", rows=4_000)
+        block, last, held = None, None, []
+        for slot, run in _runs(batches):
+            if slot != last:
+                if block is not None:
+                    yield block.answers()
+                block, last, held = None, slot, []
+            number = run.column("list")[0].as_py()
+            if number < 0:
+                held.append(run)
+                continue
+            if block is None and held:
+                queries = pa.Table.from_batches(held).combine_chunks()
+                lists = [x.to_numpy(zero_copy_only=False) for x in (v.values for v in queries.column("lists"))]
+                block = Block(queries.column("vec_id").to_numpy(), _matrix(queries.column("v").combine_chunks()), lists, k)
+                held = []
+            if block is not None:
+                block.meet(number, run.column("vec_id").to_numpy(), _matrix(run.column("v")))
+        if block is not None:
+            yield block.answers()
+
+    def answers(queries: DataFrame, everything: bool) -> DataFrame:
+        """What the queries (vec_id, v) find in the lists they read, each id once."""
+        sent = map_batches(queries, asking(everything), f"slot long, vec_id long, v array<{kind}>, lists array<long>", rows=500)
+        sent = sent.select("slot", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block"), F.lit(-1).cast("long").alias("list"), "vec_id", "v", "lists")
+        both = members.unionByName(sent)
+        ordered = both.repartition(partitions(spark), "slot", "block").sortWithinPartitions("slot", "block", "list")
+        found = map_batches(ordered, scan, "query_id long, vec_id long, score double", rows=PART_ROWS)
         return found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
 
-    once = materialize(answers(dealt.filter("query")), "ann-found")
+    once = materialize(answers(asked, False), "ann-found")
     # a query on a centroid reads one list, which may hold too few others: such queries read all lists
     wanted = min(k, vectors.select("vec_id").distinct().count() - 1)
-    asked = vectors.filter(F.col("vec_id") % every == 0).select("vec_id", "v")
     enough = once.groupBy(F.col("query_id").alias("vec_id")).agg(F.count("*").alias("n")).filter(F.col("n") >= wanted)
     short = materialize(asked.join(enough, "vec_id", "left_anti"), "ann-short")
     if wanted and not short.isEmpty():
-        everywhere = sizes.select("list", parts.alias("parts")).withColumn("query", F.lit(True))
-        again = short.withColumn("list", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(len(graph.centroids) - 1).cast("long")))).join(everywhere, "list")
         rest = once.join(short.select(F.col("vec_id").alias("query_id")).distinct(), "query_id", "left_anti")
-        once = rest.unionByName(answers(again.select("list", "query", "vec_id", "v", "parts")))
+        once = rest.unionByName(answers(short, True))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return once.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Tables of equal (list, part); a part has about PART_ROWS vectors and the queries of its list."""
-    held: list[pa.RecordBatch] = []
-    last = None
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int], pa.RecordBatch]]:
+    """((slot, block), rows of one list) in the order of the batches."""
     for batch in batches:
-        keys = np.column_stack([batch.column("list").to_numpy(), batch.column("part").to_numpy()])
+        keys = np.column_stack([batch.column(c).to_numpy() for c in ("slot", "block", "list")])
         cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
         for a, b in zip(cuts[:-1], cuts[1:]):
-            if a == b:
-                continue
-            key = tuple(keys[a])
-            if held and key != last:
-                yield pa.Table.from_batches(held)
-                held = []
-            last = key
-            held.append(batch.slice(a, b - a))
-    if held:
-        yield pa.Table.from_batches(held)
+            if a < b:
+                yield (int(keys[a, 0]), int(keys[a, 1])), batch.slice(a, b - a)
