@@ -151,7 +151,7 @@ def catalog_coverage(spark: SparkSession, sf: str) -> DataFrame:
 def coverage_of_raw(spark: SparkSession, sf: str) -> DataFrame:
     # the clean table is still empty, so the raw rows that the rules accept are audited
     raw = messy.raw_listings(spark, sf)
-    accepted = lambda rows: decide_rows(rows, brand_map(messy.brand_names(spark, sf)), messy.RULES).where(F.col("rejection_reason").isNull())
+    accepted = lambda rows: decide_rows(rows, brand_map(messy.brand_names(spark, sf)), messy.RULES, ["brand", "series", "model"]).where(F.col("rejection_reason").isNull())
     return cov.coverage(cov.audit_source(raw.limit(0), raw, accepted), canonical(spark, sf))
 
 

@@ -102,3 +102,13 @@ def test_training_text(spark):
 def test_page_place(spark):
     got = column(spark, ["Ankara / Çankaya", "Ankara  Kızılay", "Ankara Çankaya Merkez", "izmir", None], lambda c: tx.split_page_location(c)[0], lambda c: tx.split_page_location(c)[1])
     assert got == [("Ankara", "Çankaya"), ("Ankara", "Kızılay"), ("Ankara", "Çankaya Merkez"), ("izmir", None), (None, None)]
+
+
+def test_plain_text_is_not_rewritten_differently(spark):
+    """The short way for ASCII text with lone spaces gives what the whole rule gives."""
+    texts = ["a b", " a  b ", "a\tb", "\x1fa", "a b", " null ", "NaN", "--", "a – b", "Kull", "", "  ", None, "x" * 50 + "  ", "İ", "a​b", "Tofas", "a\r\nb c"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    whole = tx._squeeze_all(F.translate(F.col("t"), " –—­​﻿", " --"))
+    kept = F.when((whole == "") | F.lower(whole).isin(*tx.vocab.NULL_WORDS), F.lit(None)).otherwise(whole)
+    rows = df.select("t", tx.squeeze(F.col("t")).alias("a"), tx._squeeze_all(F.col("t")).alias("b"), tx.clean_text(F.col("t")).alias("c"), F.coalesce(tx.lookup(kept, tx.vocab.TEXT_FIXES), kept).alias("d")).collect()
+    assert all(r.a == r.b and r.c == r.d for r in rows) and len(rows) == len(texts)
