@@ -180,3 +180,25 @@ def test_recheck_queue_order(spark):
     updated = status.apply_status(df.withColumns({"removed_at": F.lit(None).cast("timestamp"), "status_reason": F.lit(None).cast("string")}),
                                   status.fold_events(spark.createDataFrame([(1, "removed", t(9), "gone")], "id int, status string, checked_at timestamp, status_reason string")))
     assert {r.id: r.is_active for r in updated.collect()} == {1: 0, 2: None, 3: 1, 4: 1, 5: 0}
+
+
+def test_plain_pages_are_read_as_by_the_parser():
+    """The walk over plainly written pages gives the parser's rows, and leaves every other page to the parser."""
+
+    def parsed(html):
+        parser = pg._ResultRows()
+        parser.feed(html)
+        parser.close()
+        parser._end_row()
+        return parser.rows
+
+    for html in (ROW, ROW.replace("<td", "<TD"), ROW.replace("</td>", "</td >"), ROW[:-5], ROW + "<tr class='searchResultsItem' data-id><td>&#65; x", ROW.replace('src="i.jpg"', "src"), ROW.replace("<br>", "<br/><span />")):
+        walker = pg._ResultRows()
+        assert pg._walk_plain(walker, html)
+        walker._end_row()
+        assert walker.rows == parsed(html) and walker.rows
+    for html in (ROW + "<!-- <td> -->", ROW.replace('"9"', "9"), ROW.replace("<table>", "") + "<script>a</script>", ROW.replace("1.250", "1 < 2"), ROW.replace('"/x"', '"/x?a&amp;b"'), ROW.replace("</a>", "</a x>")):
+        walker = pg._ResultRows()
+        assert not pg._walk_plain(walker, html) and walker.rows == []
+        walker._end_row()
+        assert [c[2] for c in pg._cells_of_page("k", html, "")] == [r["id"] for r in parsed(html)]
