@@ -146,3 +146,24 @@ def test_training_frame_drops_the_impossible_row(spark):
     assert condition.training_frame(raw).columns == [*condition.FEATURES, condition.TARGET]
     with pytest.raises(ValueError, match="fiyat"):
         condition.core_rows(raw.drop("fiyat"))
+
+
+def test_valuation_of_places_and_missing_values(spark):
+    """Every kind of request against a plain count: rows without year or mileage are in no window, contexts are numbers."""
+    rows = [(n, ("A", "b")[n % 2], ("x", None)[n % 3 == 0], ("m", "k")[n % 5 == 0], None if n % 7 == 0 else 2000 + n % 3, None if n % 11 == 0 else 13_000 * (n % 9), 1000 + n, n % 2) for n in range(120)]
+    rows = rows + rows[:30]
+    frame = spark.createDataFrame(rows, "id long, brand string, series string, model string, year int, mileage_km int, price long, is_clean_claimed int")
+    asked = [("1", "a", None, None, None, None, False), ("2", "B ", "X", None, 2001, 40_000, False), ("3", None, None, None, None, None, True), ("4", None, None, None, 2002, None, False),
+             ("5", "a", None, "m", None, 52_000, True), ("6", "a", None, None, None, None, False), ("7", None, None, None, None, 65_000, False)]
+    requests = conform(spark.createDataFrame([tuple(dict(zip(("request_id", "brand", "series", "model", "year", "mileage_km", "clean_only"), a)).get(f.name) for f in REQUEST) for a in asked], REQUEST), REQUEST)
+    run = valuation.prepare(requests, frame)
+    got = {r.request_id: (r.matched_listing_count, r.selected_listing_count) for r in valuation.value_requests(run).collect()}
+    want = {}
+    for name, brand, series, model, year, km, clean_only in asked:
+        same = lambda asked_for, value: not (asked_for or "").strip() or (value or "").lower() == asked_for.strip().lower()
+        hits = [r for r in rows if same(brand, r[1]) and same(series, r[2]) and same(model, r[3]) and (not clean_only or r[7] == 1)]
+        wide = max(int((km or 0) * 0.3), 25_000)
+        inside = [r for r in hits if (year is None or r[4] == year) and (km is None or (r[5] is not None and max(0, km - wide) <= r[5] <= km + wide))]
+        want[name] = (len(hits), len(inside))
+    assert got == want and dict(run.pairs.dtypes)["context_id"] == "bigint"
+    assert run.contexts.count() == 6
