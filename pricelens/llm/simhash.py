@@ -53,7 +53,11 @@ def shingle_hashes(text: str, words: int, seed: int = 42) -> list[int]:
 
 def fingerprint(text: str, words: int = 3, seed: int = 42) -> int:
     """Majority bits of the shingle hashes; 0 without words."""
-    hashes = shingle_hashes(text, words, seed)
+    return majority(shingle_hashes(text, words, seed))
+
+
+def majority(hashes: list[int]) -> int:
+    """The bits that are set in over half of the hashes; 0 without any."""
     if not hashes:
         return 0
     bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
