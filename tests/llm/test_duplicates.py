@@ -232,3 +232,38 @@ def test_neighbours_of_copies(spark, monkeypatch):
     rows = spark.range(3000).selectExpr("id as vec_id", "array(1.0D, 2.0D + id div 2999) as embedding")
     got = ann.nearest(rows).collect()
     assert len(got) == 300 and all(r.score == 0.0 for r in got) and {r.vec_id for r in got if r.query_id == 0} == set(range(1, 11))
+
+
+def test_neighbours_over_slots_and_blocks(spark, monkeypatch):
+    """Many slots, blocks and parts of lists give what one of each gives, copies and ties included."""
+    rng = np.random.default_rng(5)
+    vectors = [(i, [float(x) for x in rng.integers(0, 4, 6)]) for i in range(900)] + [(5000 + i, [1.0] * 6) for i in range(300)]
+    frame = spark.createDataFrame([(i, v) for i, v in vectors if any(v)], "vec_id long, embedding array<float>")
+    once = rows_of(ann.nearest(frame))
+    for name, value in (("PART_ROWS", 32), ("BLOCK_ROWS", 3), ("SLOT_ROWS", 40)):
+        monkeypatch.setattr(ann, name, value)
+    assert rows_of(ann.nearest(frame)) == once and len(once) == 120
+
+
+def test_block_holds_the_nearest():
+    rng = np.random.default_rng(6)
+    points, vectors, ids = rng.integers(0, 3, (40, 5)).astype(float), rng.integers(0, 3, (600, 5)).astype(float), rng.permutation(600)
+    block = ann.Block(np.arange(40), points, [np.array([1, 3])] * 39 + [np.array([3])], 10)
+    for number, a in ((1, 0), (1, 100), (2, 200), (3, 300), (3, 450)):
+        block.meet(number, ids[a : a + 100], vectors[a : a + 100])
+    for q in range(40):
+        read = [k for k in range(600) if (k < 200 and q < 39) or 300 <= k < 400 or 450 <= k < 550]
+        far = sorted((float(np.sqrt(((vectors[k] - points[q]) ** 2).sum())), int(ids[k])) for k in read if ids[k] != q)[:10]
+        assert list(zip(block.dist[q].tolist(), block.found[q].tolist())) == far
+
+
+def test_near_copies_start_from_simhash(spark):
+    """Operator 7's components give the first pairs: one word of many differs, the SimHash by two bits at most."""
+    words = [f"w{i}" for i in range(4000)]
+    texts = [" ".join(words), " ".join([*words[:-1], "other"]), " ".join(f"z{i}" for i in range(300))]
+    bits = [simhash.fingerprint(t, 5) for t in texts]
+    assert (bits[0] ^ bits[1]).bit_count() <= simhash.RADIUS and near_copies.shingles(texts[0]).tolist() != near_copies.shingles(texts[1]).tolist()
+    prints = near_copies.prints_of(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 5)
+    pairs = near_copies.alike_by_simhash(prints.select("fp", "sim")).collect()
+    own = {r.doc_id: r.fp for r in prints.collect()}
+    assert [{bytes(p.member), bytes(p.centre)} for p in pairs] == [{bytes(own[0]), bytes(own[1])}]

@@ -167,3 +167,15 @@ def test_valuation_of_places_and_missing_values(spark):
         want[name] = (len(hits), len(inside))
     assert got == want and dict(run.pairs.dtypes)["context_id"] == "bigint"
     assert run.contexts.count() == 6
+
+
+def test_training_partitions_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(condition, "TASK_ROWS", 100)
+    rows = condition.in_tasks(spark.range(1000).coalesce(1))
+    assert rows.rdd.getNumPartitions() == 10 and rows.count() == 1000
+    assert condition.in_tasks(spark.range(90).coalesce(1)).rdd.getNumPartitions() == 1
+
+
+def test_scored_listings_are_written_once_for_dates(spark, clean):
+    scored = valuation.score_listings(clean, year=2020, freshness=True, run_date=RUN_DATE)
+    assert any("scored-listings" in f for f in scored.inputFiles()) and scored.count() == 2
