@@ -100,6 +100,24 @@ def test_compaction_keeps_every_deciding_row(spark):
         assert fold(again) == fold(whole)
 
 
+def test_compaction_stores_only_the_newest_row_whole(spark):
+    schema = LISTING + ", title string, merge_batch bigint"
+    alone = [("s", "1", 5, "a", 1, 7, 70, "only", 2)]
+    assert list(map(tuple, deciding_rows(spark.createDataFrame(alone, schema), ["seq"]).collect())) == alone
+    # the earliest arrival and an older row with a paint status are left with what they decide
+    late = [("s", "2", 1, None, 1, 3, 30, "first", 0), ("s", "2", 2, "b", 0, 4, 40, "second", 1), ("s", "2", 3, None, None, 9, 90, "third", 2)]
+    whole = spark.createDataFrame(late, schema)
+    kept = deciding_rows(whole, ["seq"])
+    assert {r.seq: tuple(r)[2:] for r in kept.collect()} == {
+        9: (3, None, 1, 9, None, "third", 2), 4: (None, "b", None, 4, None, None, 1), 3: (None, None, None, 3, 30, None, 0),
+    }
+    fold = lambda df: list(map(tuple, fold_by_key(df, ["seq"], first=("merge_batch",)).collect()))
+    assert fold(kept) == fold(whole) == [("s", "2", 3, "b", 1, 9, 30, "third", 2)]
+    # equal orders and nulls in them: an exact tie is settled as in the fold
+    tied = spark.createDataFrame([("s", "3", p, s, f, o, i, t, b) for p, s, f, o, i, t, b in [(9, "x", 0, 1, 1, "a", 0), (8, "z", 1, 1, 2, "b", 0), (9, None, 0, 1, 0, "a", 1), (1, "y", None, None, 5, None, 0)]], schema)
+    assert fold(deciding_rows(tied, ["seq"])) == fold(tied) == fold(deciding_rows(deciding_rows(tied, ["seq"]), ["seq"]))
+
+
 def test_stream_equals_batch(spark, tmp_path):
     folder = tmp_path / "in"
     batches = [[("s", str(i % 7), 10 * b + i, None, 0, b, 100 * b + i) for i in range(9)] for b in range(3)]
