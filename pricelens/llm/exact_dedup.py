@@ -135,9 +135,9 @@ def _joined(held: list[pa.RecordBatch], key: str, names: tuple[str, ...]) -> tup
     return whole.column(key)[0].as_py(), {n: whole.column(n).to_numpy(zero_copy_only=False) if pa.types.is_integer(whole.schema.field(n).type) and not whole.column(n).null_count else np.array(whole.column(n).to_pylist(), object) for n in names}
 
 
-def sieve_of(suspects: DataFrame) -> DataFrame:
-    """SIEVE_BITS bits as rows (bucket, words): bit fp mod SIEVE_BITS is set for every suspect. Never above 8 MB."""
-    slot = F.pmod("fp", F.lit(SIEVE_BITS))
+def sieve_of(suspects: DataFrame, size: int = SIEVE_BITS) -> DataFrame:
+    """``size`` bits as rows (bucket, words): bit fp mod size is set for every suspect. Never above 8 MB by default."""
+    slot = F.pmod("fp", F.lit(size))
     words = suspects.groupBy(F.shiftright(slot, 15).alias("bucket"), F.shiftright(slot, 6).bitwiseAND(511).alias("word")).agg(
         F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(fp, 64L) as int))")).alias("bits")
     )

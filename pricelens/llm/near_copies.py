@@ -1,6 +1,6 @@
 """Near copies of the pipeline: texts whose sets of five-word shingles have a Jaccard similarity of at least 0.8.
 
-The similarity join is exact. All shingles stand in one order, those common in a sample last; two sets that are
+The similarity join is exact. All shingles stand in one order, the more common ones last, as a sketch counts them over all texts; two sets that are
 similar enough share a shingle among the first fifth of either, so these prefixes are the bucket keys. Sets of n
 and m shingles that have c = ceil(4 (n + m) / 9) in common also share the first L of these within both prefixes, where L is
 the prefix less the n - c (or m - c) shingles that the other may lack. Pairs that meet in fewer than L buckets are
@@ -25,16 +25,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pricelens.llm.common import discard, first_by_hash, map_batches, materialize, partitions, text_list
+from pricelens.llm.common import discard, map_batches, materialize, partitions, text_list
 from pricelens.llm.components import connected_components
 from pricelens.llm.exact_dedup import SIEVE_BITS, sieve_of
 from pricelens.llm import simhash
-from pricelens.llm.simhash import TILE, keep_first, name_components, shingle_hashes, text_hash
+from pricelens.llm.simhash import TILE, keep_first, name_components, shingle_hashes
 
 #: Words of a shingle; the least similarity as a fraction.
 WORDS, ALIKE, OF = 5, 4, 5
-#: Documents whose shingles tell which are common, and how many of these are known.
-SAMPLE, COMMON = 4_000, 200_000
+#: Counters of the sketch, one byte each in the end, and those that travel together.
+SLOTS, BLOCK = 1 << 22, 1 << 12
+#: Bits of a bitmap of texts or sets, 2 MB; that of shingles has SIEVE_BITS. The driver gathers each of them.
+FEW_BITS = 1 << 24
 #: Rounds in which every set meets one centre, before all remaining pairs are formed.
 STARS = 2
 
@@ -56,31 +58,52 @@ def text_key() -> Column:
     return F.concat(*[F.lpad(F.hex(h), 16, "0") for h in (F.xxhash64(text), F.xxhash64(F.lit(5), text))]).alias("text_hash")
 
 
-def common_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes, sorted, and counts of the shingles that three or more sampled documents hold."""
+def slots(found: np.ndarray) -> np.ndarray:
+    """Each shingle's counter."""
+    return (found.view(np.uint64) & np.uint64(SLOTS - 1)).astype(np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def sketch(docs: DataFrame, words: int) -> np.ndarray:
+    """How common shingles are: SLOTS counters over all rows, in eighths of a power of two. Counters are shared by chance, which costs work, no pair.
+
+    A fixed sample would know only those in a fixed part of the texts: the buckets of the others would grow with the input.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, np.uint16)  # more than 65535 in one task count as so many
+        for batch in batches:
+            at, n = np.unique(slots(np.concatenate([shingles(t, words) for t in text_list(batch)])), return_counts=True)
+            total[at] = np.minimum(total[at] + n, 65535)
+        for block in np.flatnonzero(total.reshape(-1, BLOCK).any(axis=1)).tolist():
+            part = total[block * BLOCK : (block + 1) * BLOCK]
+            at = np.flatnonzero(part)
+            yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "at": [at.astype(np.uint16).tobytes()], "n": [part[at].tobytes()]})
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[int, np.ndarray] = {}
         for batch in batches:
-            for text in text_list(batch):
-                yield pa.RecordBatch.from_arrays([pa.array(shingles(text, words))], names=["h"])
+            for block, at, n in zip(*[batch.column(c).to_pylist() for c in ("block", "at", "n")], strict=True):
+                totals.setdefault(block, np.zeros(BLOCK, np.int64))[np.frombuffer(at, np.uint16)] += np.frombuffer(n, np.uint16)
+        for block, total in totals.items():
+            level = np.where(total > 0, np.rint(8 * np.log2(np.maximum(total, 1))) + 1, 0).astype(np.uint8)
+            yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "level": [level.tobytes()]})
 
-    sample = first_by_hash(docs.select("text", text_hash()), F.xxhash64("text_hash"), SAMPLE, docs.count()).select("text")
-    held = map_batches(sample.repartition(8), run, "h long", rows=256).groupBy("h").agg(F.count("*").alias("n"))
-    found = held.filter("n > 2").orderBy(F.desc("n"), "h").limit(COMMON).toPandas().sort_values("h")
-    return found["h"].to_numpy(np.int64), found["n"].to_numpy(np.int64)
+    parts = map_batches(docs.select("text"), count, "block int, at binary, n binary", rows=512)
+    levels = np.zeros(SLOTS, np.uint8)
+    for block, level in map_batches(parts.repartition(partitions(docs.sparkSession), "block"), add, "block int, level binary").collect():
+        levels[block * BLOCK : (block + 1) * BLOCK] = np.frombuffer(level, np.uint8)
+    return levels
 
 
-def prefix(found: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
+def prefix(found: np.ndarray, levels: np.ndarray) -> np.ndarray:
     """The first shingles in the common order, of which two similar sets share one."""
-    at = np.minimum(np.searchsorted(common, found), max(len(common) - 1, 0))
-    weight = np.where(common[at] == found, counts[at], 0) if len(common) else np.zeros(len(found), np.int64)
     keep = len(found) - -(-ALIKE * len(found) // OF) + 1 if len(found) else 0
-    return found[np.lexsort((found, weight))[:keep]]
+    return found[np.lexsort((found, levels[slots(found)]))[:keep]]
 
 
 def prints_of(docs: DataFrame, words: int) -> DataFrame:
     """doc_id, text_hash, fp (hash of the shingle set), sim (SimHash), n (the set's size) and prefix of every row."""
-    common, counts = common_shingles(docs, words)
+    levels = sketch(docs, words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -88,16 +111,16 @@ def prints_of(docs: DataFrame, words: int) -> DataFrame:
             sets = [np.unique(np.array(h, np.uint64).view(np.int64)) for h in hashes]
             yield pa.RecordBatch.from_pydict({
                 "doc_id": batch.column("doc_id"), "text_hash": batch.column("text_hash"), "fp": pa.array(list(map(_print, sets)), pa.binary()),
-                "sim": pa.array(np.array([simhash.majority(h) for h in hashes], np.uint64).view(np.int64)), "n": pa.array(list(map(len, sets)), pa.int32()), "prefix": pa.array([prefix(s, common, counts) for s in sets], pa.list_(pa.int64())),
+                "sim": pa.array(np.array([simhash.majority(h) for h in hashes], np.uint64).view(np.int64)), "n": pa.array(list(map(len, sets)), pa.int32()), "prefix": pa.array([prefix(s, levels) for s in sets], pa.list_(pa.int64())),
             })
 
     return map_batches(docs.select(F.col("doc_id").cast("long"), "text", text_key()), run, "doc_id long, text_hash string, fp binary, sim long, n int, prefix array<long>", rows=512)
 
 
-def sieved(rows: DataFrame, value: str, wanted: DataFrame) -> DataFrame:
-    """``rows`` with ``maybe``: false only where column ``value`` is not one of ``wanted``'s, by a bitmap of fixed size. It only saves shuffling."""
-    slot = F.pmod(F.xxhash64(value), F.lit(SIEVE_BITS))
-    bits = sieve_of(wanted.select(F.xxhash64(value).alias("fp"))).select(F.col("bucket").alias("sieve_bucket"), F.col("words").alias("sieve_words"))
+def sieved(rows: DataFrame, value: str, wanted: DataFrame, size: int = FEW_BITS) -> DataFrame:
+    """``rows`` with ``maybe``: false only where column ``value`` is not one of ``wanted``'s, by a bitmap of ``size`` bits. It only saves shuffling."""
+    slot = F.pmod(F.xxhash64(value), F.lit(size))
+    bits = sieve_of(wanted.select(F.xxhash64(value).alias("fp")), size).select(F.col("bucket").alias("sieve_bucket"), F.col("words").alias("sieve_words"))
     found = rows.withColumn("sieve_bucket", F.shiftright(slot, 15)).join(F.broadcast(bits), "sieve_bucket", "left")
     word = F.coalesce(F.col("sieve_words")[F.shiftright(slot, 6).bitwiseAND(511).cast("int")], F.lit(0).cast("long"))
     bit = F.call_function("shiftrightunsigned", word, F.pmod(F.xxhash64(value), F.lit(64)).cast("int")).bitwiseAND(F.lit(1).cast("long"))
@@ -166,7 +189,7 @@ def buckets_of(prints: DataFrame, nodes: DataFrame) -> DataFrame:
     again = marked.filter("maybe").drop("maybe")
     each = marked.filter("not maybe").drop("maybe").unionByName(again.join(doubled, "fp", "left_anti")).unionByName(again.join(doubled, "fp", "left_semi").dropDuplicates(["fp"]))
     shared = materialize(each.select(F.explode("prefix").alias("h")).groupBy("h").agg(F.count("*").alias("rows")).filter("rows > 1").select("h"), "near-shared")
-    keyed = sieved(each.select("fp", "n", F.explode("prefix").alias("h")), "h", shared).filter("maybe")
+    keyed = sieved(each.select("fp", "n", F.explode("prefix").alias("h")), "h", shared, SIEVE_BITS).filter("maybe")
     return materialize(keyed.join(shared, "h", "left_semi").select("h", "fp", "n", F.col("fp").alias("label")), "near-buckets")
 
 

@@ -267,3 +267,12 @@ def test_near_copies_start_from_simhash(spark):
     pairs = near_copies.alike_by_simhash(prints.select("fp", "sim")).collect()
     own = {r.doc_id: r.fp for r in prints.collect()}
     assert [{bytes(p.member), bytes(p.centre)} for p in pairs] == [{bytes(own[0]), bytes(own[1])}]
+
+
+def test_common_shingles_stand_last_however_few_of_the_texts_hold_them(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "SAMPLE", 5, raising=False)  # what a fixed sample is to many texts
+    phrase = " ".join(f"common{i}" for i in range(12))
+    texts = [" ".join(f"own{d}x{i}" for i in range(60)) + (f" {phrase}" if d % 16 == 0 else "") for d in range(200)]
+    prints = near_copies.prints_of(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 5)
+    held = set(near_copies.shingles(phrase).tolist())
+    assert not [r.doc_id for r in prints.collect() if held & set(r.prefix)]
