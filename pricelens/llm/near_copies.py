@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pricelens.llm.common import discard, map_batches, materialize, partitions, text_list
+from pricelens.llm.common import discard, give_back, map_batches, materialize, partitions, text_list
 from pricelens.llm.components import connected_components
 from pricelens.llm.exact_dedup import SIEVE_BITS, sieve_of
 from pricelens.llm import simhash
@@ -104,6 +104,7 @@ def prefix(found: np.ndarray, levels: np.ndarray) -> np.ndarray:
 def prints_of(docs: DataFrame, words: int) -> DataFrame:
     """doc_id, text_hash, fp (hash of the shingle set), sim (SimHash), n (the set's size) and prefix of every row."""
     levels = sketch(docs, words)
+    give_back()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -249,6 +250,7 @@ def undecided(bucket: DataFrame, edges: DataFrame) -> DataFrame:
 
 def drop_similar(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """The rows of ``docs``, all columns, with the smallest doc_id of their component; rows without an id come after those with one."""
+    give_back()  # what training has left in the driver
     prints = materialize(prints_of(docs, words), "near-prints")
     nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"), F.min("sim").alias("sim")), "near-nodes")
     found = name_components(nodes.select("fp", "least"), links(docs, prints, nodes, words))
