@@ -3,15 +3,17 @@
 The similarity join is exact. All shingles stand in one order, the more common ones last, as a sketch counts them over all texts; two sets that are
 similar enough share a shingle among the first fifth of either, so these prefixes are the bucket keys. Sets of n
 and m shingles that have c = ceil(4 (n + m) / 9) in common also share the first L of these within both prefixes, where L is
-the prefix less the n - c (or m - c) shingles that the other may lack. Pairs that meet in fewer than L buckets are
-out; the shingle sets of both texts decide on the rest. The order only saves work: any order finds the same pairs.
+the prefix less the n - c (or m - c) shingles that the other may lack. The shingle sets of both texts decide. The order only saves work: any order finds the same pairs.
 
 First, operator 7 links the SimHashes of the five-word shingles, its buckets, bit planes and forests as they are: of each
 of its components all sets are held against one. Two of 64 bits are about Jaccard 0.98, so more follows.
 
-Then, in two rounds, every set is held against the one bucket centre that it meets most often, if in half of L buckets,
-which joins groups of many copies at linear cost; buckets whose members are by then in one component are done. At last all
-pairs follow that are not yet in one component. Sets are compared in groups: a set travels once for each partner it is
+Then every set is held against the one bucket centre that it meets most often, if in half of L buckets, which joins
+groups of many copies at linear cost, and in three more rounds against one of the centres, drawn anew in each bucket, that it may be
+similar to; buckets whose members are by then in one component are done. At last all pairs follow that are not yet in
+one component. Their sets share a shingle among the first n - c + 1 and m - c + 1, and their maps, the parity of the shingles that fall on
+each of MAP_BITS bits, differ in n + m - 2 c bits at most: the join itself leaves out all others. Only sets of more than LONG shingles, whose
+maps are full, are counted over L buckets instead. Sets are compared in groups: a set travels once for each partner it is
 held against as a member, a centre once for each tile of its members. Nothing is capped. A bucket of any size is dealt into tiles. Texts
 without words form one group; a text of fewer than five words is one shingle. Equal sets are one node; sets and
 texts are told apart by 128 bits.
@@ -20,6 +22,8 @@ texts are told apart by 128 bits.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +41,13 @@ WORDS, ALIKE, OF = 5, 4, 5
 SLOTS, BLOCK = 1 << 22, 1 << 12
 #: Bits of a bitmap of texts or sets, 2 MB; that of shingles has SIEVE_BITS. The driver gathers each of them.
 FEW_BITS = 1 << 24
-#: Rounds in which every set meets one centre, before all remaining pairs are formed.
-STARS = 2
+#: Rounds in which every set meets one centre, before all remaining pairs are formed: the bucket centre it meets most often, then any likely one.
+STARS, DRAWS = 1, 3
+#: Bits of a set's map, in columns of 64. Sets of more shingles than LONG fill it: their pairs are counted in the whole prefixes too.
+MAP_BITS, LONG = 1024, 2048
+MAP = [f"map{k}" for k in range(MAP_BITS // 64)]
+#: Members of a centre that one task holds against it, about.
+HELD = 64
 
 
 def shingles(text: str, words: int = WORDS) -> np.ndarray:
@@ -101,8 +110,14 @@ def prefix(found: np.ndarray, levels: np.ndarray) -> np.ndarray:
     return found[np.lexsort((found, levels[slots(found)]))[:keep]]
 
 
+def map_of(found: np.ndarray) -> np.ndarray:
+    """The set as MAP_BITS bits, in words: whether an odd number of its shingles falls on the bit. Maps of two sets differ in no more bits than the sets in shingles."""
+    odd = np.bincount((found.view(np.uint64) >> np.uint64(32)).astype(np.int64) % MAP_BITS, minlength=MAP_BITS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def prints_of(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, text_hash, fp (hash of the shingle set), sim (SimHash), n (the set's size) and prefix of every row."""
+    """doc_id, text_hash, fp (hash of the shingle set), sim (SimHash), n (the set's size), prefix and MAP of every row."""
     levels = sketch(docs, words)
     give_back()
 
@@ -110,12 +125,14 @@ def prints_of(docs: DataFrame, words: int) -> DataFrame:
         for batch in batches:
             hashes = [shingle_hashes(t, words) for t in text_list(batch)]
             sets = [np.unique(np.array(h, np.uint64).view(np.int64)) for h in hashes]
+            maps = np.array([map_of(s) for s in sets], np.int64).reshape(-1, len(MAP))
             yield pa.RecordBatch.from_pydict({
                 "doc_id": batch.column("doc_id"), "text_hash": batch.column("text_hash"), "fp": pa.array(list(map(_print, sets)), pa.binary()),
                 "sim": pa.array(np.array([simhash.majority(h) for h in hashes], np.uint64).view(np.int64)), "n": pa.array(list(map(len, sets)), pa.int32()), "prefix": pa.array([prefix(s, levels) for s in sets], pa.list_(pa.int64())),
+                **{name: pa.array(np.ascontiguousarray(maps[:, k])) for k, name in enumerate(MAP)},
             })
 
-    return map_batches(docs.select(F.col("doc_id").cast("long"), "text", text_key()), run, "doc_id long, text_hash string, fp binary, sim long, n int, prefix array<long>", rows=512)
+    return map_batches(docs.select(F.col("doc_id").cast("long"), "text", text_key()), run, "doc_id long, text_hash string, fp binary, sim long, n int, prefix array<long>, " + ", ".join(f"{name} long" for name in MAP), rows=512)
 
 
 def sieved(rows: DataFrame, value: str, wanted: DataFrame, size: int = FEW_BITS) -> DataFrame:
@@ -128,11 +145,18 @@ def sieved(rows: DataFrame, value: str, wanted: DataFrame, size: int = FEW_BITS)
     return found.select(*rows.columns, (bit == 1).alias("maybe"))
 
 
+def _up(a: Column, b: int) -> Column:
+    return F.floor((a + (b - 1)) / F.lit(b))
+
+
+def _common(n: Column, m: Column) -> Column:
+    """Shingles that similar sets of n and m have in common at least."""
+    return _up(ALIKE * (n + m), ALIKE + OF)
+
+
 def _least_met(n: Column, m: Column) -> Column:
     """Buckets in which similar sets of n and m shingles meet at least; null where sizes rule them out."""
-    up = lambda a, b: F.floor((a + (b - 1)) / F.lit(b))
-    common = up(ALIKE * (n + m), ALIKE + OF)
-    spare = lambda k: common - up(ALIKE * k, OF) + 1  # noqa: E731  the prefix, k - ceil(0.8 k) + 1, less k - common
+    spare = lambda k: _common(n, m) - _up(ALIKE * k, OF) + 1  # noqa: E731  the prefix, k - ceil(0.8 k) + 1, less k - common
     return F.when(OF * F.least(n, m) >= ALIKE * F.greatest(n, m), F.greatest(F.least(spare(n), spare(m)), F.lit(1)))
 
 
@@ -156,9 +180,9 @@ def sets_of(wanted: DataFrame, prints: DataFrame, docs: DataFrame, words: int) -
 def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of the pairs (member, centre) whose sets are similar enough, as (a, b).
 
-    A group is a centre and up to about TILE of its members, the centre first; a task holds one centre's set.
+    A group is a centre and up to about HELD of its members, the centre first; a task holds one centre's set.
     """
-    tiles = pairs.groupBy("centre").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
+    tiles = pairs.groupBy("centre").agg(F.ceil(F.count("*") / HELD).cast("int").alias("tiles"))
     dealt = pairs.join(tiles, "centre").withColumn("tile", F.pmod(F.xxhash64("member"), "tiles").cast("int"))
     members = dealt.join(sets.withColumnRenamed("fp", "member"), "member").select("centre", "tile", F.lit(1).alias("place"), "member", "held")
     centres = tiles.join(sets.withColumnRenamed("fp", "centre"), "centre").select("centre", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), F.lit(0).alias("place"), F.col("centre").alias("member"), "held")
@@ -184,14 +208,14 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def buckets_of(prints: DataFrame, nodes: DataFrame) -> DataFrame:
-    """h, fp, n, label (at first the print itself): the prefixes of different sets that share a shingle."""
+    """h, fp, n, at (the shingle's place in the common order of its set), label (at first the print itself): the prefixes of different sets that share a shingle."""
     doubled = nodes.filter("rows > 1").select("fp")
     marked = sieved(prints.select("fp", "n", "prefix"), "fp", doubled)
     again = marked.filter("maybe").drop("maybe")
     each = marked.filter("not maybe").drop("maybe").unionByName(again.join(doubled, "fp", "left_anti")).unionByName(again.join(doubled, "fp", "left_semi").dropDuplicates(["fp"]))
     shared = materialize(each.select(F.explode("prefix").alias("h")).groupBy("h").agg(F.count("*").alias("rows")).filter("rows > 1").select("h"), "near-shared")
-    keyed = sieved(each.select("fp", "n", F.explode("prefix").alias("h")), "h", shared, SIEVE_BITS).filter("maybe")
-    return materialize(keyed.join(shared, "h", "left_semi").select("h", "fp", "n", F.col("fp").alias("label")), "near-buckets")
+    keyed = sieved(each.select("fp", "n", F.posexplode("prefix").alias("at", "h")), "h", shared, SIEVE_BITS).filter("maybe")
+    return materialize(keyed.join(shared, "h", "left_semi").select("h", "fp", "n", "at", F.col("fp").alias("label")), "near-buckets")
 
 
 def alike_by_simhash(nodes: DataFrame) -> DataFrame:
@@ -217,31 +241,77 @@ def links(docs: DataFrame, prints: DataFrame, nodes: DataFrame, words: int) -> D
     if not first.isEmpty():
         edges = verified(first)
         bucket = undecided(bucket, edges)
-    times, least = F.count("*"), _least_met(F.col("x.n"), F.col("y.n"))
-    for star in range(STARS):
-        turn = F.min(F.struct(F.xxhash64("fp", F.lit(star)).alias("turn"), "fp", "n", "label")).alias("c")
-        centre = bucket.groupBy("h").agg(turn).select("h", "c.*")
-        met = bucket.alias("x").join(centre.alias("y"), "h").filter(F.col("x.label") != F.col("y.label"))
-        often = met.groupBy(F.col("x.fp").alias("member"), F.col("y.fp").alias("centre")).agg(times.alias("times"), F.min(least).alias("least")).filter("2 * times >= least")
-        pairs = materialize(often.groupBy("member").agg(F.max(F.struct("times", "centre")).alias("best")).select("member", F.col("best.centre").alias("centre")), "near-pairs")
+    for star in range(STARS + DRAWS):
+        pairs = materialize(most_met(bucket, star) if star < STARS else drawn(bucket, nodes, star), "near-pairs")
         if not pairs.isEmpty():
             edges = verified(pairs)
             bucket = undecided(bucket, edges)
+    met = meetings(bucket, nodes)
+    often = met.groupBy("centre", "member").agg(F.count("*").alias("times"), F.min("least").alias("least")).filter("times >= least")
+    pairs = materialize(often.select("centre", "member"), "near-pairs")
+    return edges if pairs.isEmpty() else verified(pairs)
+
+
+def centres_of(bucket: DataFrame, turn: Column) -> DataFrame:
+    """The set of each bucket whose turn is first."""
+    first = F.min(F.struct(turn.alias("turn"), "fp", "n", "at", "label")).alias("c")
+    return bucket.groupBy("h").agg(first).select("h", "c.*")
+
+
+def most_met(bucket: DataFrame, star: int) -> DataFrame:
+    """(member, centre): every set with the bucket centre that it meets most often, if in half of ``least`` buckets; one order of the centres for all buckets."""
+    met = bucket.alias("x").join(centres_of(bucket, F.xxhash64("fp", F.lit(star))).alias("y"), "h").filter(F.col("x.label") != F.col("y.label"))
+    often = met.groupBy(F.col("x.fp").alias("member"), F.col("y.fp").alias("centre")).agg(F.count("*").alias("times"), F.min(_least_met(F.col("x.n"), F.col("y.n"))).alias("least")).filter("2 * times >= least")
+    return often.groupBy("member").agg(F.max(F.struct("times", "centre")).alias("best")).select("member", F.col("best.centre").alias("centre"))
+
+
+def drawn(bucket: DataFrame, nodes: DataFrame, star: int) -> DataFrame:
+    """(member, centre): every set with one of those bucket centres that sizes, places and maps allow; another order of the centres in each bucket."""
+    x, y = bucket.alias("x"), centres_of(bucket, F.xxhash64("fp", "h", F.lit(star))).alias("y")
+    met = x.join(y, "h").filter((F.col("x.label") != F.col("y.label")) & _within(F.lit(1)))
+    met = met.select(F.col("x.fp").alias("member"), F.col("x.n").alias("n"), F.col("y.fp").alias("centre"), F.col("y.n").alias("m")).distinct()
+    own = nodes.select("fp", *MAP)
+    x, y = met.join(own.withColumnRenamed("fp", "member"), "member").alias("x"), own.withColumnRenamed("fp", "centre").alias("y")
+    likely = x.join(y, "centre").filter(_apart() <= F.col("n") + F.col("m") - 2 * _common(F.col("n"), F.col("m")))
+    best = F.min(F.struct(F.xxhash64("centre", F.lit(star)).alias("turn"), "centre")).alias("best")
+    return likely.groupBy("member").agg(best).select("member", F.col("best.centre").alias("centre"))
+
+
+def _within(least: Column) -> Column:
+    """Sizes of x and y that similar sets may have, and a shingle among those of which they share ``least``."""
+    n, m = F.col("x.n"), F.col("y.n")
+    common = _common(n, m)
+    return (OF * F.least(n, m) >= ALIKE * F.greatest(n, m)) & (F.col("x.at") < n - common + least) & (F.col("y.at") < m - common + least)
+
+
+def _apart() -> Column:
+    """Bits in which the maps of x and y differ."""
+    return reduce(add, [F.bit_count(F.col(f"x.{name}").bitwiseXOR(F.col(f"y.{name}"))) for name in MAP])
+
+
+def meetings(bucket: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(centre, member, least): pairs of sets of different label, once for each bucket where they meet; similar ones meet in ``least`` or more.
+
+    Sets with c shingles in common share one among the first n - c + 1 and m - c + 1. Pairs whose maps differ in more bits
+    than similar sets can differ in shingles, n + m - 2 c, are no rows of the join, so groups of texts that share
+    passages do not make rows with the square of their size.
+    """
     tiles = F.ceil(F.col("rows") / TILE).cast("int")
     rows = bucket.groupBy("h").agg(F.count("*").alias("rows"))
-    dealt = bucket.join(rows, "h").withColumn("tile", F.pmod(F.xxhash64("fp", "h"), tiles).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
+    dealt = bucket.join(rows, "h").join(nodes.select("fp", *MAP), "fp").withColumn("tile", F.pmod(F.xxhash64("fp", "h"), tiles).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1))).drop("rows")
     x, y = dealt.alias("x"), dealt.alias("y")
+    n, m = F.col("x.n"), F.col("y.n")
+    least = F.when(F.greatest(n, m) > LONG, _least_met(n, m)).otherwise(F.lit(1))
     same = (F.col("x.h") == F.col("y.h")) & (F.col("x.tile") == F.col("y.other")) & (F.col("x.other") == F.col("y.tile"))
-    met = x.join(y, same).filter((F.col("x.fp") < F.col("y.fp")) & (F.col("x.label") != F.col("y.label")) & least.isNotNull())
-    often = met.groupBy(F.col("x.fp").alias("centre"), F.col("y.fp").alias("member")).agg(times.alias("times"), F.min(least).alias("least")).filter("times >= least")
-    pairs = materialize(often.select("centre", "member"), "near-pairs")
-    return edges if pairs.isEmpty() else verified(pairs)
+    met = x.join(y, same & (F.col("x.fp") < F.col("y.fp")) & (F.col("x.label") != F.col("y.label")) & _within(least) & (_apart() <= n + m - 2 * _common(n, m)))
+    return met.select(F.col("x.fp").alias("centre"), F.col("y.fp").alias("member"), least.alias("least"))
 
 
 def undecided(bucket: DataFrame, edges: DataFrame) -> DataFrame:
     """``bucket`` under the components of ``edges``: those whose members are not yet in one."""
     component = connected_components(edges).withColumnRenamed("node", "fp")
-    labelled = materialize(bucket.drop("label").join(component, "fp", "left").select("h", "fp", "n", F.coalesce("component", "fp").alias("label")), "near-labelled")
+    labelled = materialize(bucket.drop("label").join(component, "fp", "left").select("h", "fp", "n", "at", F.coalesce("component", "fp").alias("label")), "near-labelled")
     mixed = labelled.groupBy("h").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("h")
     left = materialize(labelled.join(mixed, "h", "left_semi"), "near-buckets")
     discard(bucket, labelled)
@@ -252,6 +322,6 @@ def drop_similar(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """The rows of ``docs``, all columns, with the smallest doc_id of their component; rows without an id come after those with one."""
     give_back()  # what training has left in the driver
     prints = materialize(prints_of(docs, words), "near-prints")
-    nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"), F.min("sim").alias("sim")), "near-nodes")
+    nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"), F.min("sim").alias("sim"), *[F.min(name).alias(name) for name in MAP]), "near-nodes")
     found = name_components(nodes.select("fp", "least"), links(docs, prints, nodes, words))
     return keep_first(docs, prints.select("doc_id", "fp", "text_hash"), found, text_key())

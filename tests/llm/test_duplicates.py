@@ -276,3 +276,34 @@ def test_common_shingles_stand_last_however_few_of_the_texts_hold_them(spark, mo
     prints = near_copies.prints_of(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 5)
     held = set(near_copies.shingles(phrase).tolist())
     assert not [r.doc_id for r in prints.collect() if held & set(r.prefix)]
+
+
+@given(st.sets(st.integers(-(2**63), 2**63 - 1), max_size=400), st.sets(st.integers(-(2**63), 2**63 - 1), max_size=60), st.integers(0, 400))
+@settings(max_examples=40, deadline=None)
+def test_maps_differ_in_no_more_bits_than_sets_in_shingles(held, more, kept):
+    other = set(sorted(held)[:kept]) | more
+    a, b = [near_copies.map_of(np.array(sorted(s), np.int64)) for s in (held, other)]
+    assert len(a) == len(near_copies.MAP) and sum(int(w).bit_count() for w in (a ^ b).view(np.uint64)) <= len(held ^ other)
+
+
+@pytest.mark.parametrize("long", [0, near_copies.LONG])
+def test_last_join_alone_finds_all_near_copies(spark, monkeypatch, long):
+    """Without the rounds before it, with and without the count in L buckets."""
+    for name, value in (("STARS", 0), ("DRAWS", 0), ("LONG", long)):
+        monkeypatch.setattr(near_copies, name, value)
+    test_near_copies_stage(spark, monkeypatch)
+
+
+def test_last_join_makes_no_rows_of_texts_that_only_share_passages(spark):
+    """Of 150 texts of one form, each with two words of its own, all pairs meet in buckets; only a text and its copy are similar."""
+    form = [f"form{i}" for i in range(64)]
+    texts = [" ".join([*form[:20], f"own{d}", *form[21:40], f"name{d}", *form[41:]]) for d in range(150)]
+    texts += [t + " end" for t in texts[:5]]
+    prints = near_copies.prints_of(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 5).cache()
+    own = {bytes(r.fp): r.doc_id for r in prints.collect()}
+    nodes = prints.selectExpr("fp", "1 as rows", *near_copies.MAP)
+    bucket = near_copies.buckets_of(prints, nodes).cache()
+    every = bucket.alias("x").join(bucket.alias("y"), "h").filter("x.fp < y.fp").count()  # what the join made
+    met = near_copies.meetings(bucket, nodes).collect()
+    assert every > 150 * 149 / 2 and len(met) < 155
+    assert {(k, 150 + k) for k in range(5)} <= {tuple(sorted((own[bytes(r.centre)], own[bytes(r.member)]))) for r in met}
