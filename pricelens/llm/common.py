@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
+from pricelens.llm.sieve import free_prefix, quoted, sieved
 from pricelens.session import discard, materialize, work_dir
 
 __all__ = ["BATCH_BYTES", "BATCH_ROWS", "crc_of_id", "discard", "first_by_hash", "free_prefix", "keep_only", "map_batches", "materialize", "partitions", "pieces", "quoted", "table", "text_list", "work_dir"]
@@ -64,19 +65,6 @@ def give_back() -> None:
         trim(0)
 
 
-def quoted(names: Iterable[str]) -> list[str]:
-    """Column names as Spark reads them back, dots and backticks included."""
-    return [f"`{n.replace('`', '``')}`" for n in names]
-
-
-def free_prefix(df: DataFrame, start: str) -> str:
-    """A prefix that no column name of ``df`` has, letter case aside."""
-    names = [c.lower() for c in df.columns]
-    while any(n.startswith(start.lower()) for n in names):
-        start += "_"
-    return start
-
-
 def text_list(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     """A column's texts; null counts as empty."""
     return [t or "" for t in batch.column(batch.schema.get_field_index(name)).to_numpy(zero_copy_only=False).tolist()]
@@ -104,17 +92,21 @@ def first_by_hash(df: DataFrame, hashed: Column, wanted: int, rows: int) -> Data
 def keep_only(docs: DataFrame, key: Column, verdicts: DataFrame) -> DataFrame:
     """The rows of ``docs`` that ``verdicts`` (doc_id, key, kept: one row per row of docs) keeps, all columns.
 
-    Only rejected keys travel to the documents, as an anti join. Of rows equal in doc_id and key one stays.
+    Rows whose id surely has no rejected or repeated key stay where they are; only the others get their key and are shuffled, to an
+    anti join with the rejected keys. Of rows equal in doc_id and key one stays. ``verdicts`` is read before this returns, never after.
     """
     mark = free_prefix(docs, "verdict")
-    ident, value, own = f"{mark}id", f"{mark}key", f"{mark}own"
+    ident, value, own, maybe = f"{mark}id", f"{mark}key", f"{mark}own", f"{mark}maybe"
     per = materialize(verdicts.groupBy("doc_id", "key").agg(F.max("kept").alias("any"), F.count("*").alias("rows")), "verdicts")
-    lost = per.filter(~F.col("any")).select(F.col("doc_id").alias(ident), F.col("key").alias(value))
-    doubled = per.filter(F.col("any") & (F.col("rows") > 1)).select(F.col("doc_id").alias(ident), F.col("key").alias(value))
-    keyed = docs.withColumn(own, key)
+    named = per.select(F.col("doc_id").alias(ident), F.col("key").alias(value), "any", "rows")
+    lost = named.filter(~F.col("any")).select(ident, value)
+    doubled = named.filter(F.col("any") & (F.col("rows") > 1)).select(ident, value)
+    marked = sieved(docs.withColumn(own, F.col("doc_id").cast("long")), own, lost.unionByName(doubled).select(F.col(ident).alias(own)), name=maybe)
+    sure = marked.filter(~F.col(maybe)).select(quoted(docs.columns))
+    keyed = marked.filter(maybe).drop(maybe).withColumn(own, key)
     same = F.col("doc_id").cast("long").eqNullSafe(F.col(ident)) & (F.col(own) == F.col(value))
     left = keyed.join(lost, same, "left_anti")
     if doubled.isEmpty():
-        return left.select(quoted(docs.columns))
+        return sure.union(left.select(quoted(docs.columns)))
     once = left.join(doubled, same, "left_semi").dropDuplicates(["doc_id", own])
-    return left.join(doubled, same, "left_anti").unionByName(once).select(quoted(docs.columns))
+    return sure.union(left.join(doubled, same, "left_anti").unionByName(once).select(quoted(docs.columns)))

@@ -1,19 +1,21 @@
 """Connected components over an edge table by alternating large-star and small-star rounds.
 
 Each round is aggregations and equi-joins on node keys; round results are written tables, so lineage stays
-short and a lost executor costs at most one round. Nothing is collected but two numbers per round.
+short and a lost executor costs at most one round; a round's table is deleted after the next. Nothing but the question whether
+rounds are over reaches the driver.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from pricelens.llm.common import materialize
+from pricelens.llm.common import discard, materialize
 
 
-def _digest(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-    return tuple(row)
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node with a smaller neighbour has one link, to a node with none."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("up")))
+    return ends.groupBy("node").agg(F.sum("up").alias("ups"), F.count("*").alias("links")).filter("ups > 1 or (ups = 1 and links > 1)").isEmpty()
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -35,12 +37,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     current = materialize(
         edges.filter("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges"
     )
-    seen = _digest(current)
-    while seen[0]:
-        current = materialize(_small_star(_large_star(current).distinct()).distinct(), "edges")
-        now = _digest(current)
-        if now == seen:
-            break
-        seen = now
+    while not _are_stars(current):
+        following = materialize(_small_star(_large_star(current).distinct()).distinct(), "edges")
+        discard(current)
+        current = following
     roots = current.select(F.col("v").alias("node")).distinct()
     return current.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.withColumn("component", F.col("node")))

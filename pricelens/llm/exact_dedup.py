@@ -24,14 +24,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pricelens.llm.common import keep_only, map_batches, materialize, partitions
+from pricelens.llm.common import discard, keep_only, map_batches, materialize, partitions
+from pricelens.llm.sieve import SIEVE_BITS, sieve_of
 
 #: Bits beyond log2(rows): a unique row becomes a suspect by chance once in 2^12.
 SPARE_BITS = 12
 #: Rows that one sender or owner handles, about.
 ROWS_PER_PART = 1 << 18
-#: Bits of the bitmap that thins the second scan (8 MB).
-SIEVE_BITS = 1 << 26
 
 
 def normalized(text: str | Column = "text") -> Column:
@@ -135,22 +134,14 @@ def _joined(held: list[pa.RecordBatch], key: str, names: tuple[str, ...]) -> tup
     return whole.column(key)[0].as_py(), {n: whole.column(n).to_numpy(zero_copy_only=False) if pa.types.is_integer(whole.schema.field(n).type) and not whole.column(n).null_count else np.array(whole.column(n).to_pylist(), object) for n in names}
 
 
-def sieve_of(suspects: DataFrame, size: int = SIEVE_BITS) -> DataFrame:
-    """``size`` bits as rows (bucket, words): bit fp mod size is set for every suspect. Never above 8 MB by default."""
-    slot = F.pmod("fp", F.lit(size))
-    words = suspects.groupBy(F.shiftright(slot, 15).alias("bucket"), F.shiftright(slot, 6).bitwiseAND(511).alias("word")).agg(
-        F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(fp, 64L) as int))")).alias("bits")
-    )
-    by_word = words.groupBy("bucket").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("m"))
-    return by_word.select("bucket", F.transform(F.sequence(F.lit(0), F.lit(511)), lambda w: F.coalesce(F.col("m")[w.cast("long")], F.lit(0).cast("long"))).alias("words"))
-
-
 def exact_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 of every row."""
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalized().alias("t")).withColumn("fp", F.xxhash64("t"))
     prints = plain.select("doc_id", "fp", F.sha2("t", 256).alias("text_sha256"))
     prints = materialize(prints.withColumn("row", F.monotonically_increasing_id()), "dedup-rows")
-    marked = materialize(prints.join(mark_suspects(prints, prints.count()), "row"), "dedup-marked")
+    found = mark_suspects(prints, prints.count())
+    marked = materialize(prints.join(found, "row"), "dedup-marked")
+    discard(prints, found)
     unique = marked.filter(~F.col("suspect")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     suspects = marked.filter("suspect").select("row", "doc_id", "text_sha256", "fp")
 
@@ -170,4 +161,6 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, all columns."""
     verdicts = exact_duplicates(docs).select("doc_id", F.col("text_sha256").alias("key"), "kept")
-    return keep_only(docs, F.sha2(normalized(), 256), verdicts)
+    left = keep_only(docs, F.sha2(normalized(), 256), verdicts)
+    discard(verdicts)
+    return left

@@ -31,16 +31,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pricelens.llm.common import discard, give_back, map_batches, materialize, partitions, text_list
 from pricelens.llm.components import connected_components
-from pricelens.llm.exact_dedup import SIEVE_BITS, sieve_of
 from pricelens.llm import simhash
+from pricelens.llm.sieve import SIEVE_BITS, sieved
 from pricelens.llm.simhash import TILE, keep_first, name_components, shingle_hashes
 
 #: Words of a shingle; the least similarity as a fraction.
 WORDS, ALIKE, OF = 5, 4, 5
 #: Counters of the sketch, one byte each in the end, and those that travel together.
 SLOTS, BLOCK = 1 << 22, 1 << 12
-#: Bits of a bitmap of texts or sets, 2 MB; that of shingles has SIEVE_BITS. The driver gathers each of them.
-FEW_BITS = 1 << 24
 #: Rounds in which every set meets one centre, before all remaining pairs are formed: the bucket centre it meets most often, then any likely one.
 STARS, DRAWS = 1, 3
 #: Bits of a set's map, in columns of 64. Sets of more shingles than LONG fill it: their pairs are counted in the whole prefixes too.
@@ -135,16 +133,6 @@ def prints_of(docs: DataFrame, words: int) -> DataFrame:
     return map_batches(docs.select(F.col("doc_id").cast("long"), "text", text_key()), run, "doc_id long, text_hash string, fp binary, sim long, n int, prefix array<long>, " + ", ".join(f"{name} long" for name in MAP), rows=512)
 
 
-def sieved(rows: DataFrame, value: str, wanted: DataFrame, size: int = FEW_BITS) -> DataFrame:
-    """``rows`` with ``maybe``: false only where column ``value`` is not one of ``wanted``'s, by a bitmap of ``size`` bits. It only saves shuffling."""
-    slot = F.pmod(F.xxhash64(value), F.lit(size))
-    bits = sieve_of(wanted.select(F.xxhash64(value).alias("fp")), size).select(F.col("bucket").alias("sieve_bucket"), F.col("words").alias("sieve_words"))
-    found = rows.withColumn("sieve_bucket", F.shiftright(slot, 15)).join(F.broadcast(bits), "sieve_bucket", "left")
-    word = F.coalesce(F.col("sieve_words")[F.shiftright(slot, 6).bitwiseAND(511).cast("int")], F.lit(0).cast("long"))
-    bit = F.call_function("shiftrightunsigned", word, F.pmod(F.xxhash64(value), F.lit(64)).cast("int")).bitwiseAND(F.lit(1).cast("long"))
-    return found.select(*rows.columns, (bit == 1).alias("maybe"))
-
-
 def _up(a: Column, b: int) -> Column:
     return F.floor((a + (b - 1)) / F.lit(b))
 
@@ -215,7 +203,9 @@ def buckets_of(prints: DataFrame, nodes: DataFrame) -> DataFrame:
     each = marked.filter("not maybe").drop("maybe").unionByName(again.join(doubled, "fp", "left_anti")).unionByName(again.join(doubled, "fp", "left_semi").dropDuplicates(["fp"]))
     shared = materialize(each.select(F.explode("prefix").alias("h")).groupBy("h").agg(F.count("*").alias("rows")).filter("rows > 1").select("h"), "near-shared")
     keyed = sieved(each.select("fp", "n", F.posexplode("prefix").alias("at", "h")), "h", shared, SIEVE_BITS).filter("maybe")
-    return materialize(keyed.join(shared, "h", "left_semi").select("h", "fp", "n", "at", F.col("fp").alias("label")), "near-buckets")
+    bucket = materialize(keyed.join(shared, "h", "left_semi").select("h", "fp", "n", "at", F.col("fp").alias("label")), "near-buckets")
+    discard(shared)
+    return bucket
 
 
 def alike_by_simhash(nodes: DataFrame) -> DataFrame:
@@ -223,33 +213,36 @@ def alike_by_simhash(nodes: DataFrame) -> DataFrame:
     component = connected_components(simhash.links(nodes.select(F.col("sim").alias("fp")).distinct()))
     named = nodes.join(component.withColumnRenamed("node", "sim"), "sim", "left").select("fp", F.coalesce("component", "sim").alias("group"))
     centres = named.groupBy("group").agg(F.min("fp").alias("centre"), F.count("*").alias("sets")).filter("sets > 1").select("group", "centre")
-    return named.join(centres, "group").filter(F.col("fp") != F.col("centre")).select(F.col("fp").alias("member"), "centre")
+    pairs = materialize(named.join(centres, "group").filter(F.col("fp") != F.col("centre")).select(F.col("fp").alias("member"), "centre"), "near-pairs")
+    discard(component)
+    return pairs
 
 
-def links(docs: DataFrame, prints: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
-    """(a, b): similar pairs whose components are those of all similar pairs."""
-    bucket = buckets_of(prints, nodes)
+def links(docs: DataFrame, prints: DataFrame, nodes: DataFrame, bucket: DataFrame, words: int) -> DataFrame:
+    """(a, b): similar pairs whose components are those of all similar pairs. ``bucket``, what ``buckets_of`` wrote, is deleted on the way."""
     edges = docs.sparkSession.createDataFrame([], "a binary, b binary")
 
-    def verified(pairs: DataFrame) -> DataFrame:
+    def verified(pairs: DataFrame) -> DataFrame | None:
+        if pairs.isEmpty():
+            discard(pairs)
+            return None
         sets = sets_of(pairs.select(F.explode(F.array("member", "centre")).alias("fp")).distinct(), prints, docs, words)
         found = materialize(edges.unionByName(similar(pairs, sets)), "near-edges")
-        discard(pairs, sets)
+        discard(pairs, sets, edges)
         return found
 
-    first = materialize(alike_by_simhash(nodes), "near-pairs")
-    if not first.isEmpty():
-        edges = verified(first)
-        bucket = undecided(bucket, edges)
-    for star in range(STARS + DRAWS):
-        pairs = materialize(most_met(bucket, star) if star < STARS else drawn(bucket, nodes, star), "near-pairs")
-        if not pairs.isEmpty():
-            edges = verified(pairs)
+    for star in range(-1, STARS + DRAWS):
+        pairs = alike_by_simhash(nodes) if star < 0 else materialize(most_met(bucket, star) if star < STARS else drawn(bucket, nodes, star), "near-pairs")
+        found = verified(pairs)
+        if found is not None:
+            edges = found
             bucket = undecided(bucket, edges)
     met = meetings(bucket, nodes)
     often = met.groupBy("centre", "member").agg(F.count("*").alias("times"), F.min("least").alias("least")).filter("times >= least")
     pairs = materialize(often.select("centre", "member"), "near-pairs")
-    return edges if pairs.isEmpty() else verified(pairs)
+    discard(bucket)
+    found = verified(pairs)
+    return edges if found is None else found
 
 
 def centres_of(bucket: DataFrame, turn: Column) -> DataFrame:
@@ -314,14 +307,21 @@ def undecided(bucket: DataFrame, edges: DataFrame) -> DataFrame:
     labelled = materialize(bucket.drop("label").join(component, "fp", "left").select("h", "fp", "n", "at", F.coalesce("component", "fp").alias("label")), "near-labelled")
     mixed = labelled.groupBy("h").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("h")
     left = materialize(labelled.join(mixed, "h", "left_semi"), "near-buckets")
-    discard(bucket, labelled)
+    discard(bucket, labelled, component)
     return left
 
 
 def drop_similar(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """The rows of ``docs``, all columns, with the smallest doc_id of their component; rows without an id come after those with one."""
     give_back()  # what training has left in the driver
-    prints = materialize(prints_of(docs, words), "near-prints")
-    nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"), F.min("sim").alias("sim"), *[F.min(name).alias(name) for name in MAP]), "near-nodes")
-    found = name_components(nodes.select("fp", "least"), links(docs, prints, nodes, words))
-    return keep_first(docs, prints.select("doc_id", "fp", "text_hash"), found, text_key())
+    whole = materialize(prints_of(docs, words), "near-prints")
+    nodes = materialize(whole.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"), F.min("sim").alias("sim"), *[F.min(name).alias(name) for name in MAP]), "near-nodes")
+    bucket = buckets_of(whole, nodes)
+    prints = materialize(whole.select("doc_id", "fp", "text_hash"), "near-rows")
+    discard(whole)
+    edges = links(docs, prints, nodes, bucket, words)
+    found = name_components(nodes.select("fp", "least"), edges)
+    discard(nodes, edges)
+    left = keep_first(docs, prints, found, text_key())
+    discard(prints, found)
+    return left

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pricelens.llm.common import keep_only, map_batches, materialize, partitions, text_list
+from pricelens.llm.common import discard, keep_only, map_batches, materialize, partitions, text_list
 from pricelens.llm.components import connected_components
 
 RADIUS = 2
@@ -206,7 +206,9 @@ def name_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     component = connected_components(edges)
     named = nodes.join(component.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    return materialize(named.join(smallest, "component").select("fp", "component", "component_id"), "simhash-components")
+    found = materialize(named.join(smallest, "component").select("fp", "component", "component_id"), "simhash-components")
+    discard(component)
+    return found
 
 
 def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
@@ -228,4 +230,6 @@ def keep_first(docs: DataFrame, prints: DataFrame, found: DataFrame, key: Column
     firsts = per_print.join(found, "fp").groupBy("component").agg(F.min("first").alias("first"))
     chosen = materialize(found.join(firsts, "component").select("fp", F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("first_hash")), "simhash-chosen")
     verdicts = prints.join(chosen, "fp").select("doc_id", F.col("text_hash").alias("key"), (F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_hash") == F.col("first_hash"))).alias("kept"))
-    return keep_only(docs, text_hash() if key is None else key, verdicts)
+    left = keep_only(docs, text_hash() if key is None else key, verdicts)
+    discard(per_print, chosen)
+    return left

@@ -18,14 +18,14 @@ toxic labels (0 without labels). Rows that share a doc_id are scored each by its
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from pricelens.llm.common import crc_of_id, map_batches, materialize, partitions, text_list
+from pricelens.llm.common import crc_of_id, discard, give_back, map_batches, materialize, partitions, text_list
 from pricelens.llm.quality import labelled
 
 MAX_ROWS = 20_000
@@ -36,6 +36,8 @@ PREFIXES = (4, 5, 6)
 #: Different words of a text with the same beginning are counted up to this.
 LEVELS = 3
 NEIGHBOURS, SOFTEN, BLOCK = 24, 0.1, 64
+#: Examples that stand as dense rows at a time while the driver builds and calibrates the index.
+DENSE = 512
 THRESHOLD = 0.7
 #: Distinct terms or chunks held by one task at a time.
 HELD = 400_000
@@ -174,11 +176,32 @@ class BlockIndex:
     weight: np.ndarray
 
     @classmethod
-    def build(cls, doc_ids: np.ndarray, toxic: np.ndarray, vectors: np.ndarray, idf: np.ndarray) -> BlockIndex:
+    def build(cls, doc_ids: np.ndarray, toxic: np.ndarray, vectors: np.ndarray | Iterable[np.ndarray], idf: np.ndarray) -> BlockIndex:
+        """``vectors``: dense rows, all or some at a time, of which only the postings are held."""
+        most, strongest, rows, terms, weights, seen = [np.zeros(0)], [np.zeros(0, int)], [np.zeros(0, int)], [np.zeros(0, int)], [np.zeros(0)], 0
+        for part in [vectors] if isinstance(vectors, np.ndarray) else vectors:
+            if len(part):
+                most.append(part.max(axis=1))
+                strongest.append(part.argmax(axis=1))
+                row, term = np.nonzero(part)
+                rows.append(row + seen)
+                terms.append(term)
+                weights.append(part[row, term])
+                seen += len(part)
         # examples with the same strongest term share blocks, so that maxima are tight
-        order = np.lexsort((doc_ids, -vectors.max(axis=1), vectors.argmax(axis=1))) if len(doc_ids) else np.zeros(0, int)
-        row, term = np.nonzero(vectors[order])
-        return cls(idf, doc_ids[order], toxic[order].astype(float), row, term, vectors[order][row, term])
+        order = np.lexsort((doc_ids, -np.concatenate(most), np.concatenate(strongest))) if len(doc_ids) else np.zeros(0, int)
+        place = np.empty(len(order), int)
+        place[order] = np.arange(len(order))
+        row = place[np.concatenate(rows)]
+        by_row = np.argsort(row, kind="stable")
+        return cls(idf, doc_ids[order], toxic[order].astype(float), row[by_row], np.concatenate(terms)[by_row], np.concatenate(weights)[by_row])
+
+    def dense(self, low: int, high: int) -> np.ndarray:
+        """The examples low to high - 1 as dense rows."""
+        a, b = np.searchsorted(self.row, [low, high])
+        out = np.zeros((high - low, len(self.idf)))
+        out[self.row[a:b] - low, self.term[a:b]] = self.weight[a:b]
+        return out
 
     def open(self) -> None:
         """Block maxima and the posting lists by block, made once per task."""
@@ -278,15 +301,14 @@ def make_voter(terms: list[str], examples: DataFrame, documents: int, frequency:
     held = np.array([len(t) > 0 for t in rows["terms"]], bool)
     share = float(y.mean()) if len(y) else 0.0
     some = rows[held]
-    index = BlockIndex.build(some["doc_id"].to_numpy(), y[held], unit_rows(some["terms"].tolist(), some["tf"].tolist(), idf), idf)
+    found, tf = some["terms"].tolist(), some["tf"].tolist()
+    index = BlockIndex.build(some["doc_id"].to_numpy(), y[held], (unit_rows(found[a : a + DENSE], tf[a : a + DENSE], idf) for a in range(0, len(found), DENSE)), idf)
     index.open()
     bare = float((y[~held].sum() + share) / ((~held).sum() + 1))
     voter = Voter(terms, index, share, bare, np.zeros(0), np.zeros(0))
     if len(index.doc_ids) > 1:
-        vectors = np.zeros((len(index.doc_ids), len(terms)))
-        vectors[index.row, index.term] = index.weight
-        found = [index.search(vectors[a : a + 512], NEIGHBOURS, np.arange(a, min(a + 512, len(vectors)))) for a in range(0, len(vectors), 512)]
-        votes = np.concatenate([voter.votes(c, r) for c, r in found])
+        n = len(index.doc_ids)
+        votes = np.concatenate([voter.votes(*index.search(index.dense(a, min(a + DENSE, n)), NEIGHBOURS, np.arange(a, min(a + DENSE, n)))) for a in range(0, n, DENSE)])
         voter.steps, voter.values = isotonic(votes, index.toxic)
     return voter
 
@@ -352,6 +374,8 @@ def keep_clean(docs: DataFrame, labels: DataFrame, corpus: DataFrame, *, thresho
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     counts = materialize(count_terms(plain, terms, ("doc_id",)), "toxicity-counts")
     voter = corpus_voter(counts, terms, examples)
+    discard(counts, examples)
+    give_back()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voter.index.open()

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import os
+import time
+
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pricelens.llm.common import free_prefix, map_batches
+from pricelens.llm import components, toxicity
+from pricelens.llm.common import discard, free_prefix, keep_only, map_batches, materialize, work_dir
+from pricelens.session import CLEANUP_KEY, trim_driver
 
 
 def test_batches_are_bounded_in_rows_and_bytes(spark):
@@ -38,3 +44,76 @@ def test_stages_keep_columns_of_any_name(spark, stage):
     assert step.columns == names
     assert sorted(map(tuple, step.collect()), key=repr) == sorted((rows[0], rows[2], rows[3]), key=repr)
     assert dict(corpus_pipeline.STAGES)[stage](spark, docs.limit(0), "").count() == 0
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    def files() -> set[str]:
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().toSeq()
+        return {n for n in (found.apply(k).getName() for k in range(found.size())) if n.startswith("shuffle_")}
+
+    before, setting = files(), spark.conf.get(CLEANUP_KEY, None)
+    table = materialize(spark.range(5000).groupBy((F.col("id") % 700).alias("k")).agg(F.count("*").alias("n")), "grouped")
+    until = time.time() + 10
+    while files() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not files() - before and spark.conf.get(CLEANUP_KEY, None) == setting
+    assert table.count() == 700
+    discard(table)
+    assert trim_driver(spark) in (True, False)
+
+
+@pytest.mark.parametrize("stage", ["exact copies", "near copies"])
+def test_stages_delete_what_their_result_does_not_read(spark, stage):
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(words[i:] + [f"x{i}"] * (i % 3))) for i in range(6)] + [(7, " ".join(words)), (8, " ".join(words)), (9, None), (None, "")]
+    before = set(os.listdir(work_dir(spark)))
+    left = dict(corpus_pipeline.STAGES)[stage](spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    made = {x.rpartition("-")[0] for x in set(os.listdir(work_dir(spark))) - before}
+    assert made <= {"verdicts"}
+    assert {0, 9} <= {r.doc_id for r in left.collect()} and left.count() < len(rows)
+
+
+@pytest.mark.parametrize("repeated", [False, True])
+def test_rows_of_ids_without_rejected_keys_are_not_shuffled(spark, repeated):
+    seen = spark.sparkContext.accumulator(0)
+
+    def key(text):
+        seen.add(1)
+        return text
+
+    rows = [(i, f"t{i}") for i in range(3000)] + [(6, "other"), (None, "n"), (None, "m")] + [(5, "t5"), (None, "m")] * repeated
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumnsRenamed({"text": "sieve.words"}).withColumn("maybe", F.lit(1))
+    verdicts = spark.createDataFrame([(i, t, (i, t) not in {(6, "t6"), (None, "n"), (77, "t77")}) for i, t in rows], "doc_id long, key string, kept boolean")
+    left = keep_only(docs, F.udf(key)(F.col("`sieve.words`")), verdicts)
+    assert left.columns == docs.columns
+    want = sorted(set(rows) - {(6, "t6"), (None, "n"), (77, "t77")}, key=repr)
+    assert sorted([(r[0], r[1]) for r in left.collect()], key=repr) == want
+    assert 0 < seen.value < 300 or repeated  # a few readings of a few rows, not 3003; repeated rows are looked for in all
+
+
+def test_stars_end_the_rounds_of_components(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(components, "materialize", lambda df, label: written.append(label) or materialize(df, label))
+    before = set(os.listdir(work_dir(spark)))
+    stars = spark.createDataFrame([(a, 10 * (a // 10)) for a in range(100)], "a long, b long")
+    assert {r.node: r.component for r in components.connected_components(stars).collect()} == {a: 10 * (a // 10) for a in range(100)}
+    assert len(written) == 1
+    chain = spark.createDataFrame([(a, a + 1) for a in range(60)], "a long, b long")
+    assert {tuple(r) for r in components.connected_components(chain).collect()} == {(a, 0) for a in range(61)}
+    assert len(set(os.listdir(work_dir(spark))) - before) == 2  # the last round of each
+
+
+def test_training_holds_few_dense_rows(spark, monkeypatch):
+    n, dense, held = 1300, toxicity.unit_rows, []
+    terms = [[t for t in range(12) if (i * 7 + t * t) % 5 < 2] for i in range(n)]
+    tf = [[1 + (i + t) % 3 for t in found] for i, found in enumerate(terms)]
+    frequency = {t: sum(t in f for f in terms) for t in range(12)}
+    examples = spark.createDataFrame([(i, i % 2, t, c) for i, (t, c) in enumerate(zip(terms, tf))], "doc_id long, y int, terms array<int>, tf array<int>")
+    monkeypatch.setattr(toxicity, "unit_rows", lambda t, c, idf: held.append(len(t)) or dense(t, c, idf))
+    index = toxicity.make_voter([f"t{k}" for k in range(12)], examples, n, frequency).index
+    assert sum(held) == sum(map(bool, terms)) and max(held) <= toxicity.DENSE
+    some = [i for i, t in enumerate(terms) if t]
+    whole = toxicity.BlockIndex.build(np.array(some), np.array(some) % 2, dense([terms[i] for i in some], [tf[i] for i in some], index.idf), index.idf)
+    for name in ("doc_ids", "toxic", "row", "term", "weight"):
+        assert (getattr(index, name) == getattr(whole, name)).all()
+    assert (index.dense(500, 700) == dense([terms[i] for i in index.doc_ids[500:700]], [tf[i] for i in index.doc_ids[500:700]], index.idf)).all()
