@@ -169,6 +169,29 @@ def test_valuation_of_places_and_missing_values(spark):
     assert run.contexts.count() == 6
 
 
+def test_many_price_bounds_are_not_sent(spark, monkeypatch):
+    """Contexts beyond the bound: used rows are written, by a shuffle of the pairs, but for the heavy context; answers stay."""
+    rows = [(n, ("A", "b")[n % 2], "x", "m", 2000 + n % 3, 13_000 * (n % 9), 1000 + 37 * (n * n % 101) + 90_000 * (n % 50 == 0), n % 2) for n in range(400)]
+    frame = spark.createDataFrame(rows, "id long, brand string, series string, model string, year int, mileage_km int, price long, is_clean_claimed int")
+    asked = [("1", "a", None, 40_000), ("2", None, None, None), ("3", None, 2001, None), ("4", "b", None, 65_000), ("5", "c", None, None)]
+    requests = conform(spark.createDataFrame([tuple(dict(zip(("request_id", "brand", "year", "mileage_km"), a)).get(f.name) for f in REQUEST) for a in asked], REQUEST), REQUEST)
+
+    def answers(run):
+        own = run.requests.select("request_id", "context_id")
+        buckets = own.join(valuation.mileage_buckets(run.used), "context_id").drop("context_id").orderBy("request_id", "bucket").collect()
+        return [*valuation.value_requests(run).orderBy("request_id").collect(), *buckets]
+
+    few = answers(valuation.prepare(requests, frame))
+    # a million bounds took 340 MB of the driver
+    assert valuation.BROADCAST_BOUNDS <= 100_000
+    monkeypatch.setattr(valuation, "BROADCAST_BOUNDS", 1)
+    monkeypatch.setattr(valuation, "HEAVY_ROWS", 390)
+    monkeypatch.setattr(valuation, "HEAVY_SHARE", 100)
+    many = valuation.prepare(requests, frame)
+    assert all("valuation-used" in f for f in many.used.inputFiles()) and not many.used.isEmpty()
+    assert few == answers(many) and len(few) > 10 and any(r.outlier_count for r in few if "outlier_count" in r)
+
+
 def test_training_partitions_are_bounded(spark, monkeypatch):
     monkeypatch.setattr(condition, "TASK_ROWS", 100)
     rows = condition.in_tasks(spark.range(1000).coalesce(1))
