@@ -220,3 +220,16 @@ def test_plain_pages_are_read_as_by_the_parser():
         assert not pg._walk_plain(walker, html) and walker.rows == []
         walker._end_row()
         assert [c[2] for c in pg._cells_of_page("k", html, "")] == [r["id"] for r in parsed(html)]
+
+
+def test_tags_seen_before_are_not_matched_again():
+    """One pattern match for each written tag, and the same cells as by the parser."""
+    page = "<table>" + "".join(ROW.replace("<br>", f"<BR/> > {n} ") for n in range(50)) + "</table>"
+    plain, parsed = pg._ResultRows(), pg._ResultRows()
+    pg._plain_tag.cache_clear()
+    assert pg._walk_plain(plain, page) and pg._plain_tag.cache_info().misses < 25
+    parsed.feed(page)
+    parsed.close()
+    assert plain.rows == parsed.rows and len(plain.rows) == 50
+    for written in ("<a b", "< td>", "</td >x</td x>", "<script>", "<Titles>", "<td class=x>"):
+        assert not pg._walk_plain(pg._ResultRows(), f"<table>{written}</table>")
