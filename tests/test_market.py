@@ -182,7 +182,7 @@ def test_many_price_bounds_are_not_sent(spark, monkeypatch):
         return [*valuation.value_requests(run).orderBy("request_id").collect(), *buckets]
 
     few = answers(valuation.prepare(requests, frame))
-    # a million bounds took 340 MB of the driver
+    # at most 768,000 bounds raised the driver by some 340 MB
     assert valuation.BROADCAST_BOUNDS <= 100_000
     monkeypatch.setattr(valuation, "BROADCAST_BOUNDS", 1)
     monkeypatch.setattr(valuation, "HEAVY_ROWS", 390)
